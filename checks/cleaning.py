@@ -95,26 +95,13 @@ for _method, _bounds in BOUNDS.items():
         )(_treat)
 
 
-def _sequential_sql(columns, source, key):
-    """Fences of each column from the rows that the columns before it kept."""
-    ctes, previous = [], source
-    for i, col in enumerate(columns):
-        ctes.append(
-            f"b{i} AS (SELECT quantile_cont({col}, 0.25) q1, quantile_cont({col}, 0.75) q3 FROM {previous}), "
-            f"t{i} AS (SELECT s.* FROM {previous} s, b{i} WHERE {col} >= q1 - 1.5 * (q3 - q1) AND {col} <= q3 + 1.5 * (q3 - q1))"
-        )
-        previous = f"t{i}"
-    return f"WITH {', '.join(ctes)} SELECT {key} FROM {previous}"
-
-
 @check(
     "treat_columns_in_turn",
-    _sequential_sql(
-        ["value", "gap"],
-        "(SELECT event_id, value, value * value / 100 AS gap FROM events)", "event_id, value",
-    ).replace("FROM (SELECT event_id, value, value * value / 100 AS gap FROM events) s", "FROM src s")
-    .replace("FROM (SELECT event_id, value, value * value / 100 AS gap FROM events))", "FROM src)")
-    .replace("WITH ", "WITH src AS (SELECT event_id, value, value * value / 100 AS gap FROM events), ", 1),
+    """WITH src AS (SELECT event_id, value, value * value / 100 AS gap FROM events),
+    b0 AS (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM src),
+    t0 AS (SELECT src.* FROM src, b0 WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+    b1 AS (SELECT quantile_cont(gap, 0.25) q1, quantile_cont(gap, 0.75) q3 FROM t0)
+    SELECT event_id, value FROM t0, b1 WHERE gap BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""",
 )
 def treat_columns_in_turn(spark, d):
     events = table(spark, d, "events").select(

@@ -109,14 +109,14 @@ def density(df: DataFrame, variable: str, category: str, steps: int = 100, prope
         .groupBy(category, "point")
         .count()
     )
-    grid = curve.select(category, "n", "x0", "step", F.explode(F.sequence(F.lit(0), F.lit(steps))).cast("long").alias("point"))
+    grid = curve.select(category, "n", "x0", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("point"))
     scale = 2.0 if proper else 1.0
     drawn = grid.join(hits, [category, "point"], "left").select(
         category, "point", (F.col("x0") + F.col("point") * F.col("step")).alias("x"),
         (F.coalesce(F.col("count"), F.lit(0)) / (F.col("step") * F.col("n")) / scale).alias("y"),
     )
     flat = ranges.where((F.col("n") < 2) | (F.col("x0") == F.col("x1"))).select(
-        category, F.explode(F.sequence(F.lit(0), F.lit(9))).cast("long").alias("point"), "x0"
+        category, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("point"), "x0"
     )
     flat = flat.select(
         category, "point", (F.col("x0") - 0.1 + F.col("point") * (0.2 / 9)).alias("x"), F.lit(1.0).alias("y")
