@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -105,13 +106,14 @@ def scalar_function(function, *arguments: Column) -> Column:
 
     A NULL argument gives NULL. Never use it on input rows.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
-    def apply(*series: pd.Series) -> pd.Series:
+    def apply(frame: pd.DataFrame) -> pd.Series:
         return pd.Series(
-            [None if any(pd.isna(v) for v in row) else function(*row) for row in zip(*series)],
+            [
+                None if any(pd.isna(v) for v in row) else function(*row)
+                for row in frame.itertuples(index=False, name=None)
+            ],
             dtype="float64",
         )
 
-    return apply(*arguments)
+    return apply(F.struct(*[a.alias(f"a{i}") for i, a in enumerate(arguments)]))
