@@ -109,6 +109,82 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def located_points(points: DataFrame, names: Sequence[str], tree: SplitTree) -> DataFrame:
+    """points with the leaf each row falls into."""
+    names = list(names)
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+
+    def locate(batches):
+        for pdf in batches:
+            yield pdf.assign(leaf=shared.value.leaf(pdf[names].to_numpy()))
+
+    return points.mapInPandas(locate, layout + ", leaf long")
+
+
+def nearest_rows(
+    points: DataFrame, queries: DataFrame, names: Sequence[str], leaf_rows: int = 1024,
+    within: float = float("inf"), other: bool = False,
+) -> DataFrame:
+    """query, distance, carry of the nearest point of every query (ties: smallest carry).
+
+    points (distinct coordinates) has carry, queries has query. other=True leaves
+    out a point with the query's own coordinates; queries with no point within the
+    given distance are missing from the result.
+    """
+    names = list(names)
+    tree = split_tree(points, names, leaf_rows)
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+    coords = ", ".join(f"{x} double" for x in names)
+    query_type = queries.schema["query"].dataType.simpleString()
+    carry_type = points.schema["carry"].dataType.simpleString()
+    located = located_points(points.select("carry", *names), names, tree)
+    asked = located_points(queries.select("query", *names), names, tree)
+
+    def search(mine: pd.DataFrame, q: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        mine = mine.sort_values("carry", kind="stable")
+        x, carry = mine[names].to_numpy(), mine["carry"].to_numpy()
+        best, label = np.full(len(q), np.inf), np.zeros(len(q), dtype=np.int64)
+        if len(x):
+            at = q[names].to_numpy()
+            for start in range(0, len(q), 256):
+                d = _distances(at[start : start + 256], x)
+                if other:
+                    d[d == 0] = np.inf
+                nearest = d.argmin(axis=1)
+                best[start : start + 256] = d[np.arange(len(d)), nearest]
+                label[start : start + 256] = carry[nearest]
+        return best, label
+
+    def own(mine: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        best, _ = search(mine, q)
+        return q[["query", *names]].assign(bound=np.minimum(best, within))
+
+    bounded = asked.groupBy("leaf")
+    bounded = located.groupBy("leaf").cogroup(bounded).applyInPandas(
+        own, f"query {query_type}, {coords}, bound double"
+    )
+
+    def visit(batches):
+        for pdf in batches:
+            rows, leaves = shared.value.reached(pdf[names].to_numpy(), pdf["bound"].to_numpy())
+            yield pdf.iloc[rows].assign(leaf=leaves)
+
+    visits = bounded.mapInPandas(visit, f"query {query_type}, {coords}, bound double, leaf long")
+
+    def answer(mine: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        best, label = search(mine, q)
+        keep = (best <= q["bound"].to_numpy()) & np.isfinite(best)
+        return pd.DataFrame({"query": q["query"][keep], "distance": best[keep], "carry": label[keep]})
+
+    answers = located.groupBy("leaf").cogroup(visits.groupBy("leaf")).applyInPandas(
+        answer, f"query {query_type}, distance double, carry {carry_type}"
+    )
+    return answers.groupBy("query").agg(F.min(F.struct("distance", "carry")).alias("m")).select(
+        "query", "m.distance", "m.carry"
+    )
+
+
 def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows: int = 1024) -> DataFrame:
     """Edges point -> neighbour (distance, weight) covering the k nearest rows of every point.
 
@@ -120,13 +196,8 @@ def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows:
     shared = points.sparkSession.sparkContext.broadcast(tree)
     id_type = points.schema["point"].dataType.simpleString()
     coords = ", ".join(f"{x} double" for x in names)
-
-    def locate(batches):
-        for pdf in batches:
-            yield pdf.assign(leaf=shared.value.leaf(pdf[names].to_numpy()))
-
     layout = f"point {id_type}, weight long, {coords}, leaf long"
-    located = points.select("point", "weight", *names).mapInPandas(locate, layout)
+    located = located_points(points.select("point", "weight", *names), names, tree)
 
     def own_bound(pdf: pd.DataFrame) -> pd.DataFrame:
         x, w = pdf[names].to_numpy(), pdf["weight"].to_numpy()

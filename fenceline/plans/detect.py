@@ -111,3 +111,23 @@ def detection_counts(detected: DataFrame) -> DataFrame:
 def detection_votes(detected: DataFrame, row_id: str) -> DataFrame:
     """Votes of every final outlier."""
     return combine.vote_detail(detected, row_id, ALL_METHODS)
+
+
+def dataset_overview(df: DataFrame, columns: Sequence[str], row_id: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Outlier counts per variable (fences, z-score) and one line for the isolation forest on all variables."""
+    from ..operators.explore import detector_counts
+
+    each = detector_counts(df, columns, task_rows).select(
+        "variable", "iqr_count", "zscore_count", F.lit(None).cast("long").alias("forest_count"),
+        "iqr_percent", "zscore_percent", F.lit(None).cast("double").alias("forest_percent"), "total_values",
+    )
+    forest = multivariate.isolation_forest(df, columns, row_id, task_rows=task_rows).agg(
+        F.count_if("isolation_forest").alias("forest_count"), F.count("*").alias("total_values")
+    )
+    everything = forest.select(
+        F.lit("all variables").alias("variable"), F.lit(None).cast("long").alias("iqr_count"),
+        F.lit(None).cast("long").alias("zscore_count"), "forest_count",
+        F.lit(None).cast("double").alias("iqr_percent"), F.lit(None).cast("double").alias("zscore_percent"),
+        (100.0 * F.col("forest_count") / F.col("total_values")).alias("forest_percent"), "total_values",
+    )
+    return each.unionByName(everything)
