@@ -202,10 +202,11 @@ def suppliers_flagged(spark, d):
     ks AS (SELECT *, unnest(range(greatest(0, a + c - (c + d))::BIGINT, least(a + b, a + c)::BIGINT + 1)) AS k FROM t),
     ps AS (SELECT a, k, exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) + lgamma(c + d + 1) - lgamma(a + c - k + 1)
       - lgamma(d + c - a - c + k + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM ks),
-    f AS (SELECT sum(p) AS p FROM ps WHERE p <= (SELECT max(CASE WHEN k = a THEN p END) FROM ps) * (1 + 1e-7))
-    SELECT variable, 'fisher exact' AS test, round(chi2, 6) AS chi2, 1::BIGINT AS dof, round(p, 6) AS p_value,
-      p < 0.05 AS significant, 'phi' AS effect, round(sqrt(chi2 / n), 6) AS effect_size, {EFFECT} AS effect_label, n::BIGINT AS n
-    FROM picked, f""",
+    f AS (SELECT sum(p) AS p FROM ps WHERE p <= (SELECT max(CASE WHEN k = a THEN p END) FROM ps) * (1 + 1e-7)),
+    z AS (SELECT *, CASE WHEN least_e < 5 THEN f.p ELSE {chi2_sf('chi2', '1')} END AS pv FROM picked, f)
+    SELECT variable, CASE WHEN least_e < 5 THEN 'fisher exact' ELSE 'chi-square' END AS test, round(chi2, 6) AS chi2, 1::BIGINT AS dof,
+      round(pv, 6) AS p_value, pv < 0.05 AS significant, 'phi' AS effect, round(sqrt(chi2 / n), 6) AS effect_size, {EFFECT} AS effect_label,
+      n::BIGINT AS n FROM z""",
 )
 def fisher_exact_test(spark, d):
     tests = c.contingency_tests(suppliers_flagged(spark, d), ["home"])

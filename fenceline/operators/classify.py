@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
 from ..functions.columns import any_of, number, scalar_function
-from ..functions.lineage import cut_lineage
+from ..functions.lineage import cut_lineage, spread
 from ..functions.rank import TASK_ROWS, column_quantiles, long_quantiles, ranked_counts
 from .profile import is_numeric
 from .reduce import scale_factors, standardise
@@ -174,7 +175,7 @@ def select_features(ranking: DataFrame, max_features: int) -> list[str]:
 def _split_data(df, columns, row_id, flag, test_share, task_rows):
     marked = df.withColumn("label", F.col(flag).cast("double"))
     coded = encode(marked, columns, [row_id, "label"])
-    return cut_lineage(stratified_split(coded, "label", row_id, test_share, task_rows=task_rows))
+    return cut_lineage(spread(stratified_split(coded, "label", row_id, test_share, task_rows=task_rows)))
 
 
 def _class_counts(data: DataFrame) -> dict[float, int]:
@@ -204,9 +205,9 @@ def logistic_characterisation(
     train_sizes, test_sizes = _class_counts(train), _class_counts(test)
     n_train = sum(train_sizes.values())
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    vectors = assembler.transform(train)
+    vectors = assembler.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     model = LogisticRegression(
-        maxIter=1000, tol=1e-9, regParam=1.0 / (c * n_train), elasticNetParam=0.0, standardization=False
+        maxIter=1000, tol=1e-7, regParam=1.0 / (c * n_train), elasticNetParam=0.0, standardization=False
     ).fit(vectors)
     scored = model.transform(assembler.transform(test)).select(
         "label", vector_to_array("probability")[1].alias("score")
@@ -220,6 +221,8 @@ def logistic_characterisation(
     metrics = classification_metrics(scored, task_rows=task_rows)
     result = metrics.first()
     span = scored.agg(F.min("score"), F.max("score")).first()
+    wald = wald_table(vectors, columns)
+    vectors.unpersist()
     warnings = {
         "few rows per variable": len(columns) > n_train / 10,
         "minority class under 5 in training": len(train_sizes) < 2 or min(train_sizes.values()) < 5,
@@ -231,14 +234,14 @@ def logistic_characterisation(
         "metrics": metrics,
         "roc": roc_curve(scored, task_rows=task_rows),
         "coefficients": coefficients,
-        "wald": wald_table(vectors, columns),
+        "wald": wald,
         "warnings": spark.createDataFrame(list(warnings.items()), "warning string, raised boolean"),
     }
 
 
 def wald_table(vectors: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Unpenalised logit: estimate, std_error, z, p_value, odds ratio (estimate clipped to 50) and extreme mark."""
-    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-10).fit(vectors)
+    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=35, tol=1e-8).fit(vectors)
     summary = model.summary
     errors, z, p = summary.coefficientStandardErrors, summary.tValues, summary.pValues
     # Spark lists the intercept last.
@@ -275,7 +278,7 @@ def random_forest(
     trees, depth, leaf = forest_size(n)
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     model = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight",
+        numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight",
         seed=seed,
     ).fit(assembler.transform(train.withColumn("weight", weight)))
     scored = cut_lineage(

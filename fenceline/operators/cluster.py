@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import add, number
-from ..functions.lineage import cut_lineage
+from ..functions.lineage import cut_lineage, spread
 from ..functions.rank import TASK_ROWS, column_quantiles, ranked_values
 from .correlate import complete_numbers
 from .neighbours import SplitTree, located_points, nearest_rows, split_tree
@@ -45,7 +45,7 @@ def prepare(
 
 
 def _vectors(data: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(data)
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(spread(data))
 
 
 def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 1, seed: int = 42) -> KMeansModel:

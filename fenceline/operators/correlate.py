@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import special
 from ..functions.columns import coerced, correlation_strength, finite, number, scalar_function
-from ..functions.lineage import broadcast_if_small
+from ..functions.lineage import cut_lineage
 from ..functions.rank import TASK_ROWS, average_rank, ranked_values
 
 # Pairs per aggregate; wider matrices are computed in several passes, so that no
@@ -26,16 +26,22 @@ def complete_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
 def rank_columns(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """Replace every column by its average rank (within by). Columns must be complete."""
+    """Replace every column by its average rank (within by). Columns must be complete.
+
+    All columns are ranked in one pass over folded (variable, value, count) rows;
+    the rank table is then joined once per column. AQE broadcasts it where it is
+    small and splits the partitions of a hot value where it is not.
+    """
     by = list(by)
     keyed = df.select(F.lit(0).alias("_all"), *by, *columns)
     keys = ["_all", *by]
+    long = keyed.unpivot(keys, list(columns), "variable", "x")
+    ranks = cut_lineage(
+        ranked_values(long, [*keys, "variable"], "x", task_rows).select(*keys, "variable", "x", average_rank().alias("_rank"))
+    )
     for c in columns:
-        ranks = ranked_values(keyed.select(*keys, F.col(c).alias("x")), keys, "x", task_rows).select(
-            *keys, F.col("x").alias(c), average_rank().alias("_rank")
-        )
-        # One row per distinct value: broadcast while few, else an AQE-split join.
-        keyed = keyed.join(broadcast_if_small(ranks), [*keys, c]).drop(c).withColumnRenamed("_rank", c)
+        mine = ranks.where(F.col("variable") == c).select(*keys, F.col("x").alias(c), "_rank")
+        keyed = keyed.join(mine, [*keys, c]).drop(c).withColumnRenamed("_rank", c)
     return keyed.select(*by, *columns)
 
 
@@ -125,7 +131,7 @@ def compare_group_correlations(
     pearson = pair_correlations(data, columns, ["is_outlier"]).withColumnRenamed("r", "pearson")
     ranked = rank_columns(data, columns, ["is_outlier"], task_rows)
     spearman = pair_correlations(ranked, columns, ["is_outlier"]).withColumnRenamed("r", "spearman").drop("n")
-    both = pearson.join(spearman, ["is_outlier", "first", "second"]).where(
+    both = cut_lineage(pearson).join(cut_lineage(spearman), ["is_outlier", "first", "second"]).where(
         (F.col("n") >= 3) & F.col("pearson").isNotNull() & ~F.isnan("pearson")
     )
 
@@ -163,7 +169,8 @@ def rank_correlations(
 ) -> DataFrame:
     """Spearman rho and p of all pairs over complete rows: by..., first, second, r, n, p_value."""
     ranked = rank_columns(complete_numbers(df, columns, by), columns, by, task_rows)
-    pairs = pair_correlations(ranked, columns, by)
+    # One row per pair and group from here on; the ranks behind it are costly.
+    pairs = cut_lineage(pair_correlations(ranked, columns, by))
     return pairs.withColumn("p_value", correlation_p(F.col("r"), F.col("n")))
 
 

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import special
 from ..functions.columns import add
+from ..functions.lineage import spread
 from ..functions.rank import TASK_ROWS, column_quantiles
 from .correlate import complete_numbers
 from .multivariate import covariance
@@ -29,7 +28,7 @@ COEFFICIENTS = "model string, term string, estimate double, std_error double, st
 def _prepare(df: DataFrame, target: str, predictors: Sequence[str]) -> tuple[DataFrame, int]:
     if len(predictors) < 2:
         raise ValueError("at least two predictors are needed")
-    data = complete_numbers(df, [target, *predictors]).persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(complete_numbers(df, [target, *predictors])).persist(StorageLevel.MEMORY_AND_DISK)
     n = data.count()
     if n < 10:
         data.unpersist()
@@ -37,13 +36,42 @@ def _prepare(df: DataFrame, target: str, predictors: Sequence[str]) -> tuple[Dat
     return data, n
 
 
-def _fit(data: DataFrame, target: str, predictors: Sequence[str], weight: Column | None = None):
-    rows = data if weight is None else data.withColumn("_weight", weight)
-    vectors = VectorAssembler(inputCols=list(predictors), outputCol="_features").transform(rows)
-    options = {"weightCol": "_weight"} if weight is not None else {}
-    return LinearRegression(
-        featuresCol="_features", labelCol=target, solver="normal", regParam=0.0, **options
-    ).fit(vectors)
+def _fit(
+    data: DataFrame, target: str, predictors: Sequence[str], means: Sequence[float], weight: Column | None = None
+) -> np.ndarray:
+    """(intercept, coefficients) of weighted least squares from one pass of sums.
+
+    Columns are centred by given means first, which keeps the sums well scaled.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    names = [target, *predictors]
+    x = [F.col(c) - F.lit(float(m)) for c, m in zip(names, means)]
+    p = len(names)
+    sums = {(-1, -1): F.sum(w)}
+    for i in range(p):
+        sums[(-1, i)] = F.sum(w * x[i])
+        for j in range(i, p):
+            sums[(i, j)] = F.sum(w * x[i] * x[j])
+    row = data.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums.values())]).first()
+    total = dict(zip(sums, row))
+    gram = np.zeros((p, p))
+    gram[0, 0] = total[(-1, -1)]
+    right = np.zeros(p)
+    right[0] = total[(-1, 0)]
+    for i in range(1, p):
+        gram[0, i] = gram[i, 0] = total[(-1, i)]
+        right[i] = total[(0, i)]
+        for j in range(i, p):
+            gram[i, j] = gram[j, i] = total[(i, j)]
+    scale = 1.0 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    solved = scale * np.linalg.lstsq(gram * np.outer(scale, scale), right * scale, rcond=None)[0]
+    slopes = solved[1:]
+    intercept = solved[0] + means[0] - float(np.dot(slopes, means[1:]))
+    return np.array([intercept, *slopes])
+
+
+def _means(data: DataFrame, names: Sequence[str]) -> list[float]:
+    return [float(v) for v in data.agg(*[F.avg(c) for c in names]).first()]
 
 
 def _residual(target: str, predictors: Sequence[str], coefficients: Sequence[float], intercept: float) -> Column:
@@ -73,8 +101,7 @@ def least_squares(df: DataFrame, target: str, predictors: Sequence[str], task_ro
 
 def _least_squares(data: DataFrame, n: int, target: str, predictors: Sequence[str], task_rows: int):
     spark = data.sparkSession
-    model = _fit(data, target, predictors)
-    b, b0 = list(model.coefficients), model.intercept
+    b0, *b = (float(v) for v in _fit(data, target, predictors, _means(data, [target, *predictors])))
     residual = _residual(target, predictors, b, b0)
     p = len(predictors)
     sums = data.agg(F.sum(residual * residual), F.var_pop(target) * n).first()
@@ -118,8 +145,8 @@ def huber_regression(
 
 def _huber(data, n, target, predictors, rounds, tolerance, task_rows):
     spark = data.sparkSession
-    model = _fit(data, target, predictors)
-    current = np.array([model.intercept, *model.coefficients])
+    means = _means(data, [target, *predictors])
+    current = _fit(data, target, predictors, means)
 
     def scale_of(residual: Column) -> float:
         sized = data.select(F.abs(residual).alias("a"))
@@ -134,8 +161,7 @@ def _huber(data, n, target, predictors, rounds, tolerance, task_rows):
     for _ in range(rounds):
         if scale == 0:
             break
-        model = _fit(data, target, predictors, weight_of(residual, scale))
-        previous, current = current, np.array([model.intercept, *model.coefficients])
+        previous, current = current, _fit(data, target, predictors, means, weight_of(residual, scale))
         residual = _residual(target, predictors, current[1:], current[0])
         scale = scale_of(residual)
         if np.max(np.abs(current - previous) / np.maximum(np.abs(previous), 1e-12)) < tolerance:
