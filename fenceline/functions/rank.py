@@ -20,6 +20,9 @@ from .lineage import broadcast_if_small, cut_lineage
 # Largest group handed to one window or percentile task.
 TASK_ROWS = 1_000_000
 
+# Up to here one percentile aggregate is the quickest way to a quantile.
+PERCENTILE_ROWS = 20_000
+
 # Sketch resolution for value ranges; each narrowing step shrinks a range about
 # accuracy / 4 times.
 SKETCH_ACCURACY = 10_000
@@ -116,13 +119,14 @@ def column_quantiles(
     task_rows: int = TASK_ROWS,
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles of whole columns as {column: [one value per prob]}."""
+    columns = list(columns)
     data = numbers(df, columns)
     if rows is None:
         rows = data.count()
-    if rows <= task_rows:
-        levels = F.array(*[F.lit(float(p)) for p in probs])
-        row = data.agg(*[F.percentile(c, levels).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
+    if rows <= min(task_rows, PERCENTILE_ROWS):
+        return _percentiles(data, columns, probs)
+    if rows <= task_rows * 20:
+        return _bracketed_quantiles(data, columns, probs)
     found = _select_quantiles(melt(df, columns), ["variable"], probs, task_rows).collect()
     result = {c: [None] * len(probs) for c in columns}
     order = {float(p): i for i, p in enumerate(probs)}
@@ -131,6 +135,69 @@ def column_quantiles(
     return result
 
 
+def _percentiles(data: DataFrame, columns: list[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    levels = F.array(*[F.lit(float(p)) for p in probs])
+    row = data.agg(*[F.percentile(c, levels).alias(c) for c in columns]).first()
+    return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
+
+
+def _bracketed_quantiles(
+    data: DataFrame, columns: list[str], probs: Sequence[float], accuracy: int = SKETCH_ACCURACY
+) -> dict[str, list[float | None]]:
+    """Exact quantiles from two scans without a shuffle of rows.
+
+    A sketch brackets every quantile by two values of the column; the second scan
+    counts what lies below and at the ends and gathers what lies strictly between,
+    a few rows in accuracy (a frequent value is an end, never between). Should a
+    sketch miss, the counts show it and that column takes the slower way.
+    """
+    margin = 2.0 / accuracy
+    levels = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
+    ends = data.agg(*[F.percentile_approx(c, levels, accuracy).alias(c) for c in columns]).first()
+    known = [c for c in columns if ends[c] is not None]
+    facts = []
+    for c in known:
+        x = F.col(c)
+        for i in range(len(probs)):
+            low, high = F.lit(ends[c][2 * i]), F.lit(ends[c][2 * i + 1])
+            facts.append(
+                F.struct(
+                    F.count_if(x < low).alias("below"), F.count_if(x == low).alias("at_low"),
+                    F.sort_array(F.collect_list(F.when((x > low) & (x < high), x))).alias("between"),
+                    F.count_if((x == high) & (high > low)).alias("at_high"), F.count(x).alias("n"),
+                ).alias(f"f{len(facts)}")
+            )
+    row = data.agg(*facts).first() if facts else ()
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    missed = []
+    for j, c in enumerate(known):
+        for i, p in enumerate(probs):
+            f = row[j * len(probs) + i]
+            low, high = ends[c][2 * i], ends[c][2 * i + 1]
+            position = (f["n"] - 1) * p
+            k = int(position)
+
+            def at(rank: int) -> float | None:
+                rank -= f["below"]
+                if rank < 0:
+                    return None
+                if rank < f["at_low"]:
+                    return low
+                rank -= f["at_low"]
+                if rank < len(f["between"]):
+                    return f["between"][rank]
+                return high if rank - len(f["between"]) < f["at_high"] else None
+
+            lower, upper = at(k), at(min(k + 1, f["n"] - 1))
+            if lower is None or upper is None:
+                missed.append(c)
+                break
+            result[c][i] = lower + (upper - lower) * (position - k)
+    if missed:
+        result.update(_percentiles(data, missed, probs))
+    return result
+
+
 def group_quantiles(
     df: DataFrame,
     by: Sequence[str],

@@ -43,7 +43,7 @@ def infer_kinds(df: DataFrame, columns: Sequence[str] | None = None, exact: bool
             F.count("*").alias("rows"),
             *[
                 F.struct(
-                    F.approx_count_distinct(values[c], 0.01).alias("d"),
+                    F.approx_count_distinct(values[c], 0.05).alias("d"),
                     F.max(F.when(values[c].isNull(), 1).otherwise(0)).alias("missing"),
                 ).alias(f"c{i}")
                 for i, c in enumerate(columns)
@@ -53,7 +53,7 @@ def infer_kinds(df: DataFrame, columns: Sequence[str] | None = None, exact: bool
         limit = DISCRETE_RATIO * row["rows"]
         to_count = [
             c for c in columns
-            if (0.9 * limit <= sketched[c] <= 1.1 * limit if c in numeric else sketched[c] <= 20)
+            if (0.75 * limit <= sketched[c] <= 1.25 * limit if c in numeric else sketched[c] <= 20)
         ]
     exact_counts = [_distinct(values[c]).alias(f"c{columns.index(c)}") for c in to_count]
     counted = df.agg(F.count("*").alias("rows"), *exact_counts)

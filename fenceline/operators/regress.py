@@ -128,7 +128,7 @@ def _least_squares(data: DataFrame, n: int, target: str, predictors: Sequence[st
 
 
 def huber_regression(
-    df: DataFrame, target: str, predictors: Sequence[str], rounds: int = 50, tolerance: float = 1e-8,
+    df: DataFrame, target: str, predictors: Sequence[str], rounds: int = 50, tolerance: float = 1e-6,
     task_rows: int = TASK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(coefficients, summary) by iteratively reweighted least squares with the MAD as scale.

@@ -15,7 +15,7 @@ def skewed_frame(spark, rows=5000, seed=7):
     return spark.createDataFrame(data, "row_id long, g string, x double"), g, x
 
 
-@pytest.mark.parametrize("task_rows", [1_000_000, 200, 20])
+@pytest.mark.parametrize("task_rows", [1_000_000, 1000, 100, 20])
 def test_column_quantiles_are_exact_on_both_paths(spark, task_rows):
     df, _, x = skewed_frame(spark)
     probs = [0.0, 0.25, 0.3333, 0.5, 0.75, 0.951, 1.0]
@@ -43,3 +43,13 @@ def test_ranks_of_distinct_values(spark, task_rows):
         assert r.n == mine.size
         assert r.below == (mine < r.x).sum()
         assert r["rank"] == pytest.approx((mine < r.x).sum() + ((mine == r.x).sum() + 1) / 2)
+
+
+def test_bracketed_quantiles_match_percentiles(spark):
+    from fenceline.functions.rank import _bracketed_quantiles
+
+    df, _, x = skewed_frame(spark, rows=8000)
+    probs = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.75, 0.99, 1.0]
+    for accuracy in (50, 1000):
+        got = _bracketed_quantiles(df.select("x"), ["x"], probs, accuracy)["x"]
+        assert got == pytest.approx(list(np.quantile(x, probs)), abs=1e-9)
