@@ -15,6 +15,9 @@ from ..functions.rank import TASK_ROWS, ranked_values
 # Rows the driver may merge for one page; deeper pages are located by rank.
 PAGE_MERGE_ROWS = 100_000
 
+# Common Python names of the charsets Spark knows under another one.
+CHARSETS = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "cp1252": "windows-1252"}
+
 
 def read_csv(
     spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",",
@@ -25,7 +28,10 @@ def read_csv(
     Types are inferred in one pass over the file unless a schema is given; give one
     for large inputs.
     """
-    options = {"header": True, "encoding": encoding, "sep": delimiter}
+    charset = CHARSETS.get(encoding.lower(), encoding)
+    if charset == "windows-1252":  # outside Spark's default list of charsets
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    options = {"header": True, "encoding": charset, "sep": delimiter}
     if schema is None:
         schema = spark.read.options(**options).csv(path, inferSchema=True).schema
     corrupt = "_fenceline_corrupt"
