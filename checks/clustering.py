@@ -14,7 +14,7 @@ def outliers(spark, d):
     """The outlier rows of events by the usual fences."""
     events = table(spark, d, "events")
     limits = u.fit_iqr(events, ["value"], 1.5)["value"]
-    return events.where(limits.flag("value")).select("event_id", "value", F.col("user_id").cast("double").alias("user_id"))
+    return limits.rows(events, "value").select("event_id", "value", F.col("user_id").cast("double").alias("user_id"))
 
 
 @check(

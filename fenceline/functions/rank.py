@@ -50,7 +50,7 @@ def ranked_counts(
     ``extra`` names further additive columns; each gets a ``below_<name>`` column.
     """
     keys = list(keys)
-    sizes = counts.groupBy(*keys).agg(F.count("*").alias("distinct_values"), F.sum("cnt").alias("n"))
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("distinct_values"))
     biggest = sizes.agg(F.max("distinct_values")).first()[0] or 0
     sums = ["cnt", *extra]
     names = {"cnt": "below", **{c: f"below_{c}" for c in extra}}
@@ -64,9 +64,11 @@ def ranked_counts(
             F.sum("cnt").over(whole).alias("n"),
         )
 
+    counts = cut_lineage(counts)  # read three times below, folded once
     # Value ranges for the large keys only, about task_rows / 2 distinct values each.
     pieces = min(10_000, max(2, -(-2 * biggest // task_rows)))
     fractions = [i / pieces for i in range(1, pieces)]
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("distinct_values"))
     large = sizes.where(F.col("distinct_values") > task_rows).select(*keys)
     bounds = (
         counts.join(broadcast_if_small(large), keys, "left_semi")

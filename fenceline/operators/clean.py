@@ -192,12 +192,16 @@ def treat_outliers(
             low, high, smallest = limits[c]
             x = number(c)
             if strategy == "remove":
-                # A z-score keeps |z| < 3, a fence keeps its own bounds.
-                if method == "zscore":
-                    if low is None or low != high:
-                        df = df.where((x > low) & (x < high) if low is not None else F.lit(False))
-                else:
-                    df = df.where((x >= low) & (x <= high) if low is not None else F.lit(False))
+                # Plain comparisons reach the scan; missing values and NaN fail them too.
+                # A z-score keeps |z| < 3, a fence keeps its own bounds; a column without
+                # spread has no z-score and loses nothing.
+                plain = F.col(c).cast("double")
+                if low is None:
+                    df = df.where(F.lit(False))
+                elif method == "iqr":
+                    df = df.where((plain >= low) & (plain <= high))
+                elif low != high:
+                    df = df.where((plain > low) & (plain < high))
             elif strategy == "cap" and low is not None:
                 capped = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
                 df = df.withColumn(c, capped)

@@ -38,6 +38,13 @@ class Limits:
         x = number(column)
         return F.coalesce((x < self.low) | (x > self.high), F.lit(False))
 
+    def rows(self, df: DataFrame, column: str) -> DataFrame:
+        """Only the outlier rows; written so that the fences reach a parquet scan."""
+        if self.low is None or self.high is None:
+            return df.where(F.lit(False))
+        x = F.col(column)
+        return df.where((x < self.low) | (x > self.high)).where(~F.isnan(x))
+
 
 @dataclass(frozen=True)
 class Deviation:
