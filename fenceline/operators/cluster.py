@@ -7,16 +7,18 @@ medians or incomplete rows left out, columns standardised.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import add, number
-from ..functions.lineage import cut_lineage, spread
+from ..functions.lineage import BROADCAST_ROWS, broadcast_if_small, cut_lineage, spread
 from ..functions.rank import TASK_ROWS, column_quantiles, ranked_values
 from .correlate import complete_numbers
 from .neighbours import SplitTree, located_points, nearest_rows, split_tree
@@ -28,6 +30,9 @@ ELLIPSE_95 = 5.991464547107979
 # Micro-clusters that are merged into groups: bounds what reaches the driver.
 MICRO_CLUSTERS = 200
 
+# Independent fits submitted at a time.
+CONCURRENT_FITS = 4
+
 
 def prepare(
     df: DataFrame, columns: Sequence[str], row_id: str, fill: bool = True, task_rows: int = TASK_ROWS
@@ -48,14 +53,20 @@ def _vectors(data: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(spread(data))
 
 
+def _concurrently(spark, function, items: Sequence) -> list:
+    """Run independent model fits as concurrent Spark jobs."""
+    with ThreadPool(min(CONCURRENT_FITS, max(1, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(function), items)
+
+
 def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 1, seed: int = 42) -> KMeansModel:
     """The cheapest of several k-means fits."""
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    fits = _concurrently(
+        vectors.sparkSession,
+        lambda i: KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors),
+        range(restarts),
+    )
+    return min(fits, key=lambda m: m.summary.trainingCost)
 
 
 def _square_distance(columns: Sequence[str], cluster: Column, centres: np.ndarray) -> Column:
@@ -108,15 +119,17 @@ def evaluate_k(
     top = min(largest or 10, n // 2)
     vectors = cut_lineage(_vectors(data, columns))
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    rows = []
-    for k in range(2, top + 1):
+
+    def measure(k: int) -> tuple:
         model = fit_kmeans(vectors, k, restarts, seed)
         labelled = model.setPredictionCol("cluster").transform(vectors)
         quality = cluster_quality(labelled, columns)
-        rows.append((
+        return (
             k, float(model.summary.trainingCost), float(evaluator.evaluate(labelled)),
             quality["calinski_harabasz"], quality["davies_bouldin"],
-        ))
+        )
+
+    rows = _concurrently(data.sparkSession, measure, range(2, top + 1))
     return data.sparkSession.createDataFrame(
         rows, "k int, wss double, silhouette double, calinski_harabasz double, davies_bouldin double"
     )
@@ -534,8 +547,29 @@ def _touching(pairs: DataFrame, core: DataFrame, names: list[str], eps: float) -
     return rows_of("a").cogroup(rows_of("b")).applyInPandas(compare, "a string, b string").distinct()
 
 
-def _connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """cell, label: the smallest cell of each connected component, by label passing with jumps."""
+def _connected(nodes: DataFrame, edges: DataFrame, driver_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """cell, label: the smallest cell of each connected component.
+
+    Edge lists counted to be small are joined on the driver, larger ones by
+    passing labels along edges with jumps.
+    """
+    few = edges.limit(driver_rows + 1).collect()
+    if len(few) <= driver_rows:
+        parent: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        for e in few:
+            a, b = sorted((top(e["a"]), top(e["b"])))
+            parent[a] = a
+            parent[b] = a
+        found = edges.sparkSession.createDataFrame([(c, top(c)) for c in parent], "cell string, label string")
+        joined = nodes.select("cell").join(broadcast_if_small(found), "cell", "left")
+        return joined.select("cell", F.coalesce("label", "cell").alias("label"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select("cell", F.col("cell").alias("label")))

@@ -14,7 +14,6 @@ from ..functions.columns import add
 from ..functions.lineage import spread
 from ..functions.rank import TASK_ROWS, column_quantiles
 from .correlate import complete_numbers
-from .multivariate import covariance
 
 # Huber's tuning constant, the normal quartile that scales the
 # median absolute residual, and the weight under which a row counts as ignored.
@@ -38,8 +37,8 @@ def _prepare(df: DataFrame, target: str, predictors: Sequence[str]) -> tuple[Dat
 
 def _fit(
     data: DataFrame, target: str, predictors: Sequence[str], means: Sequence[float], weight: Column | None = None
-) -> np.ndarray:
-    """(intercept, coefficients) of weighted least squares from one pass of sums.
+) -> tuple[np.ndarray, np.ndarray]:
+    """(intercept and coefficients, X'X of the centred predictors) of weighted least squares in one pass.
 
     Columns are centred by given means first, which keeps the sums well scaled.
     """
@@ -67,7 +66,7 @@ def _fit(
     solved = scale * np.linalg.lstsq(gram * np.outer(scale, scale), right * scale, rcond=None)[0]
     slopes = solved[1:]
     intercept = solved[0] + means[0] - float(np.dot(slopes, means[1:]))
-    return np.array([intercept, *slopes])
+    return np.array([intercept, *slopes]), gram
 
 
 def _means(data: DataFrame, names: Sequence[str]) -> list[float]:
@@ -78,15 +77,13 @@ def _residual(target: str, predictors: Sequence[str], coefficients: Sequence[flo
     return F.col(target) - add([F.lit(float(intercept)), *[F.lit(float(b)) * F.col(c) for b, c in zip(coefficients, predictors)]])
 
 
-def _inverse_gram(data: DataFrame, predictors: Sequence[str]) -> np.ndarray:
-    """Inverse of X'X with the intercept first, from means and covariances."""
-    n, mean, cov = covariance(data, predictors)
-    inner = np.linalg.inv(cov * (n - 1))
-    p = len(predictors)
-    full = np.zeros((p + 1, p + 1))
+def _inverse_gram(gram: np.ndarray, means: Sequence[float]) -> np.ndarray:
+    """Inverse of X'X with the intercept first, from unweighted sums about the means."""
+    inner, mean = np.linalg.inv(gram[1:, 1:]), np.asarray(means)
+    full = np.zeros_like(gram)
     full[1:, 1:] = inner
     full[0, 1:] = full[1:, 0] = -inner @ mean
-    full[0, 0] = 1.0 / n + mean @ inner @ mean
+    full[0, 0] = 1.0 / gram[0, 0] + mean @ inner @ mean
     return full
 
 
@@ -101,14 +98,16 @@ def least_squares(df: DataFrame, target: str, predictors: Sequence[str], task_ro
 
 def _least_squares(data: DataFrame, n: int, target: str, predictors: Sequence[str], task_rows: int):
     spark = data.sparkSession
-    b0, *b = (float(v) for v in _fit(data, target, predictors, _means(data, [target, *predictors])))
+    means = _means(data, [target, *predictors])
+    fitted, gram = _fit(data, target, predictors, means)
+    b0, *b = (float(v) for v in fitted)
     residual = _residual(target, predictors, b, b0)
     p = len(predictors)
     sums = data.agg(F.sum(residual * residual), F.var_pop(target) * n).first()
     sse, sst = float(sums[0]), float(sums[1])
     dof = n - p - 1
     mse = sse / dof
-    errors = np.sqrt(mse * np.diag(_inverse_gram(data, predictors)))
+    errors = np.sqrt(mse * np.diag(_inverse_gram(gram, means[1:])))
     rows = []
     for term, estimate, error in zip(["intercept", *predictors], [b0, *b], errors):
         t = estimate / error
@@ -146,7 +145,7 @@ def huber_regression(
 def _huber(data, n, target, predictors, rounds, tolerance, task_rows):
     spark = data.sparkSession
     means = _means(data, [target, *predictors])
-    current = _fit(data, target, predictors, means)
+    current, gram = _fit(data, target, predictors, means)
 
     def scale_of(residual: Column) -> float:
         sized = data.select(F.abs(residual).alias("a"))
@@ -161,7 +160,7 @@ def _huber(data, n, target, predictors, rounds, tolerance, task_rows):
     for _ in range(rounds):
         if scale == 0:
             break
-        previous, current = current, _fit(data, target, predictors, means, weight_of(residual, scale))
+        previous, (current, _) = current, _fit(data, target, predictors, means, weight_of(residual, scale))
         residual = _residual(target, predictors, current[1:], current[0])
         scale = scale_of(residual)
         if np.max(np.abs(current - previous) / np.maximum(np.abs(previous), 1e-12)) < tolerance:
@@ -179,7 +178,7 @@ def _huber(data, n, target, predictors, rounds, tolerance, task_rows):
     # Huber's first covariance form; psi' is 0 or 1, so its variance is m (1 - m).
     k = 1.0 + (p + 1) / n * (m * (1 - m)) / (m * m)
     factor = k * k * (float(sums["psi2"]) / dof) * scale**2 / (m * m)
-    errors = np.sqrt(factor * np.diag(_inverse_gram(data, predictors)))
+    errors = np.sqrt(factor * np.diag(_inverse_gram(gram, means[1:])))
     rows = []
     for term, estimate, error in zip(["intercept", *predictors], current, errors):
         z = estimate / error

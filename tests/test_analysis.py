@@ -44,6 +44,14 @@ def test_dbscan_equals_brute_force_with_hot_copies(spark, dims):
     assert (got["cluster"].to_numpy() == label).all()
 
 
+def test_components_on_the_driver_and_on_spark(spark):
+    edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "e"), ("c", "f"), ("f", "g")], "a string, b string")
+    nodes = spark.createDataFrame([(c,) for c in "abcdefgh"], "cell string")
+    expected = {"a": "a", "b": "a", "c": "a", "f": "a", "g": "a", "d": "d", "e": "d", "h": "h"}
+    for driver_rows in (100, 0):
+        assert {r["cell"]: r["label"] for r in cluster._connected(nodes, edges, driver_rows).collect()} == expected
+
+
 def test_clusters_and_tendency(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 0.2, (60, 2)), rng.normal(5, 0.2, (60, 2)), rng.normal([0, 5], 0.2, (60, 2))])
