@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 200_000
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def _checkpoint_dir(spark) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
