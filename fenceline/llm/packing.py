@@ -116,9 +116,9 @@ def pack(
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     path = path or vocabulary_path("byte_bpe_50k.json")
     rank_path = rank_path or vocabulary_path("byte_bpe_50k.tiktoken")
-    work = df.select(column(doc_id), F.coalesce(column(text), F.lit("")).alias(TEXT))
-    kind, closing = work.schema.fields[0], np.array([close_id], "<u4").tobytes()
-    names = [kind.name, *[name for name, _ in FIELDS]]
+    work = df.select(column(doc_id).alias("document"), F.coalesce(column(text), F.lit("")).alias(TEXT))
+    closing = np.array([close_id], "<u4").tobytes()
+    names = ["document", *[name for name, _ in FIELDS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, rank_path)
@@ -143,4 +143,4 @@ def pack(
             packer.close(powers)
             yield out(kinds)
 
-    return work.mapInArrow(run, ddl(work, [kind.name], FIELDS))
+    return work.mapInArrow(run, ddl(work, FIELDS)).withColumnRenamed("document", doc_id)

@@ -29,7 +29,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .rows import over_texts
+from .rows import column, over_texts
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -177,4 +177,4 @@ def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataF
         new = [redacted(t) for t in texts]
         return [new, [len(t) for t in new]]
 
-    return over_texts(df, text, df.columns, work, [(text, pa.string()), (n_chars, pa.int64())]).select(*df.columns)
+    return over_texts(df, text, df.columns, work, [(text, pa.string()), (n_chars, pa.int64())]).select(*map(column, df.columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import cut_lineage
-from .rows import column, over_texts
+from .rows import column, ddl, over_texts
 
 STATISTICS = (
     "log_words", "log_word_length", "upper", "digits", "marks", "shouts", "bars", "stops",
@@ -144,16 +144,17 @@ def held_out(doc_id: str = "doc_id"):
 
 def score(features: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and ``score`` from the array ``features``."""
-    kinds = {f.name: f.dataType.simpleString() for f in features.schema.fields}
+    work = features.select(*[column(c).alias(f"kept{i}") for i, c in enumerate(keep)], "features")
 
     def run(batches):
         for batch in batches:
             vectors = batch.column(batch.num_columns - 1)
             x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
             made = pa.array(model.scores(x) if len(x) else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*work_names, "score"])
 
-    return features.select(*[column(c) for c in keep], "features").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    work_names = work.columns[:-1]
+    return work.mapInArrow(run, ddl(work, [("score", pa.float64())])).toDF(*keep, "score")
 
 
 def learned(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Discriminant]:

@@ -27,10 +27,10 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def ddl(df: DataFrame, keep: Sequence[str], fields: Sequence[tuple[str, pa.DataType]]) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    parts = [f"`{c}` {kinds[c]}" for c in keep] + [f"`{name}` {SPARK_TYPES[kind]}" for name, kind in fields]
-    return ", ".join(parts)
+def ddl(df: DataFrame, fields: Sequence[tuple[str, pa.DataType]]) -> str:
+    """All of df's columns but the last, the text, and then the fields."""
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]
+    return ", ".join(kept + [f"`{name}` {SPARK_TYPES[kind]}" for name, kind in fields])
 
 
 def over_texts(
@@ -49,9 +49,10 @@ def over_texts(
     """
     names = [name for name, _ in fields]
     keep = [c for c in keep if c not in names]
-    work = df.select(*[column(c) for c in keep], F.coalesce(column(text), F.lit("")).alias(TEXT))
+    # Kept columns travel under plain names, as a name with a dot cannot.
+    work = df.select(*[column(c).alias(f"kept{i}") for i, c in enumerate(keep)], F.coalesce(column(text), F.lit("")).alias(TEXT))
     kinds = [kind for _, kind in fields]
-    out_names = [*keep, *names]
+    out_names = [*work.columns[:-1], *names]
     flag = names.index(only) if only else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,4 +61,4 @@ def over_texts(
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=out_names)
             yield out.filter(made[flag]) if flag is not None else out
 
-    return work.mapInArrow(run, ddl(work, keep, fields))
+    return work.mapInArrow(run, ddl(work, fields)).toDF(*keep, *names)

@@ -28,7 +28,7 @@ from .rows import over_texts
 from .vocabulary import pieces, ranks, splitting_pattern, vocabulary_path
 
 #: Nodes and pieces a worker keeps before it starts anew.
-NODES, REMEMBERED = 1_000_000, 400_000
+NODES, REMEMBERED = 400_000, 200_000
 
 
 def log_probabilities(own: dict[bytes, int]) -> dict[bytes, float]:

@@ -200,5 +200,5 @@ def edited(
             columns = zip(*out) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(columns, kinds)], names=["id", *[n for n, _ in FIELDS]])
 
-    made = dealt.mapInArrow(run, f"id {kind.simpleString()}, " + ddl(df, [], FIELDS))
+    made = dealt.mapInArrow(run, ddl(rows.select("id", TEXT), FIELDS))
     return made.withColumnRenamed("id", doc_id)
