@@ -13,21 +13,23 @@ def missing_drop(spark, d):
     return c.fill_missing(gappy(spark, d), "drop")
 
 
-@check(
-    "missing_mean",
-    f"SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM {GAPPY_SQL})), 6) AS value FROM {GAPPY_SQL}",
-)
+FILLED_SQL = f"""SELECT event_id, user_id, event_type, round(coalesce(value, (SELECT {{}}(value) FROM {GAPPY_SQL})), 6) AS value,
+    'bigint' AS id_type FROM {GAPPY_SQL}"""
+
+
+def filled(spark, d, strategy):
+    after = c.fill_missing(gappy(spark, d), strategy)
+    return rounded(after, "value").withColumn("id_type", F.lit(dict(after.dtypes)["event_id"]))
+
+
+@check("missing_mean", FILLED_SQL.format("avg"))
 def missing_mean(spark, d):
-    filled = c.fill_missing(gappy(spark, d), "mean", columns=["value", "event_type"])
-    return rounded(filled.select("event_id", "value"), "value")
+    return filled(spark, d, "mean")
 
 
-@check(
-    "missing_median",
-    f"SELECT event_id, round(coalesce(value, (SELECT median(value) FROM {GAPPY_SQL})), 6) AS value FROM {GAPPY_SQL}",
-)
+@check("missing_median", FILLED_SQL.format("median"))
 def missing_median(spark, d):
-    return rounded(c.fill_missing(gappy(spark, d), "median", columns=["value"]).select("event_id", "value"), "value")
+    return filled(spark, d, "median")
 
 
 @check(

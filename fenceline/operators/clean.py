@@ -76,14 +76,20 @@ def convert_and_retype(df: DataFrame, variable: str, target: str) -> tuple[DataF
 
 
 def fill_missing(
-    df: DataFrame, strategy: str, value=None, columns: Sequence[str] | None = None, task_rows: int = TASK_ROWS
+    df: DataFrame, strategy: str, value=None, columns: Sequence[str] | None = None, row_id: str | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """drop, mean, median (numeric columns), mode (text columns) or constant (every column)."""
-    columns = list(columns or df.columns)
+    """drop, mean, median (numeric columns), mode (text columns) or constant (every column but row_id).
+
+    Columns without missing values stay as they are, type included.
+    """
+    columns = [c for c in columns or df.columns if c != row_id]
     if strategy == "drop":
         return df.where(~_any_missing(df, columns))
     if strategy in ("mean", "median"):
-        chosen = [c for c in columns if is_numeric(df, c)]
+        chosen = _with_gaps(df, [c for c in columns if is_numeric(df, c)])
+        if not chosen:
+            return df
         if strategy == "mean":
             stats = moments(df, chosen)
             fills = {c: stats[c]["mean"] for c in chosen}
@@ -102,6 +108,14 @@ def fill_missing(
     raise ValueError(f"unknown strategy: {strategy}")
 
 
+def _with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those columns that have missing values, in one pass."""
+    if not columns:
+        return []
+    row = df.agg(*[F.count_if(_missing(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return [c for c, n in zip(columns, row) if n]
+
+
 def _any_missing(df: DataFrame, columns: Sequence[str]) -> Column:
     found = F.lit(False)
     for c in columns:

@@ -62,17 +62,14 @@ def kaplan_meier(pairs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     at_risk = ranked_counts(counts, ["is_outlier"], "time", ["events"], task_rows).select(
         "is_outlier", "time", "cnt", "events", (F.col("n") - F.col("below")).alias("at_risk"), "n"
     )
-    # A product over times is a running sum of logs; an interval nobody survives
-    # has no log and is counted instead.
-    all_died = F.col("events") == F.col("at_risk")
-    logs = at_risk.withColumns({
-        "log_step": F.when(all_died, 0.0).otherwise(F.log1p(-F.col("events") / F.col("at_risk"))),
-        "ends": all_died.cast("long"),
-    })
-    running = ranked_counts(logs, ["is_outlier"], "time", ["events", "log_step", "ends"], task_rows)
-    survived = F.when(F.col("below_ends") + F.col("ends") > 0, 0.0).otherwise(
-        F.exp(F.col("below_log_step") + F.col("log_step"))
-    )
+    # The product of (at risk - events) / at risk telescopes: where nobody is censored, what is left of one
+    # time is at risk at the next. So the curve is a ratio of counts, exact without censoring, times a running
+    # sum of logs over the censored alone. The last time has no successor and no factor.
+    left = F.col("at_risk") - F.col("events")
+    censored = F.col("cnt") - F.col("events")
+    logs = at_risk.withColumn("log_step", F.when(left > censored, F.log1p(-censored / left)).otherwise(0.0))
+    running = ranked_counts(logs, ["is_outlier"], "time", ["events", "log_step"], task_rows)
+    survived = (F.col("n") - F.col("below") - F.col("events")) / F.col("n") * F.exp(-F.col("below_log_step"))
     curve = running.select(
         "is_outlier", "time", (F.col("n") - F.col("below")).alias("at_risk"), "events", survived.alias("survival")
     )
@@ -83,9 +80,9 @@ def kaplan_meier(pairs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 
 
 def median_survival(curve: DataFrame) -> DataFrame:
-    """First time at which survival is at most one half, NULL if it never is."""
+    """First time at which survival is at most one half (within rounding), NULL if it never is."""
     return curve.groupBy("is_outlier").agg(
-        F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median_survival")
+        F.min(F.when(F.col("survival") <= 0.5 * (1 + 1e-12), F.col("time"))).alias("median_survival")
     )
 
 
