@@ -7,15 +7,15 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
-from ..functions.columns import any_of, number, scalar_function
-from ..functions.lineage import cut_lineage, spread
-from ..functions.rank import TASK_ROWS, column_quantiles, long_quantiles, ranked_counts
+from ..functions.columns import number, scalar_function
+from ..functions.lineage import broadcast_if_small, cut_lineage, spread
+from ..functions.rank import TASK_ROWS, column_quantiles, ranked_counts, ranked_values
 from .profile import is_numeric
 from .reduce import scale_factors, standardise
 
@@ -32,10 +32,25 @@ def encode(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> D
     ).dropna("any", subset=columns)
     if not text:
         return data
-    coded = [f"_code_{c}" for c in text]
-    indexer = StringIndexer(inputCols=text, outputCols=coded, stringOrderType="alphabetAsc").fit(data)
-    return indexer.transform(data).select(
-        *keep, *[F.col(f"_code_{c}").alias(c) if c in text else F.col(c) for c in columns]
+    for c in text:
+        codes = _alphabetical_codes(data.select(F.col(c).alias("_value")).distinct())
+        data = data.join(broadcast_if_small(codes), F.col(c) == F.col("_value")).withColumn(c, F.col("_code")).drop("_value", "_code")
+    return data.select(*keep, *columns)
+
+
+def _alphabetical_codes(values: DataFrame) -> DataFrame:
+    """_value, _code: how many of the distinct values come before it.
+
+    Values are dealt out by ranges and numbered inside each; only the sizes of the
+    ranges meet in one task.
+    """
+    ranged = cut_lineage(values.repartitionByRange("_value").withColumn("_piece", F.spark_partition_id()))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_piece").count().select("_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_piece").orderBy("_value")
+    numbered = ranged.withColumn("_place", F.row_number().over(inside) - 1)
+    return numbered.join(F.broadcast(starts), "_piece").select(  # one row per range
+        "_value", (F.col("_start") + F.col("_place")).cast("double").alias("_code")
     )
 
 
@@ -43,19 +58,19 @@ def stratified_split(
     df: DataFrame, label: str, row_id: str, test_share: float = 0.2, order: Column | None = None,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """df with is_test: the same share of every label, decided by a hash of row_id.
+    """df with is_test: round(n * test_share) of a label's n rows, the first by a hash of row_id; one row at least trains.
 
-    The hash threshold of each label is an exact quantile, so no label is sorted
-    in one task and the split is the same however rows are distributed.
+    The cut of each label is an exact order statistic, so no label is sorted in one
+    task and the split is the same however rows are distributed. Rows that tie at the
+    cut train.
     """
     position = order if order is not None else F.xxhash64(F.col(row_id), F.lit(42))
-    keyed = df.withColumn("_order", position.cast("double"))
-    cuts = long_quantiles(keyed.select(F.col(label).alias("_label"), F.col("_order").alias("x")), ["_label"], [test_share], task_rows)
-    # One row per label; the two labels of a classifier.
-    is_test = any_of(
-        F.col(label).eqNullSafe(F.lit(r["_label"])) & (F.col("_order") <= r["value"]) for r in cuts.collect()
-    )
-    return keyed.withColumn("is_test", is_test).drop("_order")
+    keyed = df.withColumn("_order", position)
+    ranked = ranked_values(keyed.select(F.col(label).alias("_label"), F.col("_order").alias("x")), ["_label"], task_rows=task_rows)
+    wanted = F.least(F.round(F.col("n") * test_share), F.col("n") - 1)
+    cuts = ranked.where((F.col("below") <= wanted) & (wanted < F.col("below") + F.col("cnt"))).select("_label", F.col("x").alias("_cut"))
+    split = keyed.join(broadcast_if_small(cuts), F.col(label).eqNullSafe(F.col("_label")))
+    return split.withColumn("is_test", F.col("_order") < F.col("_cut")).drop("_order", "_label", "_cut")
 
 
 # ---------------------------------------------------------------- metrics
@@ -186,15 +201,16 @@ def logistic_characterisation(
     df: DataFrame, columns: Sequence[str], row_id: str, flag: str = "is_outlier", c: float = 1.0,
     test_share: float = 0.2, max_features: int | None = None, task_rows: int = TASK_ROWS,
 ) -> dict[str, DataFrame]:
-    """Ridge logistic regression of the outlier label: metrics, roc, coefficients, wald, warnings.
+    """Ridge logistic regression of the outlier label: metrics, roc, coefficients, wald, warnings, selection.
 
     Trained on the standardised training part, measured on the test part. With
-    max_features only the best ranked numeric features are kept if there are more.
+    max_features only the best ranked features are kept if there are more; text is
+    ranked by its codes. selection says of every feature whether it was kept.
     """
-    columns = [x for x in columns if x != row_id]
+    columns = offered = [x for x in columns if x != row_id]
     if max_features and len(columns) > max_features:
-        numeric = [x for x in columns if is_numeric(df, x)]
-        columns = select_features(rank_features(df, numeric, flag, task_rows=task_rows), max_features)
+        coded = encode(df, columns, [flag])
+        columns = select_features(rank_features(coded, columns, flag, task_rows=task_rows), max_features)
     data = _split_data(df, columns, row_id, flag, test_share, task_rows)
     sizes = _class_counts(data)
     if sum(sizes.values()) < 20 or len(sizes) < 2:
@@ -236,6 +252,7 @@ def logistic_characterisation(
         "coefficients": coefficients,
         "wald": wald,
         "warnings": spark.createDataFrame(list(warnings.items()), "warning string, raised boolean"),
+        "selection": spark.createDataFrame([(x, x in columns) for x in offered], "variable string, kept boolean"),
     }
 
 
@@ -256,15 +273,9 @@ def wald_table(vectors: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def forest_size(n: int) -> tuple[int, int, int]:
-    """(trees, depth, rows per leaf) by the number of training rows."""
-    depth, leaf = (3, 2) if n < 20 else (5, 2) if n < 50 else (7, 1) if n < 100 else (10, 1)
-    return min(100, max(50, n // 2)), depth, leaf
-
-
 def random_forest(
     df: DataFrame, columns: Sequence[str], row_id: str, flag: str = "is_outlier", test_share: float = 0.2,
-    seed: int = 42, task_rows: int = TASK_ROWS,
+    seed: int = 42, task_rows: int = TASK_ROWS, trees: int = 100, depth: int = 10, leaf: int = 1,
 ) -> dict[str, DataFrame]:
     """Balanced random forest of the outlier label: metrics, roc, importance, warnings."""
     columns = [x for x in columns if x != row_id]
@@ -275,7 +286,6 @@ def random_forest(
         raise ValueError("both classes must occur in the training and the test part")
     n = sum(sizes.values())
     weight = F.when(F.col("label") == 1.0, n / (2.0 * sizes[1.0])).otherwise(n / (2.0 * sizes[0.0]))
-    trees, depth, leaf = forest_size(n)
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     model = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight",
