@@ -252,13 +252,28 @@ def student_t(spark, d):
     return rounded(c.t_statistics(c.grouped_moments(events_flagged(spark, d), ["user_id"])), "t", "p_value")
 
 
-@check("student_t_after_normality")
+NATIONS_SQL = """(SELECT avg(c_acctbal) AS mean_balance, any_value(n_regionkey) < 2 AS is_outlier
+    FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey)"""
+
+
+def student_t_gate_sql(normality_sql):
+    """SQL of the t test with its gate, given the SQL of the normality test."""
+    gates = " UNION ALL ".join(
+        normality_sql(["mean_balance"], f"(SELECT * FROM {NATIONS_SQL} WHERE is_outlier = {flag})") for flag in ("true", "false")
+    )
+    return f"""WITH g AS (SELECT is_outlier o, count(*)::DOUBLE n, avg(mean_balance) m, var_samp(mean_balance) v FROM {NATIONS_SQL} GROUP BY 1),
+    s AS (SELECT a.n + b.n - 2 AS dof, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS t
+      FROM g a, g b WHERE a.o AND NOT b.o)
+    SELECT 'mean_balance' AS variable, round(t, 6) AS t, dof::BIGINT AS dof, round({t_two_sided('t', 'dof')}, 6) AS p_value,
+      (SELECT bool_and(is_normal) FROM ({gates})) AS both_normal FROM s"""
+
+
 def student_t_after_normality(spark, d):
     # Mean balances of nations are close to normal, single balances are not.
     nations = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean_balance"))
     regions = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     flagged = nations.join(regions, "c_nationkey").withColumn("is_outlier", F.col("n_regionkey") < 2)
-    return c.student_t(flagged, ["mean_balance"])
+    return rounded(c.student_t(flagged, ["mean_balance"]), "t", "p_value")
 
 
 @check(

@@ -167,8 +167,3 @@ def centrality_change(spark, d):
 )
 def hub_changes(spark, d):
     return k.hub_changes(k.degree_centrality(edges(spark, d), COLUMNS))
-
-
-@check("path_centrality")
-def path_centrality(spark, d):
-    return k.path_centrality(edges(spark, d), COLUMNS)

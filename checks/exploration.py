@@ -29,7 +29,7 @@ def statistics_by_category(spark, d):
 
 
 HISTOGRAM = """WITH d AS (SELECT {by} value AS x FROM {source} WHERE value IS NOT NULL {present}),
-  s AS (SELECT {by} min(x) x0, max(x) x1, least(30, greatest(5, floor(sqrt(count(*)))))::BIGINT AS bins FROM d {group}),
+  s AS (SELECT {by} min(x) x0, max(x) x1, {bins}::BIGINT AS bins FROM d {group}),
   w AS (SELECT *, (x1 - x0) / bins AS width FROM s)
   SELECT {by} least(bins - 1, floor((x - x0) / width))::BIGINT AS bin,
     round(x0 + least(bins - 1, floor((x - x0) / width)) * width, 6) AS low,
@@ -37,7 +37,15 @@ HISTOGRAM = """WITH d AS (SELECT {by} value AS x FROM {source} WHERE value IS NO
   FROM d {join} GROUP BY ALL"""
 
 
-@check("histogram", HISTOGRAM.format(by="", source=GAPPY_SQL, present="", group="", join=", w"))
+@check(
+    "histogram_size_rule",
+    HISTOGRAM.format(bins="least(30, greatest(5, floor(sqrt(count(*)))))", by="", source="(SELECT s_acctbal AS value FROM supplier)", present="", group="", join=", w"),
+)
+def histogram_size_rule(spark, d):
+    return rounded(e.histogram(table(spark, d, "supplier"), "s_acctbal", size_rule=True), "low", "high")
+
+
+@check("histogram", HISTOGRAM.format(bins=30, by="", source=GAPPY_SQL, present="", group="", join=", w"))
 def histogram(spark, d):
     return rounded(e.histogram(gappy(spark, d), "value"), "low", "high")
 
@@ -45,7 +53,7 @@ def histogram(spark, d):
 @check(
     "histogram_by_category",
     HISTOGRAM.format(
-        by="event_type,", source=GAPPY_SQL, present="AND event_type IS NOT NULL", group="GROUP BY event_type",
+        bins=30, by="event_type,", source=GAPPY_SQL, present="AND event_type IS NOT NULL", group="GROUP BY event_type",
         join="JOIN w USING (event_type)",
     ),
 )

@@ -114,13 +114,13 @@ def flags_long(spark, d):
 
 @check(
     "set_comparison",
-    """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 100),
-    b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 100)
+    """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'),
+    b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
     SELECT user_id, CASE WHEN user_id NOT IN (SELECT user_id FROM b) THEN 'first only' ELSE 'common' END AS side FROM a
     UNION ALL SELECT user_id, 'second only' FROM b WHERE user_id NOT IN (SELECT user_id FROM a)""",
 )
 def set_comparison(spark, d):
-    events = table(spark, d, "events").where("value > 100")
+    events = table(spark, d, "events")
     return m.compare_sets(
         events.where("event_type = 'purchase'"), events.where("event_type = 'error'"), "user_id"
     )

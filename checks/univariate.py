@@ -11,7 +11,7 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount"]
     "iqr_flags",
     """
     WITH q AS (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3, count(*) n FROM events),
-    f AS (SELECT q1, q3, q3 - q1 AS iqr, CASE WHEN n < 100 THEN 3.0 WHEN n < 1000 THEN 2.0 ELSE 1.5 END AS k FROM q)
+    f AS (SELECT q1, q3, q3 - q1 AS iqr, 1.5 AS k FROM q)
     SELECT event_id, value, (iqr <> 0 AND (value < q1 - k * iqr OR value > q3 + k * iqr)) AS is_outlier
     FROM events, f
     """,
@@ -27,7 +27,7 @@ def iqr_flags(spark, d):
     """
     WITH q AS (SELECT event_type, quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3, count(*) n
                FROM events GROUP BY 1),
-    f AS (SELECT *, CASE WHEN n < 100 THEN 3.0 WHEN n < 1000 THEN 2.0 ELSE 1.5 END AS k FROM q),
+    f AS (SELECT *, 1.5 AS k FROM q),
     m AS (SELECT e.event_type, (value < q1 - k * (q3 - q1) OR value > q3 + k * (q3 - q1)) AS o
           FROM events e JOIN f USING (event_type))
     SELECT event_type, count(*)::BIGINT AS n, sum(o::INT)::BIGINT AS outliers,
@@ -45,6 +45,25 @@ def group_iqr_summary(spark, d):
     )
 
 
+@check(
+    "group_fences_size_rule",
+    """
+    WITH q AS (SELECT s_nationkey, quantile_cont(s_acctbal, 0.25) q1, quantile_cont(s_acctbal, 0.75) q3, count(*) n FROM supplier GROUP BY 1
+      UNION ALL SELECT 100, quantile_cont(s_acctbal, 0.25), quantile_cont(s_acctbal, 0.75), count(*) FROM supplier
+      UNION ALL SELECT 101, quantile_cont(c_acctbal, 0.25), quantile_cont(c_acctbal, 0.75), count(*) FROM customer),
+    f AS (SELECT *, CASE WHEN n < 100 THEN 3.0 WHEN n < 1000 THEN 2.0 ELSE 1.5 END AS k FROM q)
+    SELECT s_nationkey AS place, 'balance' AS variable, n::BIGINT AS n, round(CASE WHEN q3 <> q1 THEN q1 - k * (q3 - q1) END, 6) AS low,
+      round(CASE WHEN q3 <> q1 THEN q3 + k * (q3 - q1) END, 6) AS high FROM f
+    """,
+)
+def group_fences_size_rule(spark, d):
+    supplier, customer = table(spark, d, "supplier"), table(spark, d, "customer")
+    rows = supplier.select(F.explode(F.array(F.col("s_nationkey").cast("long"), F.lit(100).cast("long"))).alias("place"), F.col("s_acctbal").alias("balance"))
+    rows = rows.unionAll(customer.select(F.lit(101).cast("long"), "c_acctbal"))
+    fences = u.group_fences(rows, ["place"], ["balance"], size_rule=True)
+    return fences.select("place", "variable", "n", r("low").alias("low"), r("high").alias("high"))
+
+
 @check(
     "zscore_flags",
     """

@@ -109,14 +109,13 @@ def cluster_quality(labelled: DataFrame, columns: Sequence[str], label: str = "c
 
 
 def evaluate_k(
-    data: DataFrame, columns: Sequence[str], largest: int | None = None, restarts: int = 1, seed: int = 42
+    data: DataFrame, columns: Sequence[str], largest: int = 10, restarts: int = 1, seed: int = 42
 ) -> DataFrame:
-    """k, wss, silhouette, calinski_harabasz, davies_bouldin for k = 2..min(10, n / 2).
+    """k, wss, silhouette, calinski_harabasz, davies_bouldin for k = 2..largest (at most the rows there are).
 
     The silhouette is Spark's, on squared Euclidean distance.
     """
-    n = data.count()
-    top = min(largest or 10, n // 2)
+    top = min(largest, data.count())
     vectors = cut_lineage(_vectors(data, columns))
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
 
@@ -209,13 +208,14 @@ def hierarchical_groups(
 ) -> dict[str, DataFrame]:
     """Agglomerated groups: k-means micro-clusters merged by ward or centroid distance.
 
-    Rows are clustered on Spark into at most `micro` small clusters; only their
-    sizes and centres (micro x p numbers) are merged on the driver.
+    Rows are clustered on Spark into `micro` small clusters (fewer only if there are
+    fewer rows; quality names the number); only their sizes and centres, micro x p
+    numbers, are merged on the driver.
     """
     if linkage not in ("ward", "centroid"):
         raise ValueError(f"unknown linkage: {linkage}")
     vectors = cut_lineage(_vectors(data, columns))
-    micro = max(groups, min(micro, vectors.count() // 2))
+    micro = max(groups, min(micro, vectors.count()))
     model = fit_kmeans(vectors, micro, 1, seed)
     small = cut_lineage(model.setPredictionCol("micro").transform(vectors))
     found = small.groupBy("micro").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns]).collect()
@@ -246,16 +246,16 @@ def hierarchical_groups(
         ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
     ) if groups > 1 else float("nan")
     quality["cut_height"] = heights[-1] if heights else 0.0
+    quality["micro_clusters"] = float(len(found))
     return _cluster_view(labelled.drop("features"), columns, row_id, quality)
 
 
 def outlier_subtypes(
-    df: DataFrame, columns: Sequence[str], row_id: str, restarts: int = 10, seed: int = 42,
+    df: DataFrame, columns: Sequence[str], row_id: str, restarts: int = 10, seed: int = 42, largest: int = 5,
 ) -> dict[str, DataFrame]:
-    """k-means of complete outlier rows with k = 2..min(5, max(2, n / 3)) by silhouette."""
+    """k-means of complete outlier rows with k = 2..largest by silhouette."""
     data = prepare(df, columns, row_id, fill=False)
-    n = data.count()
-    evaluated = evaluate_k(data, columns, min(5, max(2, n // 3)), 1, seed)
+    evaluated = evaluate_k(data, columns, largest, 1, seed)
     k = choose_k(evaluated).first()["silhouette"]
     return {"evaluated": evaluated, **kmeans_clusters(data, columns, row_id, k, restarts, seed)}
 
@@ -296,8 +296,7 @@ def clustering_tendency(data: DataFrame, columns: Sequence[str], seed: int = 42,
 
 
 def dbscan(
-    data: DataFrame, columns: Sequence[str], row_id: str, eps: float = 0.5, min_rows: int | None = None,
-    leaf_rows: int = 512,
+    data: DataFrame, columns: Sequence[str], row_id: str, eps: float, min_rows: int, leaf_rows: int = 512,
 ) -> DataFrame:
     """row_id, cluster (-1 noise), is_core by density with radius eps.
 
@@ -311,14 +310,12 @@ def dbscan(
     columns = list(columns)
     names = [f"x{i}" for i in range(len(columns))]
     rows = data.select(row_id, *[F.col(c).alias(x) for c, x in zip(columns, names)]).dropna()
-    n = rows.count()
-    least = min_rows if min_rows is not None else max(2, n // 10)
     points = cut_lineage(
         rows.groupBy(*names).agg(F.count("*").alias("weight"), F.min(row_id).alias("point"))
     )
     tree = split_tree(points, names, leaf_rows)
     located = cut_lineage(located_points(points, names, tree))
-    core = cut_lineage(_mark_core(located, names, tree, eps, least))
+    core = cut_lineage(_mark_core(located, names, tree, eps, min_rows))
     if core.where("is_core").isEmpty():
         return rows.select(row_id, F.lit(-1).cast("long").alias("cluster"), F.lit(False).alias("is_core"))
     labels = _join_cells(core.where("is_core"), names, eps)

@@ -13,9 +13,8 @@ from ..functions.columns import (
     effect_label, finite, melt, melt_text, p_value_text, scalar_function, significance_code,
 )
 from ..functions.rank import TASK_ROWS, long_quantiles, ranked_counts
+from .outlier_tests import anderson_groups, anderson_p
 
-# Largest sample the Shapiro-Wilk gate of the t test looks at.
-SHAPIRO_ROWS = 5000
 
 # Values of a variable per task when tables are simulated.
 BLOCK_VALUES = 10_000
@@ -297,29 +296,20 @@ def draw_margins(rng: np.random.Generator, rows: np.ndarray, sample: int) -> np.
 # ---------------------------------------------------------------- t test and profile
 
 
-def student_t(df: DataFrame, columns: Sequence[str], flag: str = "is_outlier") -> DataFrame:
-    """Equal-variance t test for variables whose groups both pass Shapiro-Wilk at 5 %.
+def student_t(
+    df: DataFrame, columns: Sequence[str], flag: str = "is_outlier", alpha: float = 0.05, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """Equal-variance t test of every variable, with the gate of whether both groups pass Anderson-Darling at alpha.
 
-    Groups above 5000 rows never pass, as the gate is not computed there.
+    both_normal is false where a group has under 3 values or no spread.
     """
     long = melt(_flagged(df, flag), columns, ["is_outlier"])
-    groups = long.groupBy("variable", "is_outlier").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var")
-    )
-    tested = groups.where((F.col("n") >= 3) & (F.col("n") <= SHAPIRO_ROWS)).select("variable", "is_outlier")
-    small = long.join(F.broadcast(tested), ["variable", "is_outlier"])  # two rows per named variable
-
-    def shapiro(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = special.shapiro_wilk(pdf["x"].to_numpy())
-        return pd.DataFrame(
-            {"variable": [pdf["variable"].iloc[0]], "is_outlier": [bool(pdf["is_outlier"].iloc[0])], "normal_p": [p]}
-        )
-
-    gate = small.groupBy("variable", "is_outlier").applyInPandas(
-        shapiro, "variable string, is_outlier boolean, normal_p double"
+    tested = anderson_groups(long, ["variable", "is_outlier"], task_rows).where("n >= 3")
+    passed = tested.where(anderson_p(F.col("statistic"), F.col("n")) > alpha)
+    gate = passed.groupBy("variable").agg((F.count("*") == 2).alias("both_normal"))
+    return t_statistics(grouped_moments(df, columns, flag)).join(gate, "variable", "left").select(
+        "variable", "t", "dof", "p_value", F.coalesce("both_normal", F.lit(False)).alias("both_normal")
     )
-    passed = gate.where("normal_p > 0.05").groupBy("variable").count().where("count = 2").select("variable")
-    return t_statistics(groups.join(passed, "variable", "left_semi"))
 
 
 def t_statistics(groups: DataFrame) -> DataFrame:

@@ -240,47 +240,3 @@ def hub_changes(centrality: DataFrame) -> DataFrame:
         F.col("side") == "second only", "normal only"
     ).otherwise("common")
     return sides.select("node", label.alias("side"))
-
-
-def path_centrality(edges: DataFrame, nodes: Sequence[str]) -> DataFrame:
-    """Closeness and betweenness of every node per group (unweighted, normalised).
-
-    The graph's nodes are table columns, so one group holds at most as many edges
-    as there are column pairs; groups are processed in parallel.
-    """
-    names = list(nodes)
-
-    def centralities(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {v: set() for v in names}
-        for a, b in zip(pdf["first"], pdf["second"]):
-            near[a].add(b)
-            near[b].add(a)
-        between = dict.fromkeys(names, 0.0)
-        close = {}
-        for source in names:
-            # Breadth-first levels with the number of shortest paths to each node.
-            distance, paths, parents, order = {source: 0}, {source: 1.0}, {source: []}, [source]
-            for v in order:
-                for w in sorted(near[v]):
-                    if w not in distance:
-                        distance[w], paths[w], parents[w] = distance[v] + 1, 0.0, []
-                        order.append(w)
-                    if distance[w] == distance[v] + 1:
-                        paths[w] += paths[v]
-                        parents[w].append(v)
-            total, reached = sum(distance.values()), len(order) - 1
-            close[source] = (reached / total) * (reached / (len(names) - 1)) if total else 0.0
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order[1:]):
-                for v in parents[w]:
-                    share[v] += paths[v] / paths[w] * (1.0 + share[w])
-                between[w] += share[w]
-        scale = 1.0 / ((len(names) - 1) * (len(names) - 2)) if len(names) > 2 else 0.0
-        return pd.DataFrame({
-            "is_outlier": bool(pdf["is_outlier"].iloc[0]), "node": names,
-            "closeness": [close[v] for v in names], "betweenness": [between[v] * scale for v in names],
-        })
-
-    return edges.select("is_outlier", "first", "second").groupBy("is_outlier").applyInPandas(
-        centralities, "is_outlier boolean, node string, closeness double, betweenness double"
-    )

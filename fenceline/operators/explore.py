@@ -42,13 +42,15 @@ def variable_statistics(
     return base.join(quantiles, keys, "left").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def histogram(df: DataFrame, variable: str, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width counts with min(30, max(5, floor(sqrt n))) bins: by..., bin, low, high, count."""
+def histogram(df: DataFrame, variable: str, by: Sequence[str] = (), bins: int = 30, size_rule: bool = False) -> DataFrame:
+    """Equal-width counts: by..., bin, low, high, count; size_rule takes floor(sqrt n) bins, from 5 to ``bins``."""
     by = list(by)
     data = _value(df, variable, by)
     ranges = data.groupBy(*by).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.least(F.lit(30), F.greatest(F.lit(5), F.floor(F.sqrt(F.count("*"))))).alias("bins"),
+        (
+            F.least(F.lit(bins), F.greatest(F.lit(5), F.floor(F.sqrt(F.count("*"))))) if size_rule else F.lit(bins)
+        ).cast("long").alias("bins"),
     )
     ranges = ranges.withColumn("width", (F.col("x1") - F.col("x0")) / F.col("bins"))
     if by:
@@ -180,7 +182,7 @@ def detector_counts(
     from .univariate import fit_iqr, fit_zscore, moments
 
     stats = moments(df, columns)
-    iqr, z = fit_iqr(df, columns, None, stats, task_rows), fit_zscore(df, columns, 3.0, stats)
+    iqr, z = fit_iqr(df, columns, stats=stats, task_rows=task_rows), fit_zscore(df, columns, 3.0, stats)
     row = df.agg(*[
         F.struct(
             F.lit(c).alias("variable"),

@@ -15,8 +15,8 @@ from ..functions.rank import TASK_ROWS, column_quantiles
 from .correlate import PAIRS_PER_PASS, complete_numbers
 from .neighbours import neighbour_edges
 
-# Fixed value: largest share of rows the two ranking detectors may flag.
-MAX_CONTAMINATION = 0.1
+# Neighbours of the local outlier factor unless asked otherwise.
+NEIGHBOURS = 20
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -70,28 +70,29 @@ def mahalanobis(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -
 
 def _flag_worst(df: DataFrame, scores: DataFrame, row_id: str, name: str, contamination: float, task_rows: int) -> DataFrame:
     """Join scores to df and flag those above the (1 - contamination) quantile."""
-    share = min(contamination, MAX_CONTAMINATION)
-    cut = column_quantiles(scores, [f"{name}_score"], [1.0 - share], task_rows=task_rows)[f"{name}_score"][0]
+    if not 0.0 < contamination < 1.0:
+        raise ValueError("contamination is a share between 0 and 1")
+    cut = column_quantiles(scores, [f"{name}_score"], [1.0 - contamination], task_rows=task_rows)[f"{name}_score"][0]
     above = F.col(f"{name}_score") > F.lit(cut) if cut is not None else F.lit(False)
     return df.join(scores, row_id, "left").withColumn(name, F.coalesce(above, F.lit(False)))
 
 
 def lof_scores(
-    df: DataFrame, columns: Sequence[str], row_id: str, neighbours: int | None = None, leaf_rows: int = 1024
+    df: DataFrame, columns: Sequence[str], row_id: str, neighbours: int = NEIGHBOURS, leaf_rows: int = 1024
 ) -> DataFrame:
     """Exact local outlier factor of every complete row: row_id, lof_score.
 
     Equal rows are folded into one weighted point first. The neighbourhood of a
-    row is every row within its k-distance (ties included). Rows: none under 10.
+    row is every row within its k-distance (ties included). With no other row there is no score.
     """
     data = complete_numbers(df, columns, [row_id])
     n = data.count()
     empty = df.sparkSession.createDataFrame(
         [], f"{row_id} {df.schema[row_id].dataType.simpleString()}, lof_score double"
     )
-    if n < 10:
+    if n < 2:
         return empty
-    k = min(neighbours or min(20, max(10, n // 10)), n - 1)
+    k = min(neighbours, n - 1)
     names = [f"x{i}" for i in range(len(columns))]
     rows = data.select(row_id, *[F.col(c).alias(x) for c, x in zip(columns, names)])
     points = rows.groupBy(*names).agg(F.count("*").alias("weight"), F.min(row_id).alias("point"))
@@ -120,7 +121,7 @@ def lof_scores(
 
 
 def lof(
-    df: DataFrame, columns: Sequence[str], row_id: str, neighbours: int | None = None,
+    df: DataFrame, columns: Sequence[str], row_id: str, neighbours: int = NEIGHBOURS,
     contamination: float = 0.05, leaf_rows: int = 1024, task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """df with lof_score and lof: the worst `contamination` share of scores."""

@@ -36,8 +36,9 @@ DIXON_CRITICAL = {
 # before the sample-size factor, and their significance levels.
 ANDERSON_POINTS = ((0.15, 0.576), (0.10, 0.656), (0.05, 0.787), (0.025, 0.918), (0.01, 1.092))
 
-# Samples up to this size are tested by Shapiro-Wilk, larger ones by Anderson-Darling.
+# With test="by-size", samples up to this size are tested by Shapiro-Wilk, larger ones by Anderson-Darling.
 SHAPIRO_LIMIT = 50
+TESTS = ("anderson-darling", "shapiro-wilk", "by-size")
 
 
 # ---------------------------------------------------------------- normality
@@ -49,9 +50,14 @@ def anderson_darling(df: DataFrame, columns: Sequence[str], task_rows: int = TAS
     Copies of a value share one term (the rank weights of ties add up in closed
     form), so only distinct values are evaluated.
     """
-    long = melt(df, columns)
-    stats = long.groupBy("variable").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
-    ranked = ranked_values(long, ["variable"], "x", task_rows).join(F.broadcast(stats), "variable")
+    return anderson_groups(melt(df, columns), ["variable"], task_rows)
+
+
+def anderson_groups(long: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """anderson_darling() for every group of (keys..., x); a group is one named variable or a part of one."""
+    keys = list(keys)
+    stats = long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    ranked = ranked_values(long, keys, "x", task_rows).join(F.broadcast(stats), keys)
 
     @F.pandas_udf("double")
     def log_cdf(z: pd.Series) -> pd.Series:
@@ -62,28 +68,40 @@ def anderson_darling(df: DataFrame, columns: Sequence[str], task_rows: int = TAS
     left = (b + c) * (b + c) - b * b
     right = (n - b) * (n - b) - (n - b - c) * (n - b - c)
     terms = ranked.where(F.col("std") > 0).withColumns({"log_left": log_cdf(z), "log_right": log_cdf(-z)})
-    return terms.groupBy("variable", "n").agg(
+    return terms.groupBy(*keys, "n").agg(
         (-F.col("n") - F.sum(left * F.col("log_left") + right * F.col("log_right")) / F.col("n")).alias("statistic")
     )
 
 
+def anderson_p(statistic: Column, n: Column) -> Column:
+    """Largest tabled level whose point the statistic stays below, 0.001 beyond the last."""
+    n = n.cast("double")
+    shrink = 1.0 + 4.0 / n - 25.0 / n / n
+    p = F.lit(0.001)
+    for level, point in reversed(ANDERSON_POINTS):
+        p = F.when(statistic < F.round(F.lit(point) / shrink, 3), level).otherwise(p)
+    return p
+
+
 def normality(
-    df: DataFrame, columns: Sequence[str], alpha: float = 0.05, task_rows: int = TASK_ROWS
+    df: DataFrame, columns: Sequence[str], alpha: float = 0.05, task_rows: int = TASK_ROWS, test: str = TESTS[0]
 ) -> DataFrame:
-    """Per variable: test, n, statistic, p_value, is_normal. Variables under 3 values have none."""
+    """Per variable: test, n, statistic, p_value, is_normal. Variables under 3 values have none.
+
+    anderson-darling is distributed; shapiro-wilk gathers each variable in one task.
+    """
+    if test not in TESTS:
+        raise ValueError(f"unknown test: {test}")
     stats = moments(df, columns)
-    small = [c for c in columns if 3 <= stats[c]["n"] <= SHAPIRO_LIMIT]
-    large = [c for c in columns if stats[c]["n"] > SHAPIRO_LIMIT]
+    tested = [c for c in columns if stats[c]["n"] >= 3]
+    small = [c for c in tested if test == "shapiro-wilk" or test == "by-size" and stats[c]["n"] <= SHAPIRO_LIMIT]
+    large = [c for c in tested if c not in small]
     parts = []
     if large:
-        n = F.col("n").cast("double")
-        shrink = 1.0 + 4.0 / n - 25.0 / n / n
-        p = F.lit(0.001)
-        for level, point in reversed(ANDERSON_POINTS):
-            p = F.when(F.col("statistic") < F.round(F.lit(point) / shrink, 3), level).otherwise(p)
         parts.append(
             anderson_darling(df, large, task_rows).select(
-                "variable", F.lit("anderson-darling").alias("test"), "n", "statistic", p.alias("p_value")
+                "variable", F.lit("anderson-darling").alias("test"), "n", "statistic",
+                anderson_p(F.col("statistic"), F.col("n")).alias("p_value"),
             )
         )
     if small:
@@ -111,10 +129,10 @@ def normality(
 
 
 def mostly_normal(
-    df: DataFrame, columns: Sequence[str], alpha: float = 0.05, task_rows: int = TASK_ROWS
+    df: DataFrame, columns: Sequence[str], alpha: float = 0.05, task_rows: int = TASK_ROWS, test: str = TESTS[0]
 ) -> DataFrame:
-    """One row: whether at least 60 % of the first five variables pass the normality test."""
-    tested = normality(df, list(columns)[:5], alpha, task_rows)
+    """One row: whether at least 60 % of the variables pass the normality test."""
+    tested = normality(df, columns, alpha, task_rows, test)
     return tested.agg(
         F.count("*").alias("variables"), F.count_if("is_normal").alias("normal_variables")
     ).select(
@@ -178,10 +196,11 @@ def grubbs(df: DataFrame, columns: Sequence[str], row_id: str, alpha: float = 0.
 
 
 def grubbs_report(
-    df: DataFrame, columns: Sequence[str], row_id: str, alpha: float = 0.05, task_rows: int = TASK_ROWS
+    df: DataFrame, columns: Sequence[str], row_id: str, alpha: float = 0.05, task_rows: int = TASK_ROWS,
+    test: str = TESTS[0],
 ) -> DataFrame:
     """grubbs() with the normality test of each variable."""
-    tested = normality(df, columns, alpha, task_rows).select(
+    tested = normality(df, columns, alpha, task_rows, test).select(
         "variable", F.col("test").alias("normality_test"), F.col("p_value").alias("normality_p"), "is_normal"
     )
     return grubbs(df, columns, row_id, alpha).join(tested, "variable", "left")
@@ -212,16 +231,26 @@ def dixon_p(q: Column, n: Column) -> Column:
 def dixon(df: DataFrame, by: Sequence[str], column: str, row_id: str, alpha: float = 0.05) -> DataFrame:
     """Dixon's Q at both ends of every group of 3 to 30 rows.
 
-    Returns by..., side, row_id, value, q, critical, p_value, is_outlier, n. Larger
-    groups are counted out before any group is gathered, so gathered groups are at
-    most 30 rows.
+    Returns by..., side, row_id, value, q, critical, p_value, is_outlier, n, status. The
+    table of critical values ends at 30: a group outside 3 to 30 rows, or without
+    spread, has one row with a status and no q. Groups are counted before any is
+    gathered, so gathered groups are at most 30 rows.
     """
     by = list(by)
     data = df.select(F.lit(0).alias("_all"), *by, F.col(row_id).alias("_id"), number(column).alias("_x")).where(
         F.col("_x").isNotNull()
     )
     keys = ["_all", *by]
-    fitting = data.groupBy(*keys).count().where(F.col("count").between(3, 30)).select(*keys)
+    sizes = data.groupBy(*keys).agg(F.count("*").alias("n"), F.max("_x").alias("hi"), F.min("_x").alias("lo"))
+    fits = F.col("n").between(3, 30) & (F.col("hi") > F.col("lo"))
+    fitting = sizes.where(fits).select(*keys)
+    kinds = df.schema[row_id].dataType.simpleString()
+    other = sizes.where(~fits).select(
+        *by, F.lit(None).cast("string").alias("side"), F.lit(None).cast(kinds).alias(row_id),
+        *[F.lit(None).cast("double").alias(c) for c in ("value", "q", "critical", "p_value")],
+        F.lit(False).alias("is_outlier"), "n",
+        F.when(F.col("n") > 30, "more than 30 rows").when(F.col("n") < 3, "under 3 rows").otherwise("no spread").alias("status"),
+    )
     groups = (
         data.join(broadcast_if_small(fitting), keys, "left_semi")
         .groupBy(*keys)
@@ -250,8 +279,8 @@ def dixon(df: DataFrame, by: Sequence[str], column: str, row_id: str, alpha: flo
     critical = _dixon_levels(F.col("n"), alpha)
     return ends.select(
         *by, "side", row_id, "value", "q", critical.alias("critical"), dixon_p(F.col("q"), F.col("n")).alias("p_value"),
-        (F.col("q") > critical).alias("is_outlier"), "n",
-    )
+        (F.col("q") > critical).alias("is_outlier"), "n", F.lit("tested").alias("status"),
+    ).unionByName(other)
 
 
 # ---------------------------------------------------------------- Rosner
@@ -266,6 +295,7 @@ class RosnerFit:
     low: tuple | None = None
     high: tuple | None = None
     steps: list = field(default_factory=list)
+    status: str = "tested"
 
     def flag(self) -> Column:
         x, i = number(self.column), F.col(self.row_id)
@@ -279,9 +309,11 @@ class RosnerFit:
 
 def fit_rosner(
     df: DataFrame, column: str, row_id: str, k: int | None = None, alpha: float = 0.05,
-    stop: str = "first", page: int = 5000,
+    stop: str = "first", page: int = 5000, share: float = 0.1, least_rows: int = 25,
 ) -> RosnerFit:
-    """Sequential extreme studentised deviates, at most k (a tenth of the rows by default).
+    """Sequential extreme studentised deviates, at most k (by default the share of the rows).
+
+    A variable under least_rows has status "too few rows" and flags nothing.
 
     The most extreme remaining row is always the lowest or the highest, so only
     the two ends are read, a page at a time; the moments of the remaining rows are
@@ -291,9 +323,10 @@ def fit_rosner(
     fit = RosnerFit(column, row_id)
     data = df.select(number(column).alias("x"), F.col(row_id).alias("i")).where(F.col("x").isNotNull())
     total = data.count()
-    if total < 25:
+    if total < least_rows:
+        fit.status = "too few rows"
         return fit
-    k = min(k if k is not None else max(1, int(0.1 * total)), total // 2)
+    k = min(k if k is not None else max(1, int(share * total)), total - 1)
     step, low, high = 0, None, None
     kept_low, kept_high, kept_steps = None, None, 0
     while step < k:

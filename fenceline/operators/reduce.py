@@ -53,10 +53,11 @@ class Components:
             rows, "component int, eigenvalue double, explained double, cumulative double, kaiser boolean, recommended boolean"
         )
 
-    def loading_table(self, spark, components: int = 3) -> DataFrame:
+    def loading_table(self, spark, components: int | None = None) -> DataFrame:
+        """Loadings of the first ``components``, all by default."""
         rows = [
             (i + 1, c, float(self.loadings[i, j]), float(abs(self.loadings[i, j])))
-            for i in range(min(components, len(self.eigenvalues)))
+            for i in range(len(self.eigenvalues) if components is None else min(components, len(self.eigenvalues)))
             for j, c in enumerate(self.columns)
         ]
         return spark.createDataFrame(rows, "component int, variable string, loading double, abs_loading double")

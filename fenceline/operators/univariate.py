@@ -19,6 +19,9 @@ from ..functions.rank import TASK_ROWS, column_quantiles, group_quantiles
 # Fixed value: makes the MAD comparable to a standard deviation.
 MAD_SCALE = 1.4826
 
+# Fence factor unless another or the size rule is asked for.
+FACTOR = 1.5
+
 
 def dynamic_factor(n: int) -> float:
     """Fence factor by sample size: wider fences for small samples."""
@@ -81,10 +84,10 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
 
 
 def fit_iqr(
-    df: DataFrame, columns: Sequence[str], factor: float | None = None,
-    stats: dict | None = None, task_rows: int = TASK_ROWS,
+    df: DataFrame, columns: Sequence[str], factor: float = FACTOR,
+    stats: dict | None = None, task_rows: int = TASK_ROWS, size_rule: bool = False,
 ) -> dict[str, Limits]:
-    """Fences Q1 - f IQR and Q3 + f IQR; f follows the sample size unless given."""
+    """Fences Q1 - f IQR and Q3 + f IQR; with size_rule, f follows the sample size."""
     stats = stats or moments(df, columns)
     rows = max((s["n"] for s in stats.values()), default=0)
     quartiles = column_quantiles(df, columns, [0.25, 0.75], rows, task_rows)
@@ -94,7 +97,7 @@ def fit_iqr(
         if q1 is None or q3 == q1:
             limits[c] = Limits(None, None)
         else:
-            f = dynamic_factor(stats[c]["n"]) if factor is None else factor
+            f = dynamic_factor(stats[c]["n"]) if size_rule else factor
             limits[c] = Limits(q1 - f * (q3 - q1), q3 + f * (q3 - q1))
     return limits
 
@@ -124,13 +127,13 @@ def fit_mad(
 
 
 def univariate_flags(
-    df: DataFrame, columns: Sequence[str], factor: float | None = None,
-    z_threshold: float = 3.0, mad_threshold: float = 3.0, task_rows: int = TASK_ROWS,
+    df: DataFrame, columns: Sequence[str], factor: float = FACTOR,
+    z_threshold: float = 3.0, mad_threshold: float = 3.0, task_rows: int = TASK_ROWS, size_rule: bool = False,
 ) -> DataFrame:
     """df with <column>_iqr, <column>_zscore and <column>_mad flags for every column."""
     stats = moments(df, columns)
     fits = {
-        "iqr": fit_iqr(df, columns, factor, stats, task_rows),
+        "iqr": fit_iqr(df, columns, factor, stats, task_rows, size_rule),
         "zscore": fit_zscore(df, columns, z_threshold, stats),
         "mad": fit_mad(df, columns, mad_threshold, stats, task_rows),
     }
@@ -150,8 +153,8 @@ def any_univariate(columns: Sequence[str], method: str) -> Column:
 
 
 def group_fences(
-    df: DataFrame, by: Sequence[str], columns: Sequence[str], factor: float | None = None,
-    task_rows: int = TASK_ROWS,
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], factor: float = FACTOR,
+    task_rows: int = TASK_ROWS, size_rule: bool = False,
 ) -> DataFrame:
     """Quartile fences within every group: by..., variable, n, q1, q3, low, high."""
     keys = [*by, "variable"]
@@ -166,7 +169,7 @@ def group_fences(
     )
     f = (
         F.when(F.col("n") < 100, 3.0).when(F.col("n") < 1000, 2.0).otherwise(1.5)
-        if factor is None
+        if size_rule
         else F.lit(float(factor))
     )
     iqr = F.col("q3") - F.col("q1")
@@ -178,10 +181,11 @@ def group_fences(
 
 
 def group_iqr_flags(
-    df: DataFrame, by: Sequence[str], column: str, factor: float | None = None, task_rows: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], column: str, factor: float = FACTOR, task_rows: int = TASK_ROWS,
+    size_rule: bool = False,
 ) -> DataFrame:
     """df with is_outlier from the fences of the row's own group."""
-    fences = group_fences(df, by, [column], factor, task_rows).select(*by, "low", "high")
+    fences = group_fences(df, by, [column], factor, task_rows, size_rule).select(*by, "low", "high")
     x = number(column)
     flag = F.coalesce((x < F.col("low")) | (x > F.col("high")), F.lit(False))
     joined = df.join(broadcast_if_small(fences), list(by), "left")

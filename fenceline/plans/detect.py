@@ -17,9 +17,9 @@ ALL_METHODS = (*UNIVARIATE, *combine.MULTIVARIATE, *combine.HYPOTHESIS)
 def detect_outliers(
     df: DataFrame, columns: Sequence[str], row_id: str, methods: Sequence[str] = ALL_METHODS,
     strategy: str = "voting", min_univariate: int = 2, min_multivariate: int = 1,
-    factor: float | None = None, z_threshold: float = 3.0, mad_threshold: float = 3.0,
+    factor: float = univariate.FACTOR, z_threshold: float = 3.0, mad_threshold: float = 3.0,
     mahalanobis_threshold: float = 3.0, contamination: float = 0.05, alpha: float = 0.05,
-    task_rows: int = TASK_ROWS,
+    task_rows: int = TASK_ROWS, size_rule: bool = False,
 ) -> DataFrame:
     """df with one boolean column per method, uni_score and is_outlier.
 
@@ -35,7 +35,7 @@ def detect_outliers(
     stats = univariate.moments(df, columns)
     fits: dict[str, dict] = {}
     if "iqr" in methods:
-        fits["iqr"] = univariate.fit_iqr(df, columns, factor, stats, task_rows)
+        fits["iqr"] = univariate.fit_iqr(df, columns, factor, stats, task_rows, size_rule)
     if "zscore" in methods:
         fits["zscore"] = univariate.fit_zscore(df, columns, z_threshold, stats)
     if "mad" in methods:
@@ -58,7 +58,7 @@ def detect_outliers(
     if "mahalanobis" in methods:
         result = multivariate.mahalanobis(result, columns, mahalanobis_threshold).drop("mahalanobis_distance")
     if "lof" in methods:
-        result = multivariate.lof(result, columns, row_id, None, contamination, task_rows=task_rows).drop("lof_score")
+        result = multivariate.lof(result, columns, row_id, contamination=contamination, task_rows=task_rows).drop("lof_score")
     if "isolation_forest" in methods:
         result = multivariate.isolation_forest(
             result, columns, row_id, contamination, task_rows=task_rows

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fenceline.operators import classify, clean, cluster, compare, correlate, marks, profile, reduce, regress, survival
+from fenceline.operators import classify, clean, cluster, compare, correlate, marks, outlier_tests, profile, reduce, regress, survival
 from fenceline.sources import tables
 
 
@@ -177,14 +177,6 @@ def test_spearman_ranks_in_pieces(spark):
         assert correlate.rank_correlations(df, ["a", "b"], (), task_rows).first()["r"] == pytest.approx(expected)
 
 
-def test_path_centrality_of_a_path(spark):
-    edges = spark.createDataFrame([(True, "a", "b"), (True, "b", "c")], "is_outlier boolean, first string, second string")
-    rows = {r["node"]: r for r in correlate.path_centrality(edges, ["a", "b", "c", "d"]).collect()}
-    assert rows["b"]["betweenness"] == pytest.approx(1 / 3)
-    assert rows["b"]["closeness"] == pytest.approx(2 / 2 * 2 / 3)
-    assert rows["d"]["closeness"] == 0
-
-
 def test_components_of_constant_and_scaled_columns(spark):
     rng = np.random.default_rng(13)
     x = rng.normal(0, 1, (200, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0], [0, 0, 2]])
@@ -255,3 +247,65 @@ def test_classifiers_learn_and_warn(spark):
     assert forest["importance"].orderBy("position").first()["variable"] == "a"
     with pytest.raises(ValueError):
         classify.logistic_characterisation(df.limit(10), ["a", "b"], "row_id")
+
+
+def test_median_survival_on_the_half(spark):
+    """Without censoring the curve is a ratio of counts: it meets one half exactly at the sixth of twelve times."""
+    rows = [(flag, float(t), 1) for flag in (True, False) for t in range(1, 13)]
+    curve = survival.kaplan_meier(spark.createDataFrame(rows, "is_outlier boolean, time double, event long"))
+    assert {r["median_survival"] for r in survival.median_survival(curve).collect()} == {6.0}
+
+
+def test_survival_with_censoring(spark):
+    rng = np.random.default_rng(21)
+    rows = [(bool(i % 3), float(t), int(e)) for i, (t, e) in enumerate(zip(rng.integers(1, 15, 120), rng.integers(0, 2, 120)))]
+    got = {(r["is_outlier"], r["time"]): r["survival"] for r in survival.kaplan_meier(spark.createDataFrame(rows, "is_outlier boolean, time double, event long")).collect()}
+    for flag in (True, False):
+        alive, own = 1.0, [(t, e) for f, t, e in rows if f == flag]
+        for t in sorted({t for t, _ in own}):
+            alive *= 1 - sum(e for u, e in own if u == t) / sum(u >= t for u, _ in own)
+            assert got[(flag, t)] == pytest.approx(alive, abs=1e-12)
+
+
+def test_filling_keeps_types_and_ids(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 1, 1.0), (big + 1, None, None), (big + 2, 4, 3.0)], "id long, n int, x double")
+    for strategy in ("mean", "median"):
+        filled = clean.fill_missing(df, strategy)
+        assert dict(filled.dtypes)["id"] == "bigint" and [r["id"] for r in filled.orderBy("id").collect()] == [big, big + 1, big + 2]
+        assert clean.fill_missing(df.select("id"), strategy).dtypes == [("id", "bigint")]
+    assert dict(clean.fill_missing(df, "mean", columns=["x"]).dtypes)["n"] == "int"
+
+
+def test_split_of_small_classes(spark):
+    rows = [("one", 0)] + [("six", 10 + i) for i in range(6)] + [("many", 100 + i) for i in range(250)]
+    split = classify.stratified_split(spark.createDataFrame(rows, "label string, id long"), "label", "id")
+    got = {r["label"]: r["n"] for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert got == {"six": 1, "many": 50} and split.count() == len(rows)
+
+
+def test_codes_of_many_texts(spark):
+    words = [f"w{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, word string")
+    got = {r["id"]: r["word"] for r in classify.encode(df, ["word"], ["id"]).collect()}
+    assert got == {i: float(i) for i in range(3000)}
+
+
+def test_t_test_of_large_groups(spark):
+    df = spark.range(24000).select((F.col("id") % 2 == 0).alias("is_outlier"), F.randn(3).alias("x"), (F.rand(4) * 2).alias("y"))
+    rows = {r["variable"]: r for r in compare.student_t(df, ["x", "y"]).collect()}
+    assert rows["x"]["both_normal"] and not rows["y"]["both_normal"] and rows["x"]["dof"] == 23998
+
+
+def test_normality_counts_every_variable(spark):
+    df = spark.range(4000).select(*[F.randn(i).alias(f"n{i}") for i in range(5)], *[F.rand(i).alias(f"u{i}") for i in range(5)])
+    row = outlier_tests.mostly_normal(df, df.columns).first()
+    passed = {r["variable"] for r in outlier_tests.normality(df, df.columns).where("is_normal").collect()}
+    assert row["variables"] == 10 and row["normal_variables"] == len(passed) > 0 and not any(c.startswith("u") for c in passed)
+
+
+def test_dixon_says_which_groups_it_leaves(spark):
+    rows = [("big", i, float(i)) for i in range(40)] + [("flat", i, 1.0) for i in range(5)] + [("two", i, float(i)) for i in range(2)] + [("ok", i, float(i * i)) for i in range(6)]
+    got = outlier_tests.dixon(spark.createDataFrame(rows, "g string, id long, x double"), ["g"], "x", "id").collect()
+    assert {(r["g"], r["status"]) for r in got} == {("big", "more than 30 rows"), ("flat", "no spread"), ("two", "under 3 rows"), ("ok", "tested")}
+    assert all((r["q"] is None) == (r["status"] != "tested") for r in got)

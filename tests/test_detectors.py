@@ -20,6 +20,8 @@ def flagged(df, flag):
 def test_hand_worked_goldens(spark):
     df = frame(spark, ELEVEN)
     limits = univariate.fit_iqr(df, ["x"])["x"]
+    assert (limits.low, limits.high) == pytest.approx((-4.0, 16.0))
+    limits = univariate.fit_iqr(df, ["x"], size_rule=True)["x"]
     assert (limits.low, limits.high) == pytest.approx((-11.5, 23.5))
     assert flagged(df, limits.flag("x")) == {10}
     assert flagged(df, univariate.fit_zscore(df, ["x"], 2.0)["x"].flag("x")) == {10}
@@ -140,7 +142,9 @@ def test_normality_picks_its_test_by_size(spark):
     normal = frame(spark, rng.normal(0, 1, 300))
     skewed = frame(spark, rng.exponential(1, 300))
     small = frame(spark, rng.normal(0, 1, 30))
-    a, b, c = (outlier_tests.normality(d, ["x"]).first() for d in (normal, skewed, small))
+    a, b, c = (outlier_tests.normality(d, ["x"], test="by-size").first() for d in (normal, skewed, small))
+    assert outlier_tests.normality(small, ["x"]).first()["test"] == "anderson-darling"
+    assert outlier_tests.normality(normal, ["x"], test="shapiro-wilk").first()["is_normal"]
     assert a["test"] == "anderson-darling" and a["is_normal"]
     assert not b["is_normal"] and b["p_value"] == 0.001
     assert c["test"] == "shapiro-wilk" and c["is_normal"]
