@@ -31,6 +31,11 @@ STATISTICS = (
     "variety", "top_word", "stutter", "line_breaks", "repeated_lines", "spaces",
 )
 
+#: Bytes of plain prose that every text's shares are mixed with, so that a line of a few words is not far
+#: out in any of them, and what such prose has of each. Words count as six bytes, lines as sixty.
+PROSE = 100.0
+TYPICAL = {"upper": 0.04, "stops": 0.025, "line_breaks": 0.008, "spaces": 0.165, "top_word": 0.05, "word_length": 5.0}
+
 #: Shares of a class covariance that come from the mean of the classes and from its diagonal.
 POOL, DIAGONAL, FLOOR = 0.1, 0.1, 1e-4
 
@@ -46,8 +51,8 @@ def _classes() -> np.ndarray:
 _BYTES = _classes()
 
 
-def _share(part: float, whole: float) -> float:
-    return float(np.arcsin(np.sqrt(min(1.0, part / whole)))) if whole else 0.0
+def _share(part: float, whole: float, typical: float = 0.0, prose: float = PROSE) -> float:
+    return float(np.arcsin(np.sqrt(min(1.0, (part + prose * typical) / (whole + prose)))))
 
 
 def document_statistics(text: str) -> list[float]:
@@ -61,21 +66,22 @@ def document_statistics(text: str) -> list[float]:
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x]
     stutter = sum(map(str.__eq__, words, words[1:] + [""]))
+    t, words_of, lines_of = TYPICAL, PROSE / 6, PROSE / 60
     return [
         float(np.log1p(n)),
-        float(np.log((size - spaces) / n)),
-        _share(upper, upper + lower),
+        float(np.log((size - spaces + words_of * t["word_length"]) / (n + words_of))),
+        _share(upper, upper + lower, t["upper"]),
         _share(digits, size),
         _share(marks, size),
         _share(shouts, size),
         _share(bars, size),
-        _share(stops, size),
+        _share(stops, size, t["stops"]),
         float(np.log1p(len(counts)) / np.log1p(n)),
-        _share(max(counts.values()) - 1, n),
-        _share(stutter, n),
-        _share(breaks, size),
-        _share(len(lines) - len(set(lines)), len(lines)),
-        _share(spaces, size),
+        _share(max(counts.values()) - 1, n, t["top_word"], words_of),
+        _share(stutter, n, 0.0, words_of),
+        _share(breaks, size, t["line_breaks"]),
+        _share(len(lines) - len(set(lines)), len(lines), 0.0, lines_of),
+        _share(spaces, size, t["spaces"]),
     ]
 
 
