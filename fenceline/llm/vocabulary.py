@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 
 #: Pieces remembered by a worker; beyond it the memory starts anew. Results do not depend on it.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 
 _CROWDED = re.compile(r"\s ")
 
