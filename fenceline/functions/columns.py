@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -101,6 +101,12 @@ def correlation_strength(r: Column) -> Column:
     )
 
 
+def keyword_category(name: str, table: Mapping[str, Sequence[str]], default: str = "other") -> str:
+    """First category of the table that has a keyword within the name, regardless of case."""
+    low = name.lower()
+    return next((category for category, words in table.items() if any(w.lower() in low for w in words)), default)
+
+
 def scalar_function(function, *arguments: Column) -> Column:
     """Apply a scalar Python function to an already aggregated result, Arrow-batched.
 

@@ -187,6 +187,28 @@ def significant_share(pairs: DataFrame) -> DataFrame:
     )
 
 
+def change_summary(compared: DataFrame) -> DataFrame:
+    """One row from compare_group_correlations(): pairs tested, significant ones and their share, largest change."""
+    return compared.agg(
+        F.count("*").alias("pairs"), F.count_if("significant").alias("significant_pairs"),
+        (100.0 * F.count_if("significant") / F.count("*")).alias("percent"),
+        F.max("pearson_change").alias("largest_change"),
+        F.max_by(F.concat_ws(" / ", "first", "second"), "pearson_change").alias("largest_pair"),
+    )
+
+
+def difference_matrix(compared: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """variable and one column per variable: outlier minus normal Pearson correlation, 0 on the diagonal."""
+    gap = (F.col("outlier_pearson") - F.col("normal_pearson")).alias("gap")
+    both = compared.select("first", "second", gap).unionByName(
+        compared.select(F.col("second").alias("first"), F.col("first").alias("second"), gap)
+    )
+    cells = [F.max(F.when(F.col("second") == c, F.col("gap"))) for c in columns]
+    return both.groupBy(F.col("first").alias("variable")).agg(
+        *[F.when(F.first("first") == c, 0.0).otherwise(cell).alias(c) for c, cell in zip(columns, cells)]
+    )
+
+
 # ---------------------------------------------------------------- networks
 
 

@@ -42,6 +42,28 @@ def unmatched_ids(df: DataFrame, ids: DataFrame, id_column: str, ids_column: str
     return keys.join(present, "id", "left_anti")
 
 
+def mark_listed(
+    df: DataFrame, ids: DataFrame, id_column: str, row_id: str, ids_column: str = "id"
+) -> tuple[DataFrame, DataFrame]:
+    """(df with is_outlier, listed entries that name nothing) for a list that mixes ids and positions.
+
+    An entry that some row has as its id marks all rows of that id. Any other entry of
+    the form ID_n or n names the row with row_id n.
+    """
+    entry = F.trim(F.col(ids_column).cast("string"))
+    listed = ids.select(entry.alias("_key")).dropna().distinct()
+    present = df.select(F.trim(F.col(id_column).cast("string")).alias("_key")).distinct()
+    named = listed.join(present, "_key", "left_semi").select("_key", F.lit(True).alias("_named"))
+    rest = listed.join(present, "_key", "left_anti").withColumn("_place", F.regexp_replace("_key", "^ID_", "").try_cast("long"))
+    rows = df.select(F.col(row_id).cast("long").alias("_place")).distinct()
+    placed = rest.join(rows, "_place", "left_semi").select("_place", F.lit(True).alias("_placed")).distinct()
+    keyed = df.withColumn("_key", F.trim(F.col(id_column).cast("string"))).withColumn("_place", F.col(row_id).cast("long"))
+    marked = keyed.join(broadcast_if_small(named), "_key", "left").join(broadcast_if_small(placed), "_place", "left")
+    flag = F.coalesce("_named", "_placed", F.lit(False)).alias("is_outlier")
+    unmatched = rest.join(rows, "_place", "left_anti").select(F.col("_key").alias("id"))
+    return marked.select(*df.columns, flag), unmatched
+
+
 def mark_occurrences(
     df: DataFrame, ids: DataFrame, id_column: str, row_id: str, ids_column: str = "id", task_rows: int = TASK_ROWS
 ) -> DataFrame:

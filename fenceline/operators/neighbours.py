@@ -14,17 +14,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lineage import cut_lineage
+
 # Leaves of the split tree and sampled points per leaf: bounds of what the driver
 # gathers and the tasks receive (a few megabytes).
 MAX_LEAVES = 1 << 15
 SAMPLE_PER_LEAF = 24
 
+# Points of the sample that travel with the tree. Distances to them bound a search whose own leaf has too few points.
+ANCHORS = 256
+
+# Queries of one leaf that go to one task; further ones meet a copy of the leaf's points in another.
+QUERIES_PER_TASK = 20_000
+
 
 class SplitTree:
     """A complete binary tree of axis splits over boxes that cover all space."""
 
     def __init__(self, sample: np.ndarray, leaves: int):
         self.depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
+        self.anchors = sample[:: max(1, len(sample) // ANCHORS)][:ANCHORS]
         inner = (1 << self.depth) - 1
         self.feature = np.zeros(inner, dtype=np.int64)
         self.cut = np.full(inner, np.inf)  # everything left where no split is possible
@@ -122,6 +131,23 @@ def located_points(points: DataFrame, names: Sequence[str], tree: SplitTree) ->
     return points.mapInPandas(locate, layout + ", leaf long")
 
 
+def _anchor_bounds(x: np.ndarray, anchors: np.ndarray, k: int, other: bool) -> np.ndarray:
+    """Distance of the k-th nearest anchor; infinite if there are not as many."""
+    d = _distances(x, anchors) if len(anchors) else np.zeros((len(x), 0))
+    if other:
+        d[d == 0] = np.inf
+    return np.sort(d, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(x), np.inf)
+
+
+def _met(located: DataFrame, asked: DataFrame):
+    """Points and queries cogrouped by leaf, the queries of a busy leaf in several parts that each get its points."""
+    parts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("parts"))
+    parts = F.broadcast(parts)  # one row per leaf, MAX_LEAVES at most
+    queries = asked.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("query"), "parts").cast("int")).drop("parts")
+    points = located.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return points.groupBy("leaf", "part").cogroup(queries.groupBy("leaf", "part"))
+
+
 def nearest_rows(
     points: DataFrame, queries: DataFrame, names: Sequence[str], leaf_rows: int = 1024,
     within: float = float("inf"), other: bool = False,
@@ -158,12 +184,12 @@ def nearest_rows(
 
     def own(mine: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         best, _ = search(mine, q)
+        far = np.flatnonzero(np.isinf(best)) if len(q) else []
+        if len(far):  # nothing in the leaf: any point bounds the search
+            best[far] = _anchor_bounds(q[names].to_numpy()[far], shared.value.anchors, 1, other)
         return q[["query", *names]].assign(bound=np.minimum(best, within))
 
-    bounded = asked.groupBy("leaf")
-    bounded = located.groupBy("leaf").cogroup(bounded).applyInPandas(
-        own, f"query {query_type}, {coords}, bound double"
-    )
+    bounded = cut_lineage(_met(located, asked).applyInPandas(own, f"query {query_type}, {coords}, bound double"))
 
     def visit(batches):
         for pdf in batches:
@@ -177,9 +203,7 @@ def nearest_rows(
         keep = (best <= q["bound"].to_numpy()) & np.isfinite(best)
         return pd.DataFrame({"query": q["query"][keep], "distance": best[keep], "carry": label[keep]})
 
-    answers = located.groupBy("leaf").cogroup(visits.groupBy("leaf")).applyInPandas(
-        answer, f"query {query_type}, distance double, carry {carry_type}"
-    )
+    answers = _met(located, visits).applyInPandas(answer, f"query {query_type}, distance double, carry {carry_type}")
     return answers.groupBy("query").agg(F.min(F.struct("distance", "carry")).alias("m")).select(
         "query", "m.distance", "m.carry"
     )
@@ -214,6 +238,9 @@ def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows:
             first = enough.argmax(axis=1)
             rows = np.arange(len(d))
             bound[start : start + 256] = np.where(has, sorted_d[rows, first], np.inf)
+        far = np.flatnonzero(np.isinf(bound))
+        if len(far):  # fewer than k rows in the leaf; an anchor that is the point itself does not count
+            bound[far] = _anchor_bounds(x[far], shared.value.anchors, k, True)
         return pdf.assign(bound=bound)
 
     bounded = located.groupBy("leaf").applyInPandas(own_bound, layout + ", bound double")

@@ -142,6 +142,24 @@ def huber_regression(
         data.unpersist()
 
 
+def huber_rows(
+    df: DataFrame, coefficients: DataFrame, summary: DataFrame, target: str, predictors: Sequence[str], row_id: str
+) -> DataFrame:
+    """row_id, residual, weight and ignored of every complete row, from what huber_regression() returns.
+
+    A few coefficients reach the driver; the rows are one scan.
+    """
+    fitted = {r["term"]: r["estimate"] for r in coefficients.where("model = 'huber'").collect()}
+    scale = summary.where("model = 'huber'").first()["residual_error"]
+    data = complete_numbers(df, [target, *predictors], [row_id])
+    residual = _residual(target, predictors, [fitted[c] for c in predictors], fitted["intercept"])
+    size = F.abs(residual) / F.lit(scale)
+    weight = F.when(size <= HUBER, 1.0).otherwise(HUBER / size) if scale else F.lit(1.0)
+    return data.select(row_id, residual.alias("residual"), weight.alias("weight")).withColumn(
+        "ignored", F.col("weight") < IGNORED_WEIGHT
+    )
+
+
 def _huber(data, n, target, predictors, rounds, tolerance, task_rows):
     spark = data.sparkSession
     means = _means(data, [target, *predictors])

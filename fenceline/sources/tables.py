@@ -28,6 +28,17 @@ def read_csv(
     Types are inferred in one pass over the file unless a schema is given; give one
     for large inputs.
     """
+    return read_csv_lines(spark, path, encoding, delimiter, schema)[0]
+
+
+def read_csv_lines(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",",
+    schema: T.StructType | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(table as read_csv() gives it, rejected lines as line, fields and the values that fit).
+
+    Ask the rejected lines for values too: Spark reads no CSV for a corrupt-line column alone.
+    """
     charset = CHARSETS.get(encoding.lower(), encoding)
     if charset == "windows-1252":  # outside Spark's default list of charsets
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -43,7 +54,10 @@ def read_csv(
     # Only lines the parser marked are counted: separators outside quotes.
     fields = F.size(F.split(F.col(corrupt), f"\\Q{delimiter}\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
     kept = parsed.where(F.col(corrupt).isNull() | (fields <= len(schema.fields)))
-    return nan_to_null(kept.drop(corrupt))
+    rejected = parsed.where(F.col(corrupt).isNotNull() & (fields > len(schema.fields)))
+    return nan_to_null(kept.drop(corrupt)), rejected.select(
+        F.col(corrupt).alias("line"), fields.alias("fields"), F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("values")
+    )
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fenceline.operators import classify, clean, cluster, compare, correlate, marks, outlier_tests, profile, reduce, regress, survival
+from fenceline.functions.columns import keyword_category
 from fenceline.sources import tables
 
 
@@ -309,3 +310,64 @@ def test_dixon_says_which_groups_it_leaves(spark):
     got = outlier_tests.dixon(spark.createDataFrame(rows, "g string, id long, x double"), ["g"], "x", "id").collect()
     assert {(r["g"], r["status"]) for r in got} == {("big", "more than 30 rows"), ("flat", "no spread"), ("two", "under 3 rows"), ("ok", "tested")}
     assert all((r["q"] is None) == (r["status"] != "tested") for r in got)
+
+
+def test_rejected_csv_lines(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("id,name\n1,a\n2,b,c\n3,d\n4,e,f,g\n")
+    kept, rejected = tables.read_csv_lines(spark, str(path))
+    assert sorted(r["id"] for r in kept.collect()) == [1, 3]
+    assert sorted((r["line"], r["fields"], r["values"]["id"]) for r in rejected.collect()) == [("2,b,c", 3, 2), ("4,e,f,g", 4, 4)]
+
+
+def test_mixed_list_of_ids_and_positions(spark):
+    df = spark.createDataFrame([(i, str(100 + i // 2)) for i in range(10)], "row_id long, code string")
+    listed = spark.createDataFrame([("102",), ("ID_0",), ("7",), ("x",), ("ID_55",), (None,), ("102",)], "id string")
+    marked, unmatched = marks.mark_listed(df, listed, "code", "row_id")
+    assert sorted(r["row_id"] for r in marked.where("is_outlier").collect()) == [0, 4, 5, 7] and marked.count() == 10
+    assert sorted(r["id"] for r in unmatched.collect()) == ["ID_55", "x"]
+
+
+def test_huber_weights_of_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, 300)
+    z = rng.normal(0, 1, 300)
+    y = 2 * x - z + 1 + rng.normal(0, 0.2, 300)
+    y[:3] += 500
+    df = spark.createDataFrame(pd.DataFrame({"id": range(300), "x": x, "z": z, "y": y}))
+    coefficients, summary = regress.huber_regression(df, "y", ["x", "z"])
+    rows = regress.huber_rows(df, coefficients, summary, "y", ["x", "z"], "id").toPandas().set_index("id")
+    told = summary.first()
+    assert set(rows.index[rows["ignored"]]) == {0, 1, 2} and told["ignored_rows"] == 3
+    assert (rows["weight"] < 1).sum() == told["reduced_rows"] and rows["weight"].mean() == pytest.approx(told["weight_mean"])
+
+
+def test_summary_of_correlation_changes(spark):
+    compared = spark.createDataFrame(
+        [("a", "b", 0.9, 0.1, True, 0.8), ("a", "c", 0.2, 0.3, False, 0.1), ("b", "c", -0.5, 0.0, True, 0.5)],
+        "first string, second string, outlier_pearson double, normal_pearson double, significant boolean, pearson_change double",
+    )
+    row = correlate.change_summary(compared).first()
+    assert (row["pairs"], row["significant_pairs"], row["largest_pair"]) == (3, 2, "a / b")
+    matrix = {r["variable"]: r for r in correlate.difference_matrix(compared, ["a", "b", "c"]).collect()}
+    assert matrix["a"]["b"] == matrix["b"]["a"] == pytest.approx(0.8) and matrix["c"]["c"] == 0.0 and matrix["c"]["b"] == pytest.approx(-0.5)
+
+
+def test_categories_by_keyword():
+    table = {"money": ["price", "cost"], "time": ["date", "hour"]}
+    assert [keyword_category(c, table) for c in ("Unit_Price", "ship_date", "cost_per_hour", "colour")] == ["money", "time", "money", "other"]
+
+
+def test_busy_leaves_and_far_queries(spark, monkeypatch):
+    """Queries far from all points meet one leaf; their work is dealt out, and the answers stay exact."""
+    from fenceline.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "QUERIES_PER_TASK", 40)
+    rng = np.random.default_rng(31)
+    x = rng.lognormal(0, 1.5, (400, 2))
+    q = rng.uniform(0, x.max(), (300, 2))
+    points = spark.createDataFrame(pd.DataFrame({"carry": range(400), "x0": x[:, 0], "x1": x[:, 1]}))
+    asked = spark.createDataFrame(pd.DataFrame({"query": range(300), "x0": q[:, 0], "x1": q[:, 1]}))
+    got = neighbours.nearest_rows(points, asked, ["x0", "x1"], leaf_rows=32).toPandas().sort_values("query")
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    assert got["distance"].to_numpy() == pytest.approx(d.min(axis=1)) and len(got) == 300
