@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fenceline.operators import correlate as k
 
 from .comparison import EVENTS_SQL, events_flagged
-from .registry import check, r, rounded, table
+from .registry import ORACLES, check, r, rounded, table
 from .sqlmath import norm_two_sided, t_two_sided
 
 COLUMNS = ["value", "user_id", "load", "slot"]
@@ -101,6 +101,17 @@ def compare_group_correlations(spark, d):
     )
 
 
+@check(
+    "correlation_change_summary",
+    f"""SELECT count(*)::BIGINT AS pairs, sum(significant::INT)::BIGINT AS significant_pairs,
+      round(100.0 * sum(significant::INT)::DOUBLE / count(*), 6) AS percent, max(pearson_change) AS largest_change,
+      arg_max(first || ' / ' || second, pearson_change) AS largest_pair FROM ({ORACLES['compare_group_correlations']})""",
+)
+def correlation_change_summary(spark, d):
+    summary = k.change_summary(k.compare_group_correlations(data(spark, d), COLUMNS))
+    return rounded(summary, "percent", "largest_change")
+
+
 RANK_PAIRS_SQL = f"""{DATA_SQL}, rk AS ({ranked_sql('is_outlier')}), rp AS ({pairs_sql('rk', 'is_outlier')}),
     rpp AS (SELECT *, CASE WHEN abs(r) >= 1 - 1e-15 THEN 0.0 ELSE {t_two_sided(T, '(n - 2)')} END AS p FROM rp)"""
 

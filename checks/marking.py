@@ -8,8 +8,7 @@ from fenceline.operators import univariate as u
 
 from .registry import check, r, rounded, table
 
-# Ids listed as outliers: one entry per order line with a quantity of 50 (so ids
-# repeat), plus nation keys written as decimals.
+# Ids listed as outliers: the customers of the dearest orders, so that ids may repeat.
 LISTED_SQL = "(SELECT o_custkey AS id FROM orders WHERE o_totalprice > 490000)"
 
 
@@ -43,6 +42,32 @@ def unmatched_ids(spark, d):
     return m.unmatched_ids(table(spark, d, "supplier"), ids, "s_suppkey")
 
 
+# A list that mixes customer numbers, row names and entries that name nothing.
+MIXED_SQL = """k AS (SELECT DISTINCT o_custkey::VARCHAR AS id FROM orders WHERE o_custkey % 97 = 0),
+    p AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 101 = 0)"""
+
+
+def mixed(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    ids = orders.where("o_custkey % 97 = 0").select(F.col("o_custkey").cast("string").alias("id"))
+    ids = ids.unionAll(orders.where("o_orderkey % 101 = 0").select(F.concat(F.lit("ID_"), "o_orderkey")))
+    ids = ids.unionAll(orders.where("o_orderkey % 103 = 0").select(F.concat(F.lit("none-"), F.col("o_orderkey"))))
+    return m.mark_listed(orders, ids, "o_custkey", "o_orderkey")
+
+
+@check(
+    "mark_listed",
+    f"WITH {MIXED_SQL} SELECT o_orderkey, o_custkey, o_custkey % 97 = 0 OR o_orderkey IN (SELECT o_orderkey FROM p) AS is_outlier FROM orders",
+)
+def mark_listed(spark, d):
+    return mixed(spark, d)[0]
+
+
+@check("mark_listed_unmatched", "SELECT 'none-' || o_orderkey AS id FROM orders WHERE o_orderkey % 103 = 0")
+def mark_listed_unmatched(spark, d):
+    return mixed(spark, d)[1]
+
+
 OCCURRENCES_SQL = f"""WITH n AS (SELECT id, count(*) m FROM {LISTED_SQL} GROUP BY 1),
     o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders)
     SELECT o_orderkey, o_custkey, coalesce(rn <= m, false) AS is_outlier FROM o LEFT JOIN n ON o_custkey = id"""

@@ -1,6 +1,6 @@
 """Sources, sinks, filters and casts."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from fenceline.operators import clean as c
 from fenceline.operators import profile as p
@@ -51,6 +51,20 @@ def write_lineage(spark, d):
     return t.write_processed(after, path, "events", ["missing:drop"], before.count())
 
 
+@check(
+    "csv_rejected_lines",
+    "SELECT event_id || ',' || user_id || ',x' AS line, 3::INTEGER AS fields, event_id FROM events WHERE event_id % 10 = 3",
+)
+def csv_rejected_lines(spark, d):
+    path = t.scratch_path(spark, "events-broken")
+    extra = F.when(F.col("event_id") % 10 == 3, F.lit(",x")).otherwise(F.lit(""))
+    lines = table(spark, d, "events").select(F.concat(F.col("event_id"), F.lit(","), F.col("user_id"), extra).alias("value"))
+    lines.write.text(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType())])
+    _, rejected = t.read_csv_lines(spark, path, schema=schema, header=False)
+    return rejected.select("line", "fields", "values.event_id")
+
+
 @check(
     "preview_rows",
     f"""SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, value::VARCHAR AS value

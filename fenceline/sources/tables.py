@@ -33,7 +33,7 @@ def read_csv(
 
 def read_csv_lines(
     spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",",
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, header: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(table as read_csv() gives it, rejected lines as line, fields and the values that fit).
 
@@ -42,12 +42,13 @@ def read_csv_lines(
     charset = CHARSETS.get(encoding.lower(), encoding)
     if charset == "windows-1252":  # outside Spark's default list of charsets
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    options = {"header": True, "encoding": charset, "sep": delimiter}
+    options = {"header": header, "encoding": charset, "sep": delimiter}
     if schema is None:
         schema = spark.read.options(**options).csv(path, inferSchema=True).schema
     corrupt = "_fenceline_corrupt"
+    # A line is judged by all its fields, so none may be pruned.
     parsed = (
-        spark.read.options(**options)
+        spark.read.options(**options, columnPruning=False)
         .schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]))
         .csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
     )
