@@ -381,9 +381,12 @@ def group_bars(df: DataFrame, columns: Sequence[str], flag: str = "is_outlier")
 
 def group_boxes(df: DataFrame, columns: Sequence[str], flag: str = "is_outlier", task_rows: int = TASK_ROWS) -> DataFrame:
     """Box-plot numbers per variable and group."""
-    return describe_groups(df, columns, flag, task_rows).select(
-        "variable", "is_outlier", "n", "min", "q25", "median", "q75", "max"
-    )
+    return boxes_of(describe_groups(df, columns, flag, task_rows))
+
+
+def boxes_of(described: DataFrame) -> DataFrame:
+    """Box-plot numbers out of describe_groups()."""
+    return described.select("variable", "is_outlier", "n", "min", "q25", "median", "q75", "max")
 
 
 def available_analyses(kinds: DataFrame) -> DataFrame:

@@ -83,17 +83,24 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     return {c: row[c].asDict() for c in columns}
 
 
+def fit_quartiles(
+    df: DataFrame, columns: Sequence[str], stats: dict, task_rows: int = TASK_ROWS
+) -> dict[str, list[float | None]]:
+    """[Q1, median, Q3] of every column, for fit_iqr() and fit_mad() together."""
+    rows = max((s["n"] for s in stats.values()), default=0)
+    return column_quantiles(df, columns, [0.25, 0.5, 0.75], rows, task_rows)
+
+
 def fit_iqr(
     df: DataFrame, columns: Sequence[str], factor: float = FACTOR,
-    stats: dict | None = None, task_rows: int = TASK_ROWS, size_rule: bool = False,
+    stats: dict | None = None, task_rows: int = TASK_ROWS, size_rule: bool = False, quartiles: dict | None = None,
 ) -> dict[str, Limits]:
     """Fences Q1 - f IQR and Q3 + f IQR; with size_rule, f follows the sample size."""
     stats = stats or moments(df, columns)
-    rows = max((s["n"] for s in stats.values()), default=0)
-    quartiles = column_quantiles(df, columns, [0.25, 0.75], rows, task_rows)
+    quartiles = quartiles or fit_quartiles(df, columns, stats, task_rows)
     limits = {}
     for c in columns:
-        q1, q3 = quartiles[c]
+        q1, _, q3 = quartiles[c]
         if q1 is None or q3 == q1:
             limits[c] = Limits(None, None)
         else:
@@ -111,11 +118,12 @@ def fit_zscore(
 
 def fit_mad(
     df: DataFrame, columns: Sequence[str], threshold: float = 3.0,
-    stats: dict | None = None, task_rows: int = TASK_ROWS,
+    stats: dict | None = None, task_rows: int = TASK_ROWS, quartiles: dict | None = None,
 ) -> dict[str, Deviation]:
     stats = stats or moments(df, columns)
     rows = max((s["n"] for s in stats.values()), default=0)
-    medians = {c: q[0] for c, q in column_quantiles(df, columns, [0.5], rows, task_rows).items()}
+    quartiles = quartiles or fit_quartiles(df, columns, stats, task_rows)
+    medians = {c: q[1] for c, q in quartiles.items()}
     known = [c for c in columns if medians[c] is not None]
     mads = {}
     if known:
@@ -132,10 +140,11 @@ def univariate_flags(
 ) -> DataFrame:
     """df with <column>_iqr, <column>_zscore and <column>_mad flags for every column."""
     stats = moments(df, columns)
+    quartiles = fit_quartiles(df, columns, stats, task_rows)
     fits = {
-        "iqr": fit_iqr(df, columns, factor, stats, task_rows, size_rule),
+        "iqr": fit_iqr(df, columns, factor, stats, task_rows, size_rule, quartiles),
         "zscore": fit_zscore(df, columns, z_threshold, stats),
-        "mad": fit_mad(df, columns, mad_threshold, stats, task_rows),
+        "mad": fit_mad(df, columns, mad_threshold, stats, task_rows, quartiles),
     }
     return df.select(
         "*", *[fit[c].flag(c).alias(f"{c}_{name}") for c in columns for name, fit in fits.items()]

@@ -34,12 +34,13 @@ def detect_outliers(
     names = df.columns
     stats = univariate.moments(df, columns)
     fits: dict[str, dict] = {}
+    quartiles = univariate.fit_quartiles(df, columns, stats, task_rows) if methods & {"iqr", "mad"} else None
     if "iqr" in methods:
-        fits["iqr"] = univariate.fit_iqr(df, columns, factor, stats, task_rows, size_rule)
+        fits["iqr"] = univariate.fit_iqr(df, columns, factor, stats, task_rows, size_rule, quartiles)
     if "zscore" in methods:
         fits["zscore"] = univariate.fit_zscore(df, columns, z_threshold, stats)
     if "mad" in methods:
-        fits["mad"] = univariate.fit_mad(df, columns, mad_threshold, stats, task_rows)
+        fits["mad"] = univariate.fit_mad(df, columns, mad_threshold, stats, task_rows, quartiles)
 
     def by_variable(method: str, c: str) -> Column:
         return fits[method][c].flag(c) if method in fits else F.lit(False)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import finite
+from ..functions.lineage import cut_lineage
 from ..functions.rank import TASK_ROWS
 from ..operators import compare
 
@@ -16,10 +17,11 @@ def primary_report(
     task_rows: int = TASK_ROWS,
 ) -> dict[str, DataFrame]:
     """All group comparisons of a marked table; NaN and infinities become 0."""
+    described = cut_lineage(compare.describe_groups(df, numeric, flag, task_rows))  # two rows per named column
     parts = {
-        "numeric": compare.describe_groups(df, numeric, flag, task_rows),
+        "numeric": described,
         "mann_whitney": compare.mann_whitney(df, numeric, flag, task_rows),
-        "boxes": compare.group_boxes(df, numeric, flag, task_rows),
+        "boxes": compare.boxes_of(described),
     }
     if categorical:
         parts["categorical"] = compare.category_proportions(df, categorical, flag)
