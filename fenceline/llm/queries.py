@@ -61,6 +61,41 @@ def op7_secrets(table):
     return secrets.secrets(table("documents"))
 
 
+def _secrets_sql() -> str:
+    """Matches and what lies between them by the same patterns, owners counted per value."""
+    found = []
+    for rank, (kind, (pattern, group, least)) in enumerate(secrets.KINDS.items()):
+        p = pattern.replace("'", "''")
+        found.append(f"""SELECT rw, owner, '{kind}' AS kind, {rank} AS rank, {least} AS least, regexp_extract_all(text, '{p}', 0) AS hits,
+            regexp_extract_all(text, '{p}', {group}) AS vals, regexp_split_to_array(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}')""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.KINDS)
+    span = "kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, rank"
+    names = [*[f"n_{k}" for k in secrets.KINDS], "n_live", "n_copied", "most_owners", "most_repositories"]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rw, doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS text FROM documents),
+m AS ({' UNION ALL '.join(found)}),
+e AS (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM m),
+f AS (
+  SELECT rw, owner, kind, rank, len(hits[i]) AS size, sha256(vals[i]) AS h,
+    CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + list_sum(list_transform(hits[1:i], lambda x: len(x))) AS BIGINT) AS stop
+  FROM e WHERE len(vals[i]) >= least
+),
+o AS (SELECT h, count(DISTINCT owner) AS owners FROM f GROUP BY h),
+g AS (
+  SELECT rw, {counts}, string_agg({span}) FILTER (rank < {len(secrets.BASE)}) AS base, string_agg({span}) AS spans,
+    count(*) FILTER (owners <= {secrets.OWNERS}) AS n_live, count(*) FILTER (owners > {secrets.OWNERS}) AS n_copied,
+    max(owners) AS most_owners, max(owners) AS most_repositories
+  FROM f JOIN o USING (h) GROUP BY rw
+)
+SELECT doc_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in names)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rw)
+"""
+
+
+ORACLES["op7_secrets"] = _secrets_sql()
+
+
 @query
 def op8_tokens(table):
     return tokens.token_counts(table("documents"))
