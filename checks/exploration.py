@@ -68,17 +68,21 @@ def box_numbers(spark, d):
     return rounded(five, "q1", "median", "q3")
 
 
-@check(
-    "box_points",
-    """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3,
-      CASE WHEN count(*) < 100 THEN 3.0 WHEN count(*) < 1000 THEN 2.0 ELSE 1.5 END AS k FROM events GROUP BY 1)
+BOX_POINTS_SQL = """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3, {} AS k FROM events GROUP BY 1)
     SELECT event_type, event_id, value FROM events JOIN q USING (event_type)
-    WHERE value < q1 - k * (q3 - q1) OR value > q3 + k * (q3 - q1)""",
-)
+    WHERE value < q1 - k * (q3 - q1) OR value > q3 + k * (q3 - q1)"""
+
+
+@check("box_points", BOX_POINTS_SQL.format("1.5"))
 def box_points(spark, d):
     return e.box_data(table(spark, d, "events"), "value", "event_id", ["event_type"])[1]
 
 
+@check("box_points_size_rule", BOX_POINTS_SQL.format("CASE WHEN count(*) < 100 THEN 3.0 WHEN count(*) < 1000 THEN 2.0 ELSE 1.5 END"))
+def box_points_size_rule(spark, d):
+    return e.box_data(table(spark, d, "events"), "value", "event_id", ["event_type"], size_rule=True)[1]
+
+
 @check(
     "density_curve",
     """WITH d AS (SELECT event_type, value AS x FROM events),

@@ -75,7 +75,7 @@ def histogram(df: DataFrame, variable: str, by: Sequence[str] = (), bins: int =
 
 
 def box_data(
-    df: DataFrame, variable: str, row_id: str, by: Sequence[str] = (), task_rows: int = TASK_ROWS
+    df: DataFrame, variable: str, row_id: str, by: Sequence[str] = (), task_rows: int = TASK_ROWS, size_rule: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """The five numbers of each box and the rows outside its fences (by..., row_id, value)."""
     by = list(by)
@@ -83,7 +83,7 @@ def box_data(
     parsed = df.select(row_id, *by, coerced(variable).alias("x")).where(F.col("x").isNotNull())
     if not by:
         parsed = parsed.withColumn("all_rows", F.lit(0))
-    flagged = group_iqr_flags(parsed, by or ["all_rows"], "x", None, task_rows).where("is_outlier")
+    flagged = group_iqr_flags(parsed, by or ["all_rows"], "x", task_rows=task_rows, size_rule=size_rule).where("is_outlier")
     return five, flagged.select(*by, row_id, F.col("x").alias("value"))
 
 
