@@ -31,7 +31,7 @@ from ..functions.lineage import cut_lineage
 from .rows import column
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, MOST, BLOCK, SLOTS, RANGE, SEED, ROUNDS = (5, 2, 1), 3, 64, 4096, 50_000, 7, 20
+WEIGHTS, MOST, BLOCK, SLOTS, RANGE, SEED, ROUNDS = (5, 2, 1), 3, 64, 4096, 5_000, 7, 20
 
 
 def word_count(text: Column) -> Column:
@@ -151,8 +151,11 @@ class Mix:
         )
         earlier = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         counts = grid.withColumn("taken", F.col("whole") + F.col("drawn")).withColumn("before", F.coalesce(F.sum("taken").over(earlier), F.lit(0)))
+        # The grid is small and its slots are many: deal it out before they are listed.
+        parts = int(self.sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         each = (
             counts.where("taken > 0")
+            .repartition(parts, "shard", "number")
             .select("shard", "number", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("taken") - 1)).alias("slot"))
             .where(F.col("slot") < F.col("blocks") * int(self.most))  # a draw may exceed a full last pass by a few slots
             .select("shard", "number", "blocks", F.floor(F.col("slot") / F.col("blocks")).alias("pass"), F.pmod("slot", "blocks").alias("index"))
