@@ -33,6 +33,9 @@ from .rows import column
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, BLOCK, SLOTS, RANGE, SEED, ROUNDS = (5, 2, 1), 3, 64, 4096, 5_000, 7, 20
 
+#: Parts of a slot in which wanted slots are counted.
+FIXED = 1 << 20
+
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
@@ -123,12 +126,14 @@ class Mix:
 
     def _draw(self, slots: int) -> DataFrame:
         """Every slot's block."""
-        plan = self.sources.where("blocks > 0").select("number", "blocks", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("want"))
+        # Slots wanted of each source in fixed point: sums of whole numbers do not depend on the order of rows.
+        want = F.round(F.col("target") * F.col("blocks") / F.col("source_size") * FIXED).cast("bigint")
+        plan = self.sources.where("blocks > 0").select("number", "blocks", want.alias("want"))
         total, sources = plan.agg(F.sum("want"), F.count("*")).first()
         if not sources:
             return self.sources.sparkSession.createDataFrame([], "shard bigint, number int, pass bigint, block bigint")
         per_shard = max(slots, 64 * sources)  # a shard has room for every source
-        slots_in_all = max(1, round(total))
+        slots_in_all = max(1, round(total / FIXED))
         shards = -(-slots_in_all // per_shard)
         # One row per shard and source: at most a 64th of the slots. ``size``: slots of the shard.
         grid = plan.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))).withColumn(
@@ -140,8 +145,8 @@ class Mix:
         upto = within.orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         grid = (
             grid.withColumn("rest", F.col("size") - F.sum("whole").over(within))
-            .withColumn("parts", F.sum("part").over(within))
             .withColumn("to", F.sum("part").over(upto))
+            .withColumn("parts", F.max("to").over(within))
         )
         low = (F.col("to") - F.col("part")) / F.col("parts")
         high = F.when(F.col("number") == F.max("number").over(within), F.lit(1.0)).otherwise(F.col("to") / F.col("parts"))
