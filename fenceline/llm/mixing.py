@@ -205,7 +205,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     found = docs.withColumn("__row", F.monotonically_increasing_id()).join(runs, "__row")
     words = F.regexp_extract_all(column(text), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    # The words are bound to a name first: within the inner function they would be found anew for every run.
+    cut = F.transform(
+        F.array(words),
+        lambda w: F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " "),
+    )[0]
     found = found.withColumn("__text", F.when(F.col("__runs").isNull(), column(text)).otherwise(cut))
     new = {text: F.col("__text"), n_chars: F.length("__text").cast("bigint")}
     return found.select(*[new[c].alias(c) if c in new else column(c) for c in docs.columns])
