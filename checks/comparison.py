@@ -119,7 +119,7 @@ MW_EVENTS = f"{EVENTS_SQL}, {mann_whitney_sql(['user_id', 'slot'], 'events_flagg
 )
 def mann_whitney(spark, d):
     tested = c.mann_whitney(events_flagged(spark, d), ["user_id", "slot"])
-    return rounded(rounded(tested, "z", "r", "p_value"), "u", digits=3).drop("p_value_text", "significance")
+    return rounded(rounded(tested, "z", "r", "p_value"), "u", digits=3).drop("p_value_text", "significance", "method")
 
 
 @check(

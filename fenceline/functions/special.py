@@ -7,6 +7,7 @@ code is enough; Spark SQL has no erf, gamma or normal CDF of its own.
 from __future__ import annotations
 
 import math
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -265,33 +266,62 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, norm_sf((y - mu) / sigma)
 
 
-def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U for small untied samples (Gaussian binomial counts)."""
-    m, n = min(n1, n2), max(n1, n2)
-    counts = np.zeros(m * n + 1)
-    counts[0] = 1.0
+#: The exact distribution of U is used, whatever the larger sample's size, when no
+#: values are tied and the smaller sample has at most this many.
+EXACT_U_SAMPLE = 8
+
+
+@cache
+def _box_numerator(m: int) -> tuple[int, list[int]]:
+    """L and N with 1 / ((1 - x) (1 - x) (1 - x^2) ... (1 - x^m)) = N(x) / (1 - x^L)^(m + 1), in whole numbers."""
+    period, numerator = math.lcm(*range(1, m + 1)), [1]
+    for step in (1, *range(1, m + 1)):
+        widened = [0] * (len(numerator) + period - step)  # times 1 + x^step + x^(2 step) + ... below x^L
+        for k in range(len(widened)):
+            widened[k] = (widened[k - step] if k >= step else 0) + (numerator[k] if k < len(numerator) else 0)
+            if k >= period:
+                widened[k] -= numerator[k - period] if k - period < len(numerator) else 0
+        numerator = widened
+    return period, numerator
+
+
+def _orders_up_to(u: int, m: int, n: int) -> int:
+    """Number of orders of m and n untied values whose U is at most u; work depends on m alone.
+
+    The generating function of U is the Gaussian binomial, prod (1 - x^(n + i)) / (1 - x^i)
+    for i up to m: its numerator has 2^m terms, its denominator the closed counts of
+    ``_box_numerator``.
+    """
+    period, numerator = _box_numerator(m)
+    shifts = {0: 1}
     for i in range(1, m + 1):
-        top = n + i  # multiply by (1 - x^top), divide by (1 - x^i)
-        if top <= m * n:
-            counts[top:] -= counts[:-top].copy()
-        for k in range(i, m * n + 1):
-            counts[k] += counts[k - i]
-    high = max(u, n1 * n2 - u)
-    tail = counts[int(math.ceil(high)):].sum() / math.exp(
-        math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
-    )
-    return min(1.0, 2.0 * tail)
+        moved = dict(shifts)
+        for shift, sign in shifts.items():
+            if shift + n + i <= u:
+                moved[shift + n + i] = moved.get(shift + n + i, 0) - sign
+        shifts = moved
+    total = 0
+    for shift, sign in shifts.items():
+        t = u - shift
+        for j in range(t % period, min(t + 1, len(numerator)), period):
+            total += sign * numerator[j] * math.comb((t - j) // period + m, m)
+    return total
 
 
-# Exact U is used when the smaller sample has at most 8 values, as long as its
-# distribution has at most this many cells.
-EXACT_U_CELLS = 100_000
+def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided exact p of U for untied samples, the smaller one small, the other of any size."""
+    m, n = min(n1, n2), max(n1, n2)
+    low = math.floor(min(u, n1 * n2 - u))
+    return min(1.0, 2 * _orders_up_to(low, m, n) / math.comb(m + n, m))
 
 
 def mann_whitney_p(u: float, n1: float, n2: float, ties: float) -> float:
-    """Two-sided p with continuity and tie correction; ties is the sum of t^3 - t."""
+    """Two-sided p: exact for a small untied sample, else normal with continuity and tie correction.
+
+    ties is the sum of t^3 - t.
+    """
     n = n1 + n2
-    if ties == 0 and min(n1, n2) <= 8 and n1 * n2 <= EXACT_U_CELLS:
+    if ties == 0 and min(n1, n2) <= EXACT_U_SAMPLE:
         return mann_whitney_exact(u, int(n1), int(n2))
     variance = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
     if variance <= 0:

@@ -81,8 +81,9 @@ def mann_whitney(
 ) -> DataFrame:
     """Mann-Whitney U of outliers against the rest, one row per variable.
 
-    z and r carry no tie correction; p does, with continuity (exact for a tiny
-    untied group). All variables are ranked in one distributed pass over folded
+    z and r carry no tie correction. ``method`` says where p comes from: ``exact``
+    if no values are tied and the smaller group has at most 8, whatever the size of
+    the other, else ``normal`` with tie and continuity correction. All variables are ranked in one distributed pass over folded
     (variable, value, count) rows.
     """
     counts = (
@@ -107,9 +108,11 @@ def mann_whitney(
     z = (F.col("u") - n1 * n2 / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
     tested = sums.where((F.col("outliers_n") > 0) & (F.col("n") > F.col("outliers_n"))).withColumn("u", u)
     p = scalar_function(special.mann_whitney_p, F.col("u"), n1, n2, F.col("ties"))
+    exact = (F.col("ties") == 0) & (F.least(n1, n2) <= special.EXACT_U_SAMPLE)
     return (
         tested.select(
             "variable", "u", z.alias("z"), (z / F.sqrt(n1 + n2)).alias("r"), p.alias("p_value"),
+            F.when(exact, "exact").otherwise("normal").alias("method"),
             "outliers_n", (F.col("n") - F.col("outliers_n")).alias("normal_n"), "n",
         )
         .withColumn("significant", F.col("p_value") < 0.05)

@@ -146,6 +146,14 @@ def test_mann_whitney_with_a_hot_value(spark):
     assert 0 < row["p_value"] <= 1
 
 
+def test_mann_whitney_of_few_against_many_names_its_method(spark):
+    n = 100_001
+    df = spark.range(n + 1).select((F.col("id") == n).alias("is_outlier"), F.col("id").cast("double").alias("x"), (F.col("id") % 1000).alias("tied"))
+    rows = {r["variable"]: r for r in compare.mann_whitney(df, ["x", "tied"]).collect()}
+    assert rows["x"]["p_value"] == pytest.approx(2 / (n + 1)) and rows["x"]["significant"]
+    assert (rows["x"]["method"], rows["tied"]["method"]) == ("exact", "normal")
+
+
 def test_permutation_p_agrees_with_chi_square(spark, monkeypatch):
     rng = np.random.default_rng(11)
     df = spark.createDataFrame(

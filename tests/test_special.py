@@ -39,6 +39,32 @@ def test_mann_whitney_exact_textbook():
     assert s.mann_whitney_exact(17, 5, 4) == pytest.approx(1 / 9, abs=1e-9)
 
 
+def test_mann_whitney_exact_at_every_size():
+    def counts(m, n):  # orders by U, by the last value's sample
+        if not m or not n:
+            return {0: 1}
+        out = {}
+        for part, shift in ((counts(m - 1, n), n), (counts(m, n - 1), 0)):
+            for u, k in part.items():
+                out[u + shift] = out.get(u + shift, 0) + k
+        return out
+
+    for m, n in ((1, 1), (1, 9), (2, 7), (3, 3), (5, 4), (4, 8), (6, 6)):
+        by_u = counts(m, n)
+        for u in by_u:
+            tail = sum(k for v, k in by_u.items() if v <= min(u, m * n - u))
+            expected = min(1.0, 2 * tail / sum(by_u.values()))
+            assert s.mann_whitney_exact(u, m, n) == s.mann_whitney_exact(u, n, m) == pytest.approx(expected, rel=1e-12)
+    # a lone outlier keeps its p on both sides of any size; far more normal rows cost no more
+    for n in (100_000, 100_001, 10**9):
+        assert s.mann_whitney_p(n, 1, n, 0) == pytest.approx(2 / (n + 1), rel=1e-12)
+        assert s.mann_whitney_p(0, n, 2, 0) == pytest.approx(4 / ((n + 2) * (n + 1)), rel=1e-12)
+    n = 10**6
+    assert s.mann_whitney_p(4.0 * n, 8, n, 0) == pytest.approx(1.0, abs=1e-5)
+    for u in (2.5e6, 3e6, 3.7e6):  # the middle agrees with the normal approximation
+        assert s.mann_whitney_exact(u, 8, n) == pytest.approx(s.mann_whitney_p(u, 8, n, 1e-9), abs=0.01)
+
+
 def test_polygamma():
     assert s.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-10)
     assert s.trigamma(np.array([1.0]))[0] == pytest.approx(math.pi**2 / 6, abs=1e-9)
