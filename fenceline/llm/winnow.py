@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .rows import TEXT, column, ddl, over_texts
 
-GRAM, WINDOW = 16, 48
+# Dense enough that a text of forty code points keeps several hashes; about two of nine grams are kept.
+GRAM, WINDOW = 8, 8
 
 _BASE = 0x9E3779B97F4A7C15
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

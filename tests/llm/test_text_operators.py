@@ -198,6 +198,17 @@ def test_edited_documents(spark):
     assert winnow.edited(documents(spark, ROWS[4:5])).first()["near_next"] == 1.0
 
 
+def test_short_texts_are_compared_by_several_hashes(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=40))[: 40 + i % 91], "en", "a") for i in range(364)]
+    near = [(r["n_chars"], r["near_edited"], r["near_next"]) for r in winnow.edited(documents(spark, rows)).collect()]
+    assert {n for n, *_ in near} == set(range(40, 131))
+    assert all(0.1 < e < 0.95 and e > after for _, e, after in near)  # two thirds of each text stay
+    for low, high in ((40, 63), (63, 126)):
+        assert 0.5 < np.mean([e for n, e, _ in near if low <= n < high]) < 0.75
+
+
 def test_edited_tables_agree_with_any_buckets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = {tuple(map(str, r)) for r in winnow.edited(docs, buckets=1).collect()}
