@@ -4,7 +4,7 @@ One Aho-Corasick pass over a whole text finds anchors: at-signs, plus signs, dig
 URL schemes and cues that announce an identifier. Around each anchor a small
 deterministic parser walks outwards to the boundaries of an address, number or
 account and validates it. Kinds and their rules (leftmost, not overlapping within
-a kind; a candidate that fails validation is dropped and not tried again shorter):
+a kind; a candidate that fails validation is dropped; only an IBAN is tried again shorter):
 
 email    local@label.label..., ASCII; found at the at-sign
 ip       four numbers up to 255 joined by dots; found at a digit
@@ -12,7 +12,8 @@ card     12 to 19 digits, at most one space or dash between two, Luhn sum right
 phone    plus sign, digits with spaces, brackets, dots and dashes, 9 to 15 digits
 url      a scheme (http, https, ftp, mailto) and what follows to white space or a closing mark
 account  after a cue (iban, account, acct, ssn): an IBAN with right check digits, a number
-         of 6 to 17 digits, or ddd-dd-dddd after ssn
+         of 6 to 17 digits, or ddd-dd-dddd after ssn. An IBAN ends where its country's length
+         says, or else at the last end of a word that gives right check digits
 
 The first four are the base kinds. Offsets are code points, ends exclusive.
 
@@ -41,11 +42,24 @@ _DOTTED = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _RUN = re.compile(r"[0-9]+")
 _DIAL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LINK = re.compile(r"[^\s<>\"'`|{}\\^]+")
-_IBAN = re.compile(r"[ :=#.]{0,3}(?:(?:no|number|nr)[ :=#.]{0,3})?([a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![a-z0-9])")
+_IBAN = re.compile(r"[ :=#.]{0,3}(?:(?:no|number|nr)[ :=#.]{0,3})?([a-z]{2}[0-9]{2})(?= ?[a-z0-9]{4})")
+_GROUP = re.compile(r" ?(?:[a-z0-9]{4}|[a-z0-9]{1,3}(?![a-z0-9]))")
+_ALNUM = re.compile(r"[a-z0-9]")
 _ACCOUNT = re.compile(r"[ :=#.]{0,3}(?:(?:no|number|nr)[ :=#.]{0,3})?([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
 _SSN = re.compile(r"[ :=#.]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 _CUES = ("iban", "account", "acct", "ssn")
+# ISO 13616: characters of an IBAN by country.
+_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "no", 16: "be", 18: "dk fk fi fo gl nl sd", 19: "mk si", 20: "at ba ee kz lt lu mn xk", 21: "ch hr li lv",
+        22: "bg bh cr de gb ge ie me rs va", 23: "ae gi il iq om so tl", 24: "ad cz es md pk ro sa se sk tn vg",
+        25: "ly pt st", 26: "is tr", 27: "bi dj fr gr it mc mr sm", 28: "al az by cy do gt hn hu lb ni pl sv",
+        29: "br eg ps qa ua", 30: "jo kw mu ye", 31: "mt sc", 32: "lc", 33: "ru",
+    }.items()
+    for country in countries.split()
+}
 
 
 @cache
@@ -78,6 +92,18 @@ def iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(low: str, start: int) -> int | None:
+    """Where the IBAN at start ends: groups of four, the last maybe shorter, at most one blank between two."""
+    at, found = start + 4, []
+    while at < start + 43 and (m := _GROUP.match(low, at)):
+        at = m.end()
+        if not _ALNUM.match(low, at) and iban(value := low[start:at].replace(" ", "")):
+            if len(value) == _LENGTHS.get(value[:2]):
+                return at
+            found.append(at)
+    return found[-1] if found else None
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -128,8 +154,9 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                     spans.append((start, end, "url"))
         elif last + 1 - len(anchor) == 0 or not low[last - len(anchor)].isalnum():
             m = _IBAN.match(low, last + 1) if anchor != "ssn" else _SSN.match(low, last + 1)
-            if m and (anchor == "ssn" or iban(m[1].replace(" ", ""))):
-                spans.append((m.start(1), m.end(1), "account"))
+            end = m and (m.end(1) if anchor == "ssn" else iban_end(low, m.start(1)))
+            if end:
+                spans.append((m.start(1), end, "account"))
             elif anchor in ("account", "acct") and (m := _ACCOUNT.match(low, last + 1)):
                 spans.append((m.start(1), m.end(1), "account"))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))

@@ -73,6 +73,35 @@ def test_further_kinds(text, kinds):
     assert [s[2] for s in pii.find_spans(text) if s[2] != "phone"] == kinds
 
 
+def made_iban(country, rest):
+    number = int("".join(str(int(c, 36)) for c in f"{rest}{country}00"))
+    return f"{country}{98 - number % 97:02d}{rest}"
+
+
+@pytest.mark.parametrize("after", [" is mine", " to", " for 12 of us", " and", " a", " 1234", " DE12 is", "", ".", ", or", "\nover"])
+@pytest.mark.parametrize(
+    "country,rest",
+    [
+        ("NO", "86011117947"), ("BE", "539007547034"), ("NL", "ABNA0417164300"), ("AT", "1904300234573201"), ("GB", "WEST12345698765432"),
+        ("ES", "21000418450200051332"), ("FR", "20041010050500013M02606"), ("PL", "109010140000071219812874"), ("XX", "123456789012"),
+    ],
+)
+def test_ibans_before_words(country, rest, after):
+    plain = made_iban(country, rest)
+    spaced = " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+    for value in (plain, spaced, plain.lower()):
+        text = f"my IBAN: {value}{after}"
+        accounts = [s for s in pii.find_spans(text) if s[2] == "account"]
+        assert accounts == [(9, 9 + len(value), "account")]
+        wrong = text.replace(value[2:4], f"{(int(value[2:4]) + 1) % 97:02d}", 1)
+        assert not [s for s in pii.find_spans(wrong) if s == accounts[0]]
+
+
+def test_known_ibans_before_words():
+    for value in ("ES9121000418450200051332", "BE68539007547034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332"):
+        assert pii.redacted(f"IBAN {value} is mine") == "IBAN [ACCOUNT] is mine"
+
+
 def test_redacted():
     assert pii.redacted("a@b.c and mailto:x@y.zz! 10.1.2.3") == "[EMAIL] and [URL]! [IP]"
 
