@@ -15,8 +15,13 @@ Labels: those of the phrases; ``tag:<id>`` for each licence named in an expressi
 of the distinct kinds of evidence (base phrase 0.3, other phrase 0.5, tag with a known
 licence 0.1, tag with unknown ones 0.6); 0 without evidence.
 
+After ``license`` an expression needs a licence of the table, or has to be a single id with
+a digit, as prose follows there too; after the SPDX tag every id counts but ``none`` and
+``noassertion``, which name no licence.
+
 Defined cases: a null text counts as empty; an empty text has no words, null places,
-empty labels and score 0. An expression that does not parse gives its known ids only.
+empty labels and score 0. Prose after an expression is cut off; what then does not parse
+gives its known ids only.
 Equal texts have equal rows. Extra columns are ignored.
 """
 
@@ -54,8 +59,9 @@ RECIPROCAL = frozenset(
 )
 
 _WORDLESS = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else 0x20 for b in range(256))
-_TAG = re.compile(r"(?:spdx-license-identifier|(?<![\w-])licen[cs]e)[\"']?[ \t]*[:=][ \t]*[\"']?([^\n\"'<>;*]+)")
-_PART = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
+_TAG = re.compile(r"(?:(spdx-license-identifier)|(?<![\w-])licen[cs]e)[\"']?[ \t]*[:=][ \t]*[\"']?([^\n\"'<>;*]+)")
+_PART = re.compile(r"[()]|(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.+-]*")
+_NAMELESS = {"none", "noassertion"}
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -124,8 +130,8 @@ def evaluate(order: list[str]) -> tuple[frozenset[str], bool, bool]:
     return stack[0]
 
 
-def expression(text: str) -> tuple[set[str], bool, str | None]:
-    """Labels of a licence expression, whether all its licences are known, and its value."""
+def expression(text: str, spdx: bool = False) -> tuple[set[str], bool, str | None]:
+    """Labels of a licence expression, whether all its licences are known, and its value; spdx after an SPDX tag."""
     parts = [p.rstrip(".-") if p not in "()" else p for p in _PART.findall(text)]
     order = postfix(parts)
     while order is None and len(parts) > 1 and not parts[-1] in PERMISSIVE | RECIPROCAL:
@@ -135,6 +141,8 @@ def expression(text: str) -> tuple[set[str], bool, str | None]:
         return {f"tag:{p}" for p in parts if p in PERMISSIVE or p in RECIPROCAL}, False, None
     ids, known, free = evaluate(order)
     if not any(i in PERMISSIVE or i in RECIPROCAL for i in ids):
+        if spdx:
+            return {f"tag:{i}" for i in ids - _NAMELESS}, False, None
         return ({f"tag:{i}" for i in ids} if len(ids) == 1 and re.search(r"\d", *ids) else set()), False, None
     return {f"tag:{i}" for i in ids}, known, "permissive" if free else "reciprocal"
 
@@ -161,7 +169,7 @@ def scan(text: str) -> tuple:
             places.append(word - length)
     if tagged:
         for m in _TAG.finditer(low.decode()):
-            found, known, value = expression(m[1])
+            found, known, value = expression(m[2], bool(m[1]))
             for label in found:
                 labels.add(label)
                 doubt[label] = 0.1 if known else 0.6

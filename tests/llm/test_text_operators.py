@@ -158,6 +158,28 @@ def test_expressions(text, labels):
     assert 0 <= score <= 1 and (score > 0) == bool(labels)
 
 
+@pytest.mark.parametrize(
+    "text,labels,score",
+    [
+        ("SPDX-License-Identifier: WTFPL", {"tag:wtfpl"}, 0.4),
+        ("// SPDX-License-Identifier: PostgreSQL */\nint x;", {"tag:postgresql"}, 0.4),
+        ("SPDX-License-Identifier: (Ruby OR NCSA)", {"tag:ruby", "tag:ncsa"}, 0.64),
+        ("SPDX-License-Identifier: LGPL-2.0-only OR AFL-2.1", {"tag:lgpl-2.0-only", "tag:afl-2.1"}, 0.64),
+        ("# SPDX-License-Identifier: Ruby AND (NCSA WITH Some-exception OR WTFPL)", {"tag:ruby", "tag:ncsa", "tag:wtfpl"}, 0.784),
+        ("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b", {"tag:documentref-a:licenseref-b"}, 0.4),
+        ("SPDX-License-Identifier: WTFPL see the file", {"tag:wtfpl"}, 0.4),
+        ("SPDX-License-Identifier: NONE", set(), 0.0),
+        ("license: PostgreSQL", set(), 0.0),
+        ("license: ask us OR them", set(), 0.0),
+        ("license: foo-1.0", {"tag:foo-1.0"}, 0.4),
+    ],
+)
+def test_unlisted_licences(text, labels, score):
+    *_, found, given_score = licenses.scan(text)
+    assert set(filter(None, found.split(","))) == labels
+    assert given_score == pytest.approx(score)
+
+
 def test_precedence():
     assert licenses.postfix("a or b and c with d".split()) == "a b c d with and or".split()
     assert licenses.postfix("( a or b ) and c".split()) == "a b or c and".split()
