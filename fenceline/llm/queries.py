@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import ship
-from . import licenses, mixing, packing, pii, quality, secrets, simhash, tokens, topk, winnow
+from . import licenses, manifest, mixing, packing, pii, quality, secrets, simhash, tokens, topk, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,52 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query
 def op10_mixing(table):
     return mixing.mix(table("documents"))
+
+
+@query
+def op13_manifest(table):
+    found = manifest.audited(table("documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _manifest_sql() -> str:
+    """Levels by a recursive grouping, then every leaf's walk up its group and the groups; CRC-32 bit by bit."""
+
+    def written(**changed) -> str:
+        values = [f"CAST({changed.get(c, c)} AS VARCHAR)" for c in manifest.COLUMNS]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    digits = "CAST(doc_id AS VARCHAR)"
+    # Nine steps for each digit: the character first, then its eight bits.
+    steps = f"list_transform(range(0, 9 * len({digits})), lambda i: CASE WHEN i % 9 = 0 THEN CAST(ascii(substr({digits}, CAST(i // 9 + 1 AS INTEGER), 1)) AS BIGINT) ELSE -1 END)"
+    turn = "CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END"
+    crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, b: {turn}))"
+
+    def walk(name: str, nodes: str, start: str) -> str:
+        sibling = "coalesce(s.h, '')"
+        return f"""{name}(rw, lang, level, pos, n, now, proof) AS ({start} UNION ALL
+  SELECT w.rw, w.lang, w.level + 1, w.pos // 2, (w.n + 1) // 2, sha256(CASE WHEN w.pos % 2 = 0 THEN w.now || {sibling} ELSE {sibling} || w.now END), w.proof || {sibling}
+  FROM {name} w LEFT JOIN {nodes} s ON s.lang = w.lang AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1)"""
+
+    def grown(name: str, start: str) -> str:
+        return f"""{name}(lang, level, pos, n, h) AS ({start} UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY lang, level, pos // 2, n)"""
+
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rw, doc_id, coalesce('=' || lang, '') AS lang, {written()} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 7 = 0 THEN {written(n_chars="n_chars + 1")} ELSE {written()} END AS tried
+  FROM documents
+),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{grown("t", "SELECT lang, 0, pos, n, leaf FROM p")},
+g AS (SELECT lang AS name, h AS subroot, row_number() OVER (ORDER BY lang) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{grown("u", "SELECT '', 0, pos, n, subroot FROM g")},
+{walk("w", "t", "SELECT rw, lang, 0, pos, n, tried, '' FROM p")},
+{walk("x", "u", "SELECT w.rw, '', 0, g.pos, g.n, w.now, w.proof FROM w JOIN g ON g.name = w.lang WHERE w.n = 1")}
+SELECT p.doc_id, p.leaf, g.subroot, u.h AS root, sha256(x.proof) AS proof_sha256, x.now AS folded_root, x.now = u.h AS verified
+FROM p JOIN g ON g.name = p.lang JOIN x ON x.rw = p.rw AND x.n = 1 CROSS JOIN (SELECT h FROM u WHERE n = 1) u
+"""
+
+
+ORACLES["op13_manifest"] = _manifest_sql()
