@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import ship
-from . import licenses, manifest, mixing, packing, pii, quality, secrets, simhash, tokens, topk, winnow
+from . import bpe, licenses, manifest, mixing, packing, pii, quality, secrets, simhash, tokens, topk, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,13 @@ def op10_mixing(table):
     return mixing.mix(table("documents"))
 
 
+@query
+def op11_bpe(table):
+    found = bpe.decoded(bpe.encoded(table("documents")), ["doc_id", "ids"])
+    size = F.floor(F.length("ids") / 4).cast("bigint")
+    return found.select("doc_id", size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 @query
 def op13_manifest(table):
     found = manifest.audited(table("documents"))

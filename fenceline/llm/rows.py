@@ -43,14 +43,15 @@ def over_texts(
 ) -> DataFrame:
     """Columns ``keep`` of df with what ``function`` makes of every whole text.
 
-    function gets the texts of a batch (null read as empty) and returns one
+    function gets the texts (or binaries) of a batch (null read as empty) and returns one
     sequence per field. A kept column of a field's name is replaced by the field.
     ``only`` names a boolean field: rows where it is false are left out.
     """
     names = [name for name, _ in fields]
     keep = [c for c in keep if c not in names]
     # Kept columns travel under plain names, as a name with a dot cannot.
-    work = df.select(*[column(c).alias(f"kept{i}") for i, c in enumerate(keep)], F.coalesce(column(text), F.lit("")).alias(TEXT))
+    empty = F.lit("").cast(df.select(column(text)).schema[0].dataType)
+    work = df.select(*[column(c).alias(f"kept{i}") for i, c in enumerate(keep)], F.coalesce(column(text), empty).alias(TEXT))
     kinds = [kind for _, kind in fields]
     out_names = [*work.columns[:-1], *names]
     flag = names.index(only) if only else None
