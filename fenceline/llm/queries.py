@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import ship
-from . import bpe, licenses, manifest, mixing, packing, pii, quality, secrets, simhash, tokens, topk, winnow
+from . import bpe, divergence, licenses, manifest, mixing, packing, pii, quality, secrets, simhash, tokens, topk, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +135,36 @@ def op11_bpe(table):
     return found.select("doc_id", size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query
+def op12_divergence(table):
+    return divergence.divergence(table("documents"))
+
+
+ORACLES["op12_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rw, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rw, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rw) >= {divergence.LEAST}),
+l AS (SELECT lang, count(*) AS v, sum(total) AS whole FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, (SELECT coalesce(sum(n), 0) FROM c WHERE c.lang = s.lang AND c.source = s.source) AS whole FROM (SELECT DISTINCT lang, source FROM d) s),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + {divergence.SCALE}::HUGEINT * (coalesce(n, 0) + {divergence.PRIOR}) // (g.whole + {divergence.PRIOR} * l.v)::HUGEINT AS p,
+    1 + {divergence.SCALE}::HUGEINT * (k.total + {divergence.PRIOR}) // (l.whole + {divergence.PRIOR} * l.v)::HUGEINT AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+a AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item,
+    (SELECT coalesce(sum((i.p - j.p) * (i.p - j.p) // (i.p + j.p)), 0) FROM p i JOIN p j ON j.lang = i.lang AND j.term = i.term WHERE i.lang = x.lang AND i.source = x.source AND j.source = y.source) AS value
+  FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM a)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 @query
 def op13_manifest(table):
     found = manifest.audited(table("documents"))

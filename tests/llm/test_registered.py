@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, name, sf_dir):
 def test_one_query_per_operator():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
