@@ -18,7 +18,7 @@ more group.
 Digests are hex text, and a node hashes its children's digests one after another. A run at
 the end of a level may be shorter, one node even, which is hashed alone.
 
-Memory is one block and one batch; nodes travel by joins on (group, block). Each round is
+Memory is one block; nodes travel by joins on (group, block). Each round is
 written to the checkpoint folder.
 
 Defined cases: null columns are written as ``-``, so they differ from empty texts. The
@@ -32,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import sha256
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -102,21 +101,6 @@ def _proofs(block: list[str], levels: int, fanout: int, upper: str) -> list[str]
     return above
 
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole blocks and where blocks begin; the rows' positions are the first column."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        starts = np.flatnonzero(table.column(0).to_numpy() % size == 0)
-        if len(starts) > 1:
-            yield table.slice(0, starts[-1]), starts[:-1]
-        rest = table.slice(starts[-1])
-    if rest is not None:
-        yield rest, np.zeros(1, np.int64)
-
-
 def _numbered(items: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``position`` in the order of the columns ``order`` within ``key``, from 0, and ``leaves``, the key's rows."""
     ranged = cut_lineage(items.repartitionByRange("key", *order).sortWithinPartitions("key", *order).withColumn("at", F.monotonically_increasing_id()))
@@ -176,36 +160,30 @@ def _forest(items: DataFrame, order: list[str], carry: list[str], fanout: int, r
     size = fanout**rise
     placed = cut_lineage(_numbered(items, order).select("position", "key", F.floor(F.col("position") / size).alias("block"), "leaves", "digest", *carry))
 
-    def block_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_blocks(batches, size):
-            digests, leaves = table["digest"].to_pylist(), table["leaves"].to_numpy()
-            ends = [*starts[1:], len(digests)]
-            levels = [depth(int(leaves[s]), fanout) for s in starts]
-            roots = [tree(digests[s:e], min(rise, n), fanout)[-1][0] for s, e, n in zip(starts, ends, levels)]
-            head = table.take(pa.array(starts)).combine_chunks()
-            columns = [head["key"], head["block"], pa.array([-(-int(leaves[s]) // size) for s in starts], pa.int64()), pa.array([max(0, n - rise) for n in levels], pa.int32()), pa.array(roots)]
-            yield from pa.table(columns, names=["key", "block", "blocks", "levels", "root"]).to_batches()
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "block").sortWithinPartitions("key", "position")
-
-    state = dealt(placed.select("position", "key", "block", "leaves", "digest")).mapInArrow(block_roots, "key string, block bigint, blocks bigint, levels int, root string")
+    def block_root(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("position")
+        leaves = rows["leaves"][0].as_py()
+        levels = depth(leaves, fanout)
+        root = tree(rows["digest"].to_pylist(), min(rise, levels), fanout)[-1][0]
+        made = [pa.array([-(-leaves // size)], pa.int64()), pa.array([max(0, levels - rise)], pa.int32()), pa.array([root])]
+        return pa.table([rows["key"].slice(0, 1), rows["block"].slice(0, 1), *made], names=["key", "block", "blocks", "levels", "root"])
+
+    state = placed.select("position", "key", "block", "leaves", "digest").groupBy("key", "block").applyInArrow(
+        block_root, "key string, block bigint, blocks bigint, levels int, root string"
+    )
     state = _exchange(state, fanout, steps)
-    upper = state.select("key", "block", F.col("root").alias("tip"), F.col("siblings").alias("upper"))
-    joined = dealt(placed.join(upper, ["key", "block"]).select("position", "key", "leaves", "digest", "upper", "tip", *carry, "block")).drop("block")
-    kept = ["position", "key", "leaves", "digest", "tip", *carry]
-
-    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_blocks(batches, size):
-            digests, leaves = table["digest"].to_pylist(), table["leaves"].to_numpy()
-            siblings: list[str] = []
-            for s, e in zip(starts, [*starts[1:], len(digests)]):
-                siblings += _proofs(digests[s:e], min(rise, depth(int(leaves[s]), fanout)), fanout, table["upper"][int(s)].as_py())
-            yield from table.select(kept).append_column("siblings", pa.array(siblings, pa.string())).to_batches()
-
-    # siblings last, as ddl leaves the last column out
-    shape = joined.select(*kept, "upper")
-    rows = joined.mapInArrow(prove, ddl(shape, [("siblings", pa.string())]))
+
+    def prove(rows: pa.Table, above: pa.Table) -> pa.Table:
+        rows = rows.sort_by("position")
+        levels = min(rise, depth(rows["leaves"][0].as_py(), fanout))
+        siblings = _proofs(rows["digest"].to_pylist(), levels, fanout, above["siblings"][0].as_py())
+        tip = pa.repeat(above["root"][0], rows.num_rows)
+        return rows.select(kept).append_column("tip", tip).append_column("siblings", pa.array(siblings, pa.string()))
+
+    kept = ["position", "key", "leaves", "digest", *carry]
+    shape = placed.select(*kept, "block")  # ddl leaves the last column out
+    upper = state.select("key", "block", "root", "siblings")
+    rows = placed.groupBy("key", "block").cogroup(upper.groupBy("key", "block")).applyInArrow(prove, ddl(shape, [("tip", pa.string()), ("siblings", pa.string())]))
     return rows, state.where("block = 0").select("key", F.col("root").alias("tip"))
 
 
