@@ -11,8 +11,10 @@ entries that come in order of position, as nearly all do, are appended, the othe
 a small heap beside them. The list and the entries are arrays of 4-byte numbers.
 
 A text's pre-tokens are the matches of the vocabulary's pattern, and a pre-token that is a
-vocabulary entry is its id. A worker remembers a bounded number of short pre-tokens, and of
-pieces of text between blanks; results do not depend on it.
+vocabulary entry is its id. The distinct ones of some hundred texts share a queue, without
+links between them: each is merged in its own order of ranks, and a rank's bucket is emptied
+in one go as long as no lower rank comes up. A worker remembers a bounded number of short
+pre-tokens; results do not depend on it.
 
 Defined cases: a null text counts as empty; an empty text has no ids. White space of any
 length is encoded. Special tokens are ordinary text. Ids of equal texts are equal. When
@@ -22,7 +24,7 @@ decoding, null ids count as none; an unknown id raises. Extra columns are ignore
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heappop, heappush
 
@@ -31,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .rows import over_texts
-from .vocabulary import pieces, ranks, splitting_pattern, vocabulary_path
+from .vocabulary import ranks, splitting_pattern, vocabulary_path
 
-#: Pieces, and pre-tokens, that a worker remembers, and the longest of them.
+#: Pre-tokens that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 100
 
+#: Rows handed on at once, characters of texts encoded together (a longer text is alone), bytes of pre-tokens that share a queue (likewise).
+ROWS, TOGETHER, SHARED = 1000, 1_000_000, 1 << 18
+
 
 class Bucket:
     """Positions of one rank: ``row`` in order, from ``at`` on, and a heap of those that came out of order."""
@@ -91,29 +96,34 @@ class RankQueue:
             self.middle[i >> 6] |= 1 << (i & 63)
             self.top |= 1 << (i >> 6)
 
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position), or None when nothing waits."""
-        top = self.top
-        if not top:
-            return None
-        a = (top & -top).bit_length() - 1
+    def first(self) -> int:
+        """The lowest rank whose bucket is not empty; there must be one."""
+        a = (self.top & -self.top).bit_length() - 1
         word = self.middle[a]
         b = a << 6 | (word & -word).bit_length() - 1
         word = self.low[b]
-        bit = word & -word
-        rank = b << 6 | bit.bit_length() - 1
-        position = self.rows[rank]
-        if position.__class__ is not int:
-            bucket = position
-            position = bucket.pop()
-            if bucket:
-                return rank, position
+        return b << 6 | (word & -word).bit_length() - 1
+
+    def clear(self, rank: int) -> None:
+        """Take an emptied bucket out."""
         del self.rows[rank]
-        self.low[b] = word = word ^ bit
+        i = rank >> 6
+        self.low[i] = word = self.low[i] ^ 1 << (rank & 63)
         if not word:
-            self.middle[a] ^= 1 << (b & 63)
-            if not self.middle[a]:
-                self.top ^= 1 << a
+            self.middle[i >> 6] ^= 1 << (i & 63)
+            if not self.middle[i >> 6]:
+                self.top ^= 1 << (i >> 6)
+
+    def pop(self) -> tuple[int, int] | None:
+        """(rank, position), or None when nothing waits."""
+        if not self.top:
+            return None
+        rank = self.first()
+        position = row = self.rows[rank]
+        if row.__class__ is not int:
+            position = row.pop()
+        if row.__class__ is int or not row:
+            self.clear(rank)
         return rank, position
 
 
@@ -143,122 +153,148 @@ class Bpe:
 
         self.ids = own
         self.bytes = {i: b for b, i in own.items()}
-        self.single = [own.get(bytes([b]), -1) for b in range(256)]
-        if min(self.single) < 0:
+        if any(bytes([b]) not in own for b in range(256)):
             raise ValueError("every byte must be a vocabulary entry")
-        self.size = max(own.values()) + 1
-        self.split = regex.compile(pattern).finditer
+        self.single = np.array([own[bytes([b])] for b in range(256)], np.int32)
+        self.split = regex.compile(pattern).findall
         # Rank of two adjacent bytes, -1 if they never merge.
         self.pairs = np.full(1 << 16, -1, np.int32)
         for b, i in own.items():
             if len(b) == 2:
                 self.pairs[b[0] << 8 | b[1]] = i
-        self.queue = RankQueue(self.size)  # empty between pre-tokens
-        self.pairs_of = self.pairs.tolist()
-        self.words, self.known = Memory(REMEMBERED), Memory(REMEMBERED)
-
-    def word(self, word: bytes) -> list[int] | array:
-        """Ids of one pre-token."""
-        whole = self.ids.get(word)
-        if whole is not None:
-            return [whole]
-        n, queue, find, spelled = len(word), self.queue, self.ids.get, self.bytes
-        if n < 64:
-            tokens = [self.single[b] for b in word]
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            pairs = self.pairs_of
-            for i in range(n - 1):
-                rank = pairs[word[i] << 8 | word[i + 1]]
-                if rank >= 0:
-                    queue.add(rank, i)
-        else:
-            letters = np.frombuffer(word, np.uint8)
-            tokens = array("i", np.array(self.single, np.int32)[letters].tobytes())
-            after, before = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes()), array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
-            rank = self.pairs[letters[:-1].astype(np.int32) << 8 | letters[1:]]
-            places = np.flatnonzero(rank >= 0).astype(np.int32)
-            places = places[np.argsort(rank[places], kind="stable")]
-            for run in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1):
-                if len(run):
-                    queue.put(int(rank[run[0]]), Bucket(array("i", run.tobytes())))
+        self.queue = RankQueue(max(own.values()) + 1)  # empty between calls of merge
+        self.words = Memory(REMEMBERED)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, which share one queue but no links."""
+        n = sum(map(len, words))
+        ends = np.cumsum([len(w) for w in words])
+        starts = np.concatenate(([0], ends[:-1]))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        links = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        links[0][ends - 1], links[1][starts] = n, -1  # a word's last byte has no next one, its first none before
+        tokens, after, before = (array("i", x.tobytes()) for x in (self.single[letters], *links))
+        rank = self.pairs[letters[:-1].astype(np.int32) << 8 | letters[1:]]
+        rank[ends[:-1] - 1] = -1
+        queue, find, spelled = self.queue, self.ids.get, self.bytes
+        places = np.flatnonzero(rank >= 0).astype(np.int32)
+        places = places[np.argsort(rank[places], kind="stable")]
+        for run in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1):
+            if len(run):
+                queue.put(int(rank[run[0]]), Bucket(array("i", run.tobytes())))
         # The id of a merged pair is its rank; -1 marks a position that has gone into its left neighbour.
-        while (entry := queue.pop()) is not None:
-            merged, at = entry
-            token = tokens[at]
-            if token < 0 or (right := after[at]) >= n:
-                continue
-            text = spelled[token] + spelled[tokens[right]]
-            if find(text, -1) != merged:
-                continue  # stale: the pair has changed since
-            tokens[at], tokens[right] = merged, -1
-            after[at] = following = after[right]
-            if following < n:
-                before[following] = at
-                rank = find(text + spelled[tokens[following]])
-                if rank is not None:
-                    queue.add(rank, at)
-            left = before[at]
-            if left >= 0:
-                rank = find(spelled[tokens[left]] + text)
-                if rank is not None:
-                    queue.add(rank, left)
-        return [t for t in tokens if t >= 0] if n < 64 else array("i", (t for t in tokens if t >= 0))
-
-    def text(self, text: str) -> bytes:
-        """Ids of a text, little-endian unsigned 32-bit, pre-token by pre-token."""
-        out, words = [], self.words
-        for match in self.split(text):
-            word = match[0]
-            ids = words.get(word)
-            if ids is None:
-                ids = np.array(self.word(word.encode()), "<u4").tobytes()
+        while queue.top:
+            now = queue.first()
+            row, more, lower = queue.rows[now], True, False
+            while more and not lower:
+                if row.__class__ is int:
+                    at, more = row, False
+                else:
+                    at = row.pop()
+                    more = row.at < len(row.row) or row.late
+                if not more:
+                    queue.clear(now)
+                token = tokens[at]
+                if token < 0 or (right := after[at]) >= n:
+                    continue
+                text = spelled[token] + spelled[tokens[right]]
+                if find(text) != now:
+                    continue  # stale: the pair has changed since
+                tokens[at], tokens[right] = now, -1
+                after[at] = following = after[right]
+                if following < n:
+                    before[following] = at
+                    new = find(text + spelled[tokens[following]])
+                    if new is not None:
+                        queue.add(new, at)
+                        lower = new < now
+                left = before[at]
+                if left >= 0:
+                    new = find(spelled[tokens[left]] + text)
+                    if new is not None:
+                        queue.add(new, left)
+                        lower = lower or new < now
+        merged = np.frombuffer(tokens, np.int32)
+        kept = np.flatnonzero(merged >= 0)
+        ids = merged[kept].astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(kept, np.concatenate((starts, [n])))).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def learn(self, fresh: dict[str, bytes | None]) -> None:
+        """Fill in the ids of pre-tokens."""
+        waiting, size = [], 0
+
+        def settle() -> None:
+            for word, ids in zip(waiting, self.merge([w.encode() for w in waiting])):
+                fresh[word] = ids
                 if len(word) <= LONGEST:
-                    words.put(word, ids)
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """As ``text``, by the pieces between blanks."""
-        cut = pieces(text)
-        if cut is None or cut[-1] == "" or cut[-1][-1].isspace():  # white space that belongs together
-            return self.text(text)
-        known, out = self.known, [self.text(cut[0])]
-        for piece in cut[1:]:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.text(" " + piece)
-                if len(piece) <= LONGEST:
-                    known.put(piece, ids)
-            out.append(ids)
-        return b"".join(out)
+                    self.words.put(word, ids)
+
+        for word in [w for w, ids in fresh.items() if ids is None]:
+            own = word.encode()
+            whole = self.ids.get(own)
+            if whole is not None:
+                fresh[word] = whole.to_bytes(4, "little")
+                continue
+            if waiting and size + len(own) > SHARED:
+                settle()
+                waiting, size = [], 0
+            waiting.append(word)
+            size += len(own)
+        if waiting:
+            settle()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, little-endian unsigned 32-bit."""
+        remembered, split_texts = self.words.get, list(map(self.split, texts))
+        fresh: dict[str, bytes | None] = {}
+        for words in split_texts:
+            for word in set(words).difference(fresh):
+                fresh[word] = remembered(word)
+        self.learn(fresh)
+        return [b"".join(map(fresh.__getitem__, words)) for words in split_texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of bounded length."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
 @cache
 def vocabulary(rank_path: str) -> Bpe:
     """One per worker and vocabulary."""
     return Bpe(ranks(rank_path), splitting_pattern())
 
 
-def encoded(df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text", rank_path: str | None = None) -> DataFrame:
-    """Columns ``keep`` and ``ids`` (binary, little-endian unsigned 32-bit) of every whole text; one map, no shuffle."""
+def encoded(df: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text", rank_path: str | None = None, back: bool = False) -> DataFrame:
+    """Columns ``keep`` and ``ids`` (binary, little-endian unsigned 32-bit) of every whole text; one map, no shuffle.
+
+    ``back`` adds ``bytes``, what the ids spell, decoded in the same map.
+    """
     rank_path = rank_path or vocabulary_path("byte_bpe_50k.tiktoken")
 
     def work(texts: list[str]):
-        encode = vocabulary(rank_path).encode
-        return [[encode(t) for t in texts]]
+        own, ids = vocabulary(rank_path), []
+        for group in together(texts):
+            ids += own.encode(group)
+        return [ids, list(map(own.decode, ids))] if back else [ids]
 
-    return over_texts(df, text, list(keep), work, [("ids", pa.binary())])
+    fields = [("ids", pa.binary()), ("bytes", pa.binary())]
+    return over_texts(df, text, list(keep), work, fields if back else fields[:1], at_once=ROWS)
 
 
 def decoded(df: DataFrame, keep: Iterable[str] = ("doc_id",), ids: str = "ids", rank_path: str | None = None) -> DataFrame:
     """Columns ``keep`` and ``bytes``, what the ids spell; one map, no shuffle."""
     rank_path = rank_path or vocabulary_path("byte_bpe_50k.tiktoken")
-
-    def work(values: list[bytes]):
-        decode = vocabulary(rank_path).decode
-        return [[decode(v) for v in values]]
-
-    return over_texts(df, ids, list(keep), work, [("bytes", pa.binary())])
+    return over_texts(df, ids, list(keep), lambda values: [list(map(vocabulary(rank_path).decode, values))], [("bytes", pa.binary())], at_once=ROWS)

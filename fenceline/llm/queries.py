@@ -130,7 +130,7 @@ def op10_mixing(table):
 
 @query
 def op11_bpe(table):
-    found = bpe.decoded(bpe.encoded(table("documents")), ["doc_id", "ids"])
+    found = bpe.encoded(table("documents"), back=True)
     size = F.floor(F.length("ids") / 4).cast("bigint")
     return found.select("doc_id", size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

@@ -40,12 +40,14 @@ def over_texts(
     function: Callable[[list[str]], Sequence],
     fields: Sequence[tuple[str, pa.DataType]],
     only: str | None = None,
+    at_once: int = 1 << 30,
 ) -> DataFrame:
     """Columns ``keep`` of df with what ``function`` makes of every whole text.
 
     function gets the texts (or binaries) of a batch (null read as empty) and returns one
     sequence per field. A kept column of a field's name is replaced by the field.
-    ``only`` names a boolean field: rows where it is false are left out.
+    ``only`` names a boolean field: rows where it is false are left out. ``at_once`` is
+    the most rows of a batch that function gets.
     """
     names = [name for name, _ in fields]
     keep = [c for c in keep if c not in names]
@@ -57,7 +59,7 @@ def over_texts(
     flag = names.index(only) if only else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, at_once) for whole in batches for at in range(0, max(1, whole.num_rows), at_once)):
             made = [pa.array(v, type=k) for v, k in zip(function(batch.column(batch.num_columns - 1).to_pylist()), kinds)]
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=out_names)
             yield out.filter(made[flag]) if flag is not None else out
