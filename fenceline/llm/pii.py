@@ -114,7 +114,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         return []
     low = text.encode().lower().decode()  # A to Z only, so offsets stay
     spans: list[tuple[int, int, str]] = []
-    mail_end = ip_end = ip_past = card_past = dial_past = 0
+    mail_end = ip_past = card_past = dial_past = link_past = 0
     for last, anchor in _anchors().iter(low):
         if anchor == "0":
             if last >= card_past:
@@ -128,7 +128,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             if last >= ip_past:
                 if m := _DOTTED.match(text, last):
                     ip_past = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                    if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m.groups()):
                         spans.append((last, m.end(), "ip"))
                 else:
                     ip_past = _RUN.match(text, last).end()
@@ -146,8 +146,8 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                     spans.append((last, m.end(), "phone"))
         elif anchor in _SCHEMES:
             start = last + 1 - len(anchor)
-            if (start == 0 or not low[start - 1].isalnum()) and (m := _LINK.match(text, last + 1)):
-                end = m.end()
+            if start >= link_past and (start == 0 or not low[start - 1].isalnum()) and (m := _LINK.match(text, last + 1)):
+                end = link_past = m.end()
                 while end > last + 1 and text[end - 1] in ".,;:!?)]*#%&$":
                     end -= 1
                 if end > last + 1:

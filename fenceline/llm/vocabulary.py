@@ -20,6 +20,8 @@ import numpy as np
 REMEMBERED = 200_000
 
 _CROWDED = re.compile(r"\s ")
+#: White space that is too long for the quick encoder, which descends once per character.
+_LONG_GAP = re.compile(r"\s{5000}")
 
 
 def vocabulary_path(name: str) -> str:
@@ -50,8 +52,8 @@ class Encoder:
     """Ids of whole texts, little-endian unsigned 32-bit, as the tokenizer file gives them.
 
     ``path`` is that file, ``rank_path`` the same vocabulary in rank form, which is
-    several times quicker. A text that holds the beginning of a special token goes
-    to the tokenizer file itself.
+    several times quicker. A text that holds the beginning of a special token, or white
+    space of thousands of characters in a row, goes to the tokenizer file itself.
     """
 
     def __init__(self, path: str, rank_path: str):
@@ -81,7 +83,7 @@ class Encoder:
             at = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "<|" in t else pieces(t) for t in texts]
+        cut = [None if self._slow(t) else pieces(t) for t in texts]
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
@@ -103,8 +105,12 @@ class Encoder:
                 out.append(first + b"".join(map(look, c[1:])))
         return out
 
+    @staticmethod
+    def _slow(text: str) -> bool:
+        return "<|" in text or _LONG_GAP.search(text) is not None
+
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if "<|" in text else self._quick.encode_ordinary(text)
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if self._slow(text) else self._quick.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
 

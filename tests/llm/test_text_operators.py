@@ -1,8 +1,10 @@
 """Operators that map whole texts, against brute-force versions."""
 
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -73,6 +75,21 @@ def test_further_kinds(text, kinds):
     assert [s[2] for s in pii.find_spans(text) if s[2] != "phone"] == kinds
 
 
+@pytest.mark.parametrize("digits", ["0" * 5000, "9" * 5000, "0" * 4999 + "7"])
+@pytest.mark.parametrize("place", range(4))
+def test_very_long_numbers(spark, digits, place):
+    text = ".".join(digits if i == place else "1" for i in range(4))
+    assert [s for s in pii.find_spans(text) if s[2] == "ip"] == ([(0, len(text), "ip")] if digits[0] == "0" else [])
+    if not place:
+        assert pii.personal_data(documents(spark, [(1, text, "en", "a")])).first()["n_ip"] == (digits[0] == "0")
+        assert pii.redact(documents(spark, [(1, text, "en", "a")])).count() == 1
+
+
+def test_links_do_not_overlap():
+    assert pii.find_spans("http://a.b/?u=http://c.d/x ftp://e.f") == [(0, 26, "url"), (27, 36, "url")]
+    assert len(pii.find_spans("mailto:" * 50_000)) == 1
+
+
 def made_iban(country, rest):
     number = int("".join(str(int(c, 36)) for c in f"{rest}{country}00"))
     return f"{country}{98 - number % 97:02d}{rest}"
@@ -281,6 +298,14 @@ def test_encoder_agrees_with_the_tokenizer_file(encoder, texts):
     assert ids == [e.ids for e in encoder.tokenizer.encode_batch(samples, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("gap", ["\n", " ", "\t ", "\u2003"])
+@pytest.mark.parametrize("after", ["", "b"])
+def test_encoder_on_long_white_space(encoder, gap, after):
+    for size in (4_999, 5_000, 5_001, 1_000_000):
+        text = "a" + (gap * size)[:size] + after
+        assert np.frombuffer(encoder([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40))
 def test_encoder_on_random_texts(encoder, text):
@@ -306,6 +331,36 @@ def test_unigram_counts(texts):
         assert count(text) == sum(brute_unigram(w.encode(), scores) for w in split(text))
 
 
+def test_unigram_scores_are_probabilities():
+    """They sum to 1, and of all segmentations of a short word the counted one is the most probable."""
+    own = vocabulary.ranks(vocabulary.vocabulary_path("byte_bpe_50k.tiktoken"))
+    weight = {b: Fraction(1, (r if len(b) > 1 else len(own)) + 1) for b, r in own.items()}
+    total = sum(float(w) for w in weight.values())
+    scores = tokens.log_probabilities(own)
+    assert sum(map(math.exp, scores.values())) == pytest.approx(1.0, abs=1e-12)
+    trie = tokens.Trie(scores)
+    for word in (b" thonea", b" the", b"abc", b" andershored", "é日".encode(), b"0001", b" x"):
+        ways = []
+        for cuts in range(1 << (len(word) - 1)):
+            ends = [i + 1 for i in range(len(word) - 1) if cuts >> i & 1] + [len(word)]
+            parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+            if all(p in weight for p in parts):
+                ways.append((math.prod(float(weight[p]) / total for p in parts), -len(parts)))
+        assert trie.count(word) == -max(ways)[1]
+
+
+def test_long_pre_tokens_in_a_bounded_trie():
+    own = vocabulary.ranks(vocabulary.vocabulary_path("byte_bpe_50k.tiktoken"))
+    scores = tokens.log_probabilities(own)
+    trie, rng = tokens.Trie(scores), random.Random(6)
+    for letters in ("a", "ab", "=", "etaoin", "é日"):
+        for size in (tokens.DEEP - 1, tokens.DEEP, tokens.DEEP + 1, 900):
+            word = "".join(rng.choices(letters, k=size)).encode()
+            assert trie.count(word) == brute_unigram(word, scores)
+    trie.clear()
+    assert trie.count(b"z" * 500_000) > 0 and len(trie.forward) <= tokens.DEEP + 1
+
+
 def test_trie_starts_anew(monkeypatch, texts):
     path = vocabulary.vocabulary_path("byte_bpe_50k.tiktoken")
     whole = [tokens.Counter(path)(t) for t in texts[:10]]
