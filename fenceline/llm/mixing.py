@@ -28,9 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut_lineage
-from .rows import column
+from .rows import column, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it, the last one also with what follows; and white space at the beginning.
+SPACED, LEADING = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?", r"^[\x20\x09-\x0D]+"
 WEIGHTS, MOST, BLOCK, SLOTS, RANGE, SEED, ROUNDS = (5, 2, 1), 3, 64, 4096, 5_000, 7, 20
 
 #: Parts of a slot in which wanted slots are counted.
@@ -79,7 +81,7 @@ def permuted(index: Column, size: Column, *key: Column, rounds: int = ROUNDS) ->
 
 
 class Mix:
-    """Tables of one mix.
+    """Tables of one mix. ``row`` names a column that numbers the rows, if there is one.
 
     sources    source, number, source_size, target, blocks
     documents  row, doc_id, number, size, start (its words' place in its source)
@@ -87,13 +89,13 @@ class Mix:
     pieces     row, number, block, first (word in the document), words
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, block=BLOCK, slots=SLOTS, seed=SEED):
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, block=BLOCK, slots=SLOTS, seed=SEED, row: str | None = None):
         spark = df.sparkSession
         self.block, self.most, self.seed = block, most, seed
         # Numbers only from here on; texts are read once, and only for their word counts.
         counted = cut_lineage(
             df.select(
-                F.monotonically_increasing_id().alias("row"), column(doc_id).alias("doc_id"), column(source).cast("string").alias("source"),
+                (column(row) if row else F.monotonically_increasing_id()).alias("row"), column(doc_id).alias("doc_id"), column(source).cast("string").alias("source"),
                 word_count(column(text)).alias("size"),
             )
         )
@@ -192,24 +194,27 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The mix as documents: for every pass of its source that holds words of a document, one row of its columns.
 
     A pass that holds the whole document leaves its text as it is; otherwise the text is
-    its words in the blocks drawn, in order, joined by blanks. Documents without words
-    are in no block and so not in the mix. docs is read twice and must give the same
-    rows in the same partitions, as a stored table does.
+    its words in the blocks drawn, in order, each with the white space before it, and the
+    last also with what follows it; only the first word of a cut beginning stands without.
+    Documents without words are in no block and so not in the mix. docs is read once and
+    kept, with its rows' numbers, in the shared folder.
     """
-    m = Mix(docs, doc_id=doc_id, text=text, source=source, **settings)
+    rows = numbered(docs, "__row")
+    m = Mix(rows, doc_id=doc_id, text=text, source=source, row="__row", **settings)
     runs = m.drawn_pieces().groupBy("row", "pass").agg(
         F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs")
     )
     runs = runs.join(m.documents.select("row", "size"), "row").select(
-        F.col("row").alias("__row"), F.col("pass").alias("__pass"), F.when(F.col("words") < F.col("size"), F.col("runs")).alias("__runs")
+        F.col("row").alias("__row"), F.when(F.col("words") < F.col("size"), F.col("runs")).alias("__runs")
     )
-    found = docs.withColumn("__row", F.monotonically_increasing_id()).join(runs, "__row")
-    words = F.regexp_extract_all(column(text), F.lit(WORD), F.lit(0))
+    found = rows.join(runs, "__row")
+    words = F.regexp_extract_all(column(text), F.lit(SPACED), F.lit(0))
     # The words are bound to a name first: within the inner function they would be found anew for every run.
     cut = F.transform(
         F.array(words),
-        lambda w: F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " "),
+        lambda w: F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), ""),
     )[0]
+    cut = F.when(F.col("__runs")[0]["first"] > 0, F.regexp_replace(cut, LEADING, "")).otherwise(cut)
     found = found.withColumn("__text", F.when(F.col("__runs").isNull(), column(text)).otherwise(cut))
     new = {text: F.col("__text"), n_chars: F.length("__text").cast("bigint")}
     return found.select(*[new[c].alias(c) if c in new else column(c) for c in docs.columns])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lineage import shared_folder
+
 TEXT = "__text"
 
 SPARK_TYPES = {
@@ -27,6 +30,17 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of every row in column ``name``, written once to the shared folder and read from there.
+
+    Numbers taken while reading hold for one read only: a table's partitions follow the
+    executors that are there when it is read. Stored, they stay with their rows.
+    """
+    path = f"{shared_folder(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ddl(df: DataFrame, fields: Sequence[tuple[str, pa.DataType]]) -> str:
     """All of df's columns but the last, the text, and then the fields."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]]

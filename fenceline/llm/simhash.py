@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import cut_lineage
 from .components import components
-from .rows import column, over_texts
+from .rows import column, numbered, over_texts
 
 SHINGLE, BITS, RADIUS, BLOCKS, SEED = 3, 64, 3, 5, 42
 
@@ -196,10 +196,10 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """All columns of docs, one row per component: its smallest doc_id (nulls last), the first row of that id.
 
-    docs is read twice and must give the same rows in the same partitions, as a stored table does.
+    docs is read once and kept, with its rows' numbers, in the shared folder.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    groups = near_duplicates(numbered, doc_id, text, keep=["__row"], **settings)
+    rows = numbered(docs, "__row")
+    groups = near_duplicates(rows, doc_id, text, keep=["__row"], **settings)
     part = F.struct(column(doc_id).isNull().alias("none"), column(doc_id).alias("id"), F.col("__row"))
     chosen = groups.groupBy("component").agg(F.min(part).alias("chosen"))
-    return numbered.join(chosen.select(F.col("chosen.__row").alias("__row")), "__row", "left_semi").drop("__row")
+    return rows.join(chosen.select(F.col("chosen.__row").alias("__row")), "__row", "left_semi").drop("__row")

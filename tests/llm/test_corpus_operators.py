@@ -102,6 +102,30 @@ def test_near_duplicates(spark, source):
     assert Counter((r["doc_id"], f"{r['fingerprint'] % 2**64:016x}", r["component_id"]) for r in found.collect()) == expected
 
 
+def in_files(spark, tmp_path, files=6):
+    """Documents in several files, and a way to read them that changes the partitions between planning and writing."""
+    path = f"{tmp_path}/files"
+    table(spark, "documents").repartition(files).write.parquet(path)
+
+    def written(function, least):
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        try:
+            out = function(spark.read.parquet(path))
+            spark.conf.set("spark.sql.files.minPartitionNum", str(least))
+            return sorted(map(tuple, out.collect()), key=repr)
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+
+    return written
+
+
+@pytest.mark.parametrize("function", [simhash.one_of_each, mixing.mixed_documents])
+def test_partitions_that_change_between_reads(spark, tmp_path, function):
+    written = in_files(spark, tmp_path)
+    rows = written(function, 1)
+    assert rows and written(function, 40) == rows
+
+
 def test_one_of_each(spark, tmp_path):
     docs = stored(documents(spark), tmp_path)
     kept = simhash.one_of_each(docs)
@@ -113,6 +137,30 @@ def test_one_of_each(spark, tmp_path):
     assert simhash.one_of_each(stored(nothing(spark), tmp_path)).count() == 0
 
 
+def test_white_space_of_cut_documents(spark, tmp_path):
+    """Line breaks, indentation and columns stay as they are within what the mix takes."""
+    line = "  key:\tvalue of\x0b it \n\n"
+    rows = [(i, "\n " + "".join(f"{line}{i}-{j}" for j in range(40)) + " \n", "en", "abc"[i % 3]) for i in range(30)]
+    docs = stored(documents(spark, rows, clashes=False), tmp_path)
+    found = mixing.mixed_documents(docs, block=16, slots=32).collect()
+    originals, word = {r[0]: r[1] for r in rows}, re.compile(r"[^\x20\x09-\x0D]+")
+    cut = 0
+    for r in found:
+        whole = originals[r["doc_id"]]
+        if r["text"] == whole:
+            continue
+        cut += 1
+        spaced = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", whole)
+        # Runs of whole blocks: every stretch of the text between two cuts stands in the original as it is.
+        own, at, text = word.findall(r["text"]), 0, r["text"]
+        assert own and not Counter(own) - Counter(word.findall(whole))
+        for piece in re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)[1:]:
+            while spaced[at] != piece:
+                at += 1
+            at += 1
+    assert cut > 5
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -152,6 +200,11 @@ def test_packing_of_a_table(spark):
     assert all(s == packing.LENGTH or s & (s - 1) == 0 for s in sizes)
 
 
+def test_packing_of_long_white_space(spark):
+    rows = [(1, "a" + "\n" * 2_000_000 + "b", "en", "a"), (2, "end" + " " * 2_000_000, "en", "a"), (3, "plain", "en", "a")]
+    check_pieces(packing.pack(documents(spark, rows)).withColumn("ids_crc32", F.crc32("ids")).collect(), [(i, t) for i, t, *_ in rows])
+
+
 def test_packing_edges(spark):
     check_pieces(packing.pack(documents(spark), windows=2).collect(), [(i, t or "") for i, t, *_ in ROWS])
     assert packing.pack(nothing(spark)).count() == 0
