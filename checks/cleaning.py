@@ -161,3 +161,17 @@ def cleaned_table(spark, d):
 )
 def cleaning_report(spark, d):
     return _cleaned(spark, d)[1]
+
+
+# Ids with gaps and beyond what a double holds; no step may touch them.
+IDLESS_SQL = f"(SELECT CASE WHEN event_id % 17 <> 0 THEN event_id + 9007199254740993 END AS event_id, event_type, value FROM {GAPPY_SQL})"
+
+
+@check(
+    "cleaned_table_keeps_ids",
+    f"""SELECT event_id, coalesce(event_type, 'none') AS event_type, round(coalesce(value, (SELECT avg(value) FROM {IDLESS_SQL})), 6) AS value FROM {IDLESS_SQL}""",
+)
+def cleaned_table_keeps_ids(spark, d):
+    events = gappy(spark, d).select(F.when(F.col("event_id") % 17 != 0, F.col("event_id") + 9007199254740993).alias("event_id"), "event_type", "value")
+    steps = [{"step": "missing", "strategy": "mean"}, {"step": "missing", "strategy": "constant", "value": "none"}]
+    return rounded(c.clean(events, steps, "event_id")[0], "value")

@@ -239,7 +239,7 @@ def clean(df: DataFrame, steps: Sequence[dict], row_id: str, task_rows: int = TA
     for position, step in enumerate(steps, start=1):
         kind = step["step"]
         if kind == "missing":
-            df = fill_missing(df, step["strategy"], step.get("value"), step.get("columns"), task_rows)
+            df = fill_missing(df, step["strategy"], step.get("value"), step.get("columns"), row_id=row_id, task_rows=task_rows)
         elif kind == "duplicates":
             df = drop_duplicates(df, row_id, step.get("keep", "first"))
         elif kind == "outliers":

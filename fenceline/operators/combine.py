@@ -52,9 +52,13 @@ def outlier_metrics(df: DataFrame, flag: str = "is_outlier") -> DataFrame:
 
 
 def method_counts(df: DataFrame, methods: Sequence[str], flag: str = "is_outlier") -> DataFrame:
-    """Rows flagged per method and finally, with the share of all rows and a warning above half."""
+    """Rows flagged per method and finally, with the share of all rows and a warning above half.
+
+    A method that did not run, null throughout, has null for all of them.
+    """
     names = [*methods, flag]
-    row = df.agg(F.count("*").alias("total"), *[F.count_if(F.col(m)).alias(m) for m in names])
+    ran = {m: (F.count(m) > 0) | (F.count("*") == 0) for m in names}
+    row = df.agg(F.count("*").alias("total"), *[F.when(ran[m], F.count_if(F.col(m))).alias(m) for m in names])
     entries = [
         F.struct(F.lit("final" if m == flag else m).alias("method"), F.col(m).alias("flagged"), F.col("total"))
         for m in names
@@ -66,13 +70,13 @@ def method_counts(df: DataFrame, methods: Sequence[str], flag: str = "is_outlier
 
 
 def vote_detail(df: DataFrame, row_id: str, methods: Sequence[str], flag: str = "is_outlier") -> DataFrame:
-    """Votes of every final outlier with totals per family of methods."""
+    """Votes of every final outlier with totals per family of methods; a method that did not run is null and has no vote."""
     uni = [m for m in methods if m in ("iqr", "zscore", "mad")]
     multi = [m for m in methods if m in MULTIVARIATE]
     hyp = [m for m in methods if m in HYPOTHESIS]
 
     def total(names):
-        return add(F.col(m).cast("int") for m in names) if names else F.lit(0)
+        return add(F.coalesce(F.col(m).cast("int"), F.lit(0)) for m in names) if names else F.lit(0)
 
     return df.where(F.col(flag)).select(
         row_id, *methods, total(uni).alias("univariate_votes"), total(multi).alias("multivariate_votes"),

@@ -1,10 +1,9 @@
-"""Hypothesis-test detectors (Grubbs, Dixon, Rosner) and the normality test behind them."""
+"""Hypothesis-test detectors (Grubbs, Dixon; Rosner is in its own module) and the normality test behind them."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -14,6 +13,7 @@ from ..functions import special
 from ..functions.columns import melt, number, scalar_function
 from ..functions.lineage import broadcast_if_small
 from ..functions.rank import TASK_ROWS, ranked_values
+from .rosner import fit_rosner, rosner_report  # noqa: F401
 from .univariate import moments
 
 # Dixon's critical Q for n = 3..30 at three significance levels.
@@ -281,131 +281,3 @@ def dixon(df: DataFrame, by: Sequence[str], column: str, row_id: str, alpha: flo
         *by, "side", row_id, "value", "q", critical.alias("critical"), dixon_p(F.col("q"), F.col("n")).alias("p_value"),
         (F.col("q") > critical).alias("is_outlier"), "n", F.lit("tested").alias("status"),
     ).unionByName(other)
-
-
-# ---------------------------------------------------------------- Rosner
-
-
-@dataclass
-class RosnerFit:
-    """How far the peeling went: rows up to these (value, row_id) ends are outliers."""
-
-    column: str
-    row_id: str
-    low: tuple | None = None
-    high: tuple | None = None
-    steps: list = field(default_factory=list)
-    status: str = "tested"
-
-    def flag(self) -> Column:
-        x, i = number(self.column), F.col(self.row_id)
-        found = F.lit(False)
-        if self.low:
-            found = found | (x < self.low[0]) | ((x == self.low[0]) & (i <= F.lit(self.low[1])))
-        if self.high:
-            found = found | (x > self.high[0]) | ((x == self.high[0]) & (i <= F.lit(self.high[1])))
-        return F.coalesce(found, F.lit(False))
-
-
-def fit_rosner(
-    df: DataFrame, column: str, row_id: str, k: int | None = None, alpha: float = 0.05,
-    stop: str = "first", page: int = 5000, share: float = 0.1, least_rows: int = 25,
-) -> RosnerFit:
-    """Sequential extreme studentised deviates, at most k (by default the share of the rows).
-
-    A variable under least_rows has status "too few rows" and flags nothing.
-
-    The most extreme remaining row is always the lowest or the highest, so only
-    the two ends are read, a page at a time; the moments of the remaining rows are
-    recomputed by Spark for every page. stop='first' ends at the first step that
-    is not significant, 'esd' runs all k steps and keeps the last significant one.
-    """
-    fit = RosnerFit(column, row_id)
-    data = df.select(number(column).alias("x"), F.col(row_id).alias("i")).where(F.col("x").isNotNull())
-    total = data.count()
-    if total < least_rows:
-        fit.status = "too few rows"
-        return fit
-    k = min(k if k is not None else max(1, int(share * total)), total - 1)
-    step, low, high = 0, None, None
-    kept_low, kept_high, kept_steps = None, None, 0
-    while step < k:
-        rest = data
-        if low:
-            rest = rest.where((F.col("x") > low[0]) | ((F.col("x") == low[0]) & (F.col("i") > F.lit(low[1]))))
-        if high:
-            rest = rest.where((F.col("x") < high[0]) | ((F.col("x") == high[0]) & (F.col("i") > F.lit(high[1]))))
-        n, mean, var = rest.agg(F.count("*"), F.avg("x"), F.var_pop("x")).first()
-        squares = var * n
-        downs = [(r["x"], r["i"]) for r in rest.orderBy("x", "i").limit(page).collect()]
-        ups = [(r["x"], r["i"]) for r in rest.orderBy(F.desc("x"), "i").limit(page).collect()]
-        a = b = 0
-        done = False
-        while step < k and a < len(downs) and b < len(ups):
-            if n < 3 or squares <= 0:
-                done = True
-                break
-            std = math.sqrt(squares / (n - 1))
-            distance_low, distance_high = mean - downs[a][0], ups[b][0] - mean
-            take_low = distance_low > distance_high or (
-                distance_low == distance_high and downs[a][1] < ups[b][1]
-            )
-            value, ident = downs[a] if take_low else ups[b]
-            statistic = abs(value - mean) / std
-            m = total - step
-            significant = _rosner_significant(statistic, m, alpha)
-            if not significant and stop == "first":
-                done = True
-                break
-            fit.steps.append((step + 1, ident, value, statistic, m, significant))
-            if take_low:
-                a, low = a + 1, downs[a]
-            else:
-                b, high = b + 1, ups[b]
-            gap = value - mean
-            squares = max(0.0, squares - gap * gap * n / (n - 1))
-            mean = (mean * n - value) / (n - 1)
-            n -= 1
-            step += 1
-            if significant:
-                kept_low, kept_high, kept_steps = low, high, step
-        if done:
-            break
-    fit.low, fit.high = kept_low, kept_high
-    fit.steps = fit.steps[:kept_steps]
-    return fit
-
-
-def _rosner_significant(statistic: float, m: int, alpha: float) -> bool:
-    """Whether the statistic exceeds its critical value, decided on the p scale."""
-    if m - 2 < 1:
-        return False
-    rest = (m - 1) ** 2 - m * statistic * statistic
-    if rest <= 0:
-        return True
-    return special.t_sf(math.sqrt(m * (m - 2) * statistic**2 / rest), m - 2) < alpha / (2.0 * m)
-
-
-def rosner_critical(m: int, alpha: float) -> float:
-    """Critical value when m rows remain."""
-    if m - 2 < 1:
-        return math.inf
-    t = special.t_isf(alpha / (2.0 * m), m - 2)
-    return (m - 1) * t / math.sqrt((m - 2 + t * t) * m)
-
-
-def rosner_report(
-    df: DataFrame, columns: Sequence[str], row_id: str, k: int | None = None, alpha: float = 0.05
-) -> DataFrame:
-    """Every peeled row: variable, step, row_id, value, statistic, critical, p_value."""
-    rows = []
-    for c in columns:
-        for step, ident, value, statistic, m, _ in fit_rosner(df, c, row_id, k, alpha).steps:
-            t = statistic * math.sqrt(m / (m - 2 + statistic * statistic))
-            p = min(1.0, 2.0 * special.t_sf(t, m - 2) * m)
-            rows.append((c, step, ident, value, statistic, rosner_critical(m, alpha), p))
-    return df.sparkSession.createDataFrame(
-        rows,
-        f"variable string, step int, {row_id} {df.schema[row_id].dataType.simpleString()}, value double, "
-        "statistic double, critical double, p_value double",
-    )

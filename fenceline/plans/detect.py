@@ -23,9 +23,10 @@ def detect_outliers(
 ) -> DataFrame:
     """df with one boolean column per method, uni_score and is_outlier.
 
-    Only complete rows can be final outliers. Methods that are switched off flag
-    nothing. Everything but the two ranking detectors (lof, isolation_forest) is
-    a filter-like expression over literals.
+    Only complete rows can be final outliers. A method that did not run (switched off, or
+    dixon where no variable has 3 to 30 values) is null and decides nothing. Everything
+    but the two ranking detectors (lof, isolation_forest) is a filter-like expression
+    over literals.
     """
     columns, methods = list(columns), set(methods)
     unknown = methods - set(ALL_METHODS)
@@ -51,7 +52,8 @@ def detect_outliers(
         for m in UNIVARIATE:
             agreeing = agreeing + by_variable(m, c).cast("int")
         votes = votes + (agreeing >= 2).cast("int")
-    flags: dict[str, Column] = {m: any_of(by_variable(m, c) for c in columns) for m in UNIVARIATE}
+    off = F.lit(None).cast("boolean")
+    flags: dict[str, Column] = {m: any_of(by_variable(m, c) for c in columns) if m in methods else off for m in UNIVARIATE}
     flags.update(_hypothesis_flags(df, columns, row_id, methods, alpha, stats))
     flags["uni_score"] = votes
     result = df.withColumns(flags)
@@ -64,7 +66,7 @@ def detect_outliers(
         result = multivariate.isolation_forest(
             result, columns, row_id, contamination, task_rows=task_rows
         ).drop("isolation_forest_score")
-    result = result.withColumns({m: F.lit(False) for m in combine.MULTIVARIATE if m not in methods})
+    result = result.withColumns({m: off for m in combine.MULTIVARIATE if m not in methods})
 
     normal = False
     if strategy == "adaptive":
@@ -72,9 +74,13 @@ def detect_outliers(
     complete = F.lit(True)
     for c in columns:
         complete = complete & number(c).isNotNull()
+
+    def said(m: str) -> Column:
+        return F.coalesce(F.col(m), F.lit(False))
+
     verdict = combine.final_verdict(
-        strategy, F.col("uni_score"), F.col("mahalanobis"), F.col("lof"), F.col("isolation_forest"),
-        any_of(F.col(m) for m in combine.HYPOTHESIS), normal, min_univariate, min_multivariate,
+        strategy, F.col("uni_score"), said("mahalanobis"), said("lof"), said("isolation_forest"),
+        any_of(said(m) for m in combine.HYPOTHESIS), normal, min_univariate, min_multivariate,
     )
     return result.withColumn("is_outlier", verdict & complete).select(
         *names, *ALL_METHODS, "uni_score", "is_outlier"
@@ -84,23 +90,17 @@ def detect_outliers(
 def _hypothesis_flags(
     df: DataFrame, columns: Sequence[str], row_id: str, methods: set[str], alpha: float, stats: dict
 ) -> dict[str, Column]:
-    flags = {}
-    hits = []
+    off = F.lit(None).cast("boolean")
+    flags = {m: off for m in combine.HYPOTHESIS}
     if "grubbs" in methods:  # at most one row per variable
         hits = [r[row_id] for r in outlier_tests.grubbs(df, columns, row_id, alpha).where("is_outlier").collect()]
-    flags["grubbs"] = F.col(row_id).isin(hits) if hits else F.lit(False)
-    hits = []
-    if "dixon" in methods:  # only variables of at most 30 values, two rows each
-        for c in columns:
-            if 3 <= stats[c]["n"] <= 30:
-                found = outlier_tests.dixon(df, [], c, row_id, alpha).where("is_outlier")
-                hits += [r[row_id] for r in found.collect()]
-    flags["dixon"] = F.col(row_id).isin(hits) if hits else F.lit(False)
-    flags["rosner"] = (
-        any_of(outlier_tests.fit_rosner(df, c, row_id, None, alpha).flag() for c in columns)
-        if "rosner" in methods
-        else F.lit(False)
-    )
+        flags["grubbs"] = F.col(row_id).isin(hits) if hits else F.lit(False)
+    small = [c for c in columns if 3 <= stats[c]["n"] <= 30]
+    if "dixon" in methods and small:  # only variables of at most 30 values, two rows each
+        hits = [r[row_id] for c in small for r in outlier_tests.dixon(df, [], c, row_id, alpha).where("is_outlier").collect()]
+        flags["dixon"] = F.col(row_id).isin(hits) if hits else F.lit(False)
+    if "rosner" in methods:
+        flags["rosner"] = any_of(outlier_tests.fit_rosner(df, c, row_id, None, alpha).flag() for c in columns)
     return flags
 
 

@@ -133,7 +133,7 @@ def test_rosner_small_pages_and_esd_rule(spark):
     df = frame(spark, x)
     expected = {200, 201, 202, 203, 204}
     assert flagged(df, outlier_tests.fit_rosner(df, "x", "row_id").flag()) == expected
-    assert flagged(df, outlier_tests.fit_rosner(df, "x", "row_id", page=2).flag()) == expected
+    assert flagged(df, outlier_tests.fit_rosner(df, "x", "row_id", page=2, bins=8).flag()) == expected
     assert flagged(df, outlier_tests.fit_rosner(df, "x", "row_id", stop="esd").flag()) == expected
 
 
