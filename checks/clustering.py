@@ -90,24 +90,35 @@ def outlier_subtypes(spark, d):
     return k.outlier_subtypes(outliers(spark, d), COLUMNS, "event_id", restarts=3)["clusters"]
 
 
-# Customers at their balance and nation: many small dense groups, borders and noise.
-DBSCAN_SQL = """WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal / 400 AS x, c_nationkey * 0.9 AS y FROM customer),
+def dbscan_sql(points, key, eps, least):
+    """All near pairs, then a walk along core rows."""
+    return f"""WITH RECURSIVE p AS ({points}),
   nb AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b
-    ON abs(a.x - b.x) <= 0.5 AND abs(a.y - b.y) <= 0.5),
-  near AS (SELECT * FROM nb WHERE d <= 0.5), core AS (SELECT i AS id FROM near GROUP BY 1 HAVING count(*) >= 4),
+    ON abs(a.x - b.x) <= {eps} AND abs(a.y - b.y) <= {eps}),
+  near AS (SELECT * FROM nb WHERE d <= {eps}), core AS (SELECT i AS id FROM near GROUP BY 1 HAVING count(*) >= {least}),
   walk AS (SELECT id, id AS root FROM core UNION SELECT near.j, walk.root FROM walk JOIN near ON near.i = walk.id JOIN core ON core.id = near.j),
   lab AS (SELECT id, min(root) AS root FROM walk GROUP BY 1),
   num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM lab)),
   cc AS (SELECT id, cluster FROM lab JOIN num USING (root)),
   bord AS (SELECT near.i AS id, cluster, row_number() OVER (PARTITION BY near.i ORDER BY d, cluster) AS rn FROM near JOIN cc ON cc.id = near.j
     WHERE near.i NOT IN (SELECT id FROM core))
-  SELECT p.id AS c_custkey, coalesce(cc.cluster, bord.cluster, -1)::BIGINT AS cluster, p.id IN (SELECT id FROM core) AS is_core
+  SELECT p.id AS {key}, coalesce(cc.cluster, bord.cluster, -1)::BIGINT AS cluster, p.id IN (SELECT id FROM core) AS is_core
   FROM p LEFT JOIN cc ON cc.id = p.id LEFT JOIN bord ON bord.id = p.id AND rn = 1"""
 
 
+# Customers at their balance and nation: many small dense groups, borders and noise.
+DBSCAN_SQL = dbscan_sql("SELECT c_custkey AS id, c_acctbal / 400 AS x, c_nationkey * 0.9 AS y FROM customer", "c_custkey", 0.5, 4)
+
+
 @check("dbscan", DBSCAN_SQL)
 def dbscan(spark, d):
     customers = table(spark, d, "customer").select(
         "c_custkey", (F.col("c_acctbal") / 400).alias("x"), (F.col("c_nationkey") * 0.9).alias("y")
     )
     return k.dbscan(customers, ["x", "y"], "c_custkey", 0.5, 4, leaf_rows=128)
+
+
+@check("dbscan_events", dbscan_sql("SELECT event_id AS id, value AS x, user_id * 2.0 AS y FROM events", "event_id", 2.0, 3))
+def dbscan_events(spark, d):
+    events = table(spark, d, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id") * 2.0).alias("y"))
+    return k.dbscan(events, ["x", "y"], "event_id", 2.0, 3, leaf_rows=256)

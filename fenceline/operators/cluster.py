@@ -21,7 +21,7 @@ from ..functions.columns import add, number
 from ..functions.lineage import BROADCAST_ROWS, broadcast_if_small, cut_lineage, spread
 from ..functions.rank import TASK_ROWS, column_quantiles, ranked_values
 from .correlate import complete_numbers
-from .neighbours import SplitTree, located_points, nearest_rows, split_tree
+from .neighbours import PAIRS, Nest, SplitTree, located_points, met, nearest_rows, split_tree
 from .reduce import fit_components, scale_factors, standardise
 
 # Fixed value: the 95 % point of chi-square with 2 degrees of freedom.
@@ -400,21 +400,11 @@ def _mark_core(located: DataFrame, names: list[str], tree: SplitTree, eps: float
         x, w = mine[names].to_numpy(), mine["weight"].to_numpy(float)
         q = queries[names].to_numpy()
         counts = np.zeros(len(q))
-        if len(x):
-            for start in range(0, len(q), 1024):
-                part = q[start : start + 1024]
-                square = np.zeros((len(part), len(x)))
-                for i in range(x.shape[1]):
-                    gap = part[:, i, None] - x[None, :, i]
-                    square += gap * gap
-                counts[start : start + 1024] = (np.sqrt(square) <= eps) @ w
+        for query, point, _ in Nest(x).pairs(q, np.full(len(q), eps)) if len(x) else []:
+            counts += np.bincount(query, weights=w[point], minlength=len(q))
         return pd.DataFrame({"point": queries["point"], "counted": counts})
 
-    shares = (
-        located.groupBy("leaf")
-        .cogroup(asked.where("leaf >= 0").groupBy("leaf"))
-        .applyInPandas(answer, f"point {id_type}, counted double")
-    )
+    shares = met(located, asked.where("leaf >= 0"), "point", tree.rows).applyInPandas(answer, f"point {id_type}, counted double")
     counts = (
         asked.where("leaf < 0").select("point", "counted").unionByName(shares)
         .groupBy("point").agg(F.sum("counted").alias("counted"))
@@ -484,23 +474,28 @@ def _near_cells(cells: DataFrame, names: list[str], eps: float) -> DataFrame:
     lows, highs = box[: len(names)], box[len(names) :]
 
     def match(mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        m_low, m_high = mine[lows].to_numpy(), mine[highs].to_numpy()
-        corners = [np.asarray(c).reshape(-1, len(names)) for c in mine["corners"]]
-        ids = mine["cell"].to_numpy()
-        for q in queries.itertuples(index=False):
-            low = np.array([getattr(q, c) for c in lows])
-            high = np.array([getattr(q, c) for c in highs])
-            gap = np.maximum(np.maximum(low - m_high, m_low - high), 0.0)
-            own = np.asarray(q.corners).reshape(-1, len(names))
-            for j in np.flatnonzero(((gap * gap).sum(axis=1) <= eps * eps * (1 + 1e-12)) & (ids > q.cell)):
-                d = np.sqrt(((own[:, None, :] - corners[j][None, :, :]) ** 2).sum(axis=2)).min()
-                out.append((q.cell, ids[j], bool(d <= eps)))
-        return pd.DataFrame(out, columns=["a", "b", "sure"])
-
-    return located.groupBy("leaf").cogroup(visits.groupBy("leaf")).applyInPandas(
-        match, "a string, b string, sure boolean"
-    )
+        p = len(names)
+        m_low, m_high, ids = mine[lows].to_numpy(), mine[highs].to_numpy(), mine["cell"].to_numpy(str)
+        q_low, q_high, who = queries[lows].to_numpy(), queries[highs].to_numpy(), queries["cell"].to_numpy(str)
+        if not len(mine) or not len(queries):
+            return pd.DataFrame({"a": [], "b": [], "sure": []})
+        m_ends, q_ends = (np.stack(f["corners"].to_numpy()).reshape(len(f), 2 * p, p) for f in (mine, queries))
+        out, step = [], max(1, PAIRS // (len(mine) * 4 * p))
+        for at in range(0, len(queries), step):
+            here = slice(at, at + step)
+            gap = np.zeros((len(who[here]), len(mine)))
+            for i in range(p):
+                g = np.maximum(np.maximum(q_low[here, None, i] - m_high[None, :, i], m_low[None, :, i] - q_high[here, None, i]), 0.0)
+                gap += g * g
+            a, b = np.nonzero((gap <= eps * eps * (1 + 1e-12)) & (ids[None, :] > who[here][:, None]))
+            d = np.zeros((len(a), 2 * p, 2 * p))
+            for i in range(p):
+                g = q_ends[at + a][:, :, None, i] - m_ends[b][:, None, :, i]
+                d += g * g
+            out.append(pd.DataFrame({"a": who[at + a], "b": ids[b], "sure": (np.sqrt(d) <= eps).any(axis=(1, 2))}))
+        return pd.concat(out, ignore_index=True)
+
+    return met(located, visits, "cell", tree.rows).applyInPandas(match, "a string, b string, sure boolean")
 
 
 def _touching(pairs: DataFrame, core: DataFrame, names: list[str], eps: float) -> DataFrame:
@@ -528,8 +523,9 @@ def _touching(pairs: DataFrame, core: DataFrame, names: list[str], eps: float) -
     near = cut_lineage(near.select(*keys))
 
     def rows_of(s: str) -> DataFrame:
-        own = core.select(F.col("cell").alias(s), F.col("leaf").alias(f"leaf_{s}"), *names)
-        return near.join(own, [s, f"leaf_{s}"]).groupBy(*keys)
+        # Columns of their own on either side, or the two sides could not be told apart.
+        own = core.select(F.col("cell").alias(s), F.col("leaf").alias(f"leaf_{s}"), *[F.col(x).alias(x) for x in names])
+        return near.toDF(*keys).join(own, [s, f"leaf_{s}"]).groupBy(*keys)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

@@ -3,7 +3,9 @@
 Points are spread over the leaves of a balanced split tree learnt from a bounded
 sample. Every leaf answers its own points first, which bounds how far their k-th
 neighbour can be; a point then visits only the other leaves its bound reaches.
-Nothing is approximate: the sample only decides how even the leaves are.
+Inside a task the points of a leaf have a tree of their own, so work per query does
+not grow with the leaf, and the queries that meet a leaf are dealt over tasks. Nothing
+is approximate: the sample only decides how even the leaves are.
 """
 
 from __future__ import annotations
@@ -27,11 +29,15 @@ ANCHORS = 256
 # Queries of one leaf that go to one task; further ones meet a copy of the leaf's points in another.
 QUERIES_PER_TASK = 20_000
 
+# Points of a leaf of the tree inside a task, and pairs compared at a time.
+NEST_ROWS, PAIRS = 64, 1 << 20
+
 
 class SplitTree:
     """A complete binary tree of axis splits over boxes that cover all space."""
 
     def __init__(self, sample: np.ndarray, leaves: int):
+        self.rows = len(sample)  # points that the tree is for
         self.depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
         self.anchors = sample[:: max(1, len(sample) // ANCHORS)][:ANCHORS]
         inner = (1 << self.depth) - 1
@@ -106,7 +112,9 @@ def split_tree(points: DataFrame, names: Sequence[str], leaf_rows: int) -> Split
     if n > wanted:
         chosen = points.where(F.pmod(F.xxhash64(*names), F.lit(span)) < F.lit(int(span * wanted / n)))
     sample = np.array([tuple(r) for r in chosen.select(*names).collect()], dtype=float).reshape(-1, len(names))
-    return SplitTree(sample, leaves)
+    tree = SplitTree(sample, leaves)
+    tree.rows = n
+    return tree
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,15 +147,98 @@ def _anchor_bounds(x: np.ndarray, anchors: np.ndarray, k: int, other: bool) -> n
     return np.sort(d, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(x), np.inf)
 
 
-def _met(located: DataFrame, asked: DataFrame):
-    """Points and queries cogrouped by leaf, the queries of a busy leaf in several parts that each get its points."""
+def met(located: DataFrame, asked: DataFrame, query: str = "query", queries: float = float("inf")):
+    """Points and queries cogrouped by leaf, the queries of a busy leaf in several parts that each get its points.
+
+    No query asks a leaf twice, so with few ``queries`` in all no leaf is busy.
+    """
+    if queries <= QUERIES_PER_TASK:
+        return located.groupBy("leaf").cogroup(asked.groupBy("leaf"))
     parts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # one row per leaf, MAX_LEAVES at most
-    queries = asked.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("query"), "parts").cast("int")).drop("parts")
+    queries = asked.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64(query), "parts").cast("int")).drop("parts")
     points = located.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return points.groupBy("leaf", "part").cogroup(queries.groupBy("leaf", "part"))
 
 
+class Nest:
+    """The points of one leaf under a tree of their own."""
+
+    def __init__(self, x: np.ndarray, rows: int = NEST_ROWS):
+        self.x = x
+        self.tree = SplitTree(x, -(-len(x) // rows))
+        self.of = self.tree.leaf(x)
+        self.order = np.argsort(self.of, kind="stable")
+        self.starts = np.searchsorted(self.of[self.order], np.arange((1 << self.tree.depth) + 1))
+
+    def pairs(self, q: np.ndarray, radius: np.ndarray):
+        """(query, point, distance) of all points within each query's radius, some queries at a time."""
+        # So many queries at a time that their pairs stay bounded even where a radius reaches every point.
+        step = max(1, min(256, 4 * PAIRS // max(1, len(self.x))))
+        for at in range(0, len(q), step):
+            rows, boxes = self.tree.reached(q[at : at + step], radius[at : at + step])
+            order = np.argsort(boxes, kind="stable")
+            rows, boxes = rows[order], boxes[order]
+            cuts = np.flatnonzero(np.diff(boxes)) + 1
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held = 0
+            for who in np.split(np.arange(len(rows)), cuts):
+                if not len(who):
+                    continue
+                box = boxes[who[0]]
+                mine = self.order[self.starts[box] : self.starts[box + 1]]
+                if not len(mine):
+                    continue
+                asking = rows[who] + at
+                for part in range(0, len(mine), 4096):  # a pile of points that no split divides
+                    own = mine[part : part + 4096]
+                    d = _distances(q[asking], self.x[own])
+                    i, j = np.nonzero(d <= radius[asking][:, None])
+                    found.append((asking[i], own[j], d[i, j]))
+                    held += len(i)
+            if held:
+                yield tuple(np.concatenate(c) for c in zip(*found))
+
+    def first_bounds(self, weight: np.ndarray, k: int) -> np.ndarray:
+        """An upper bound of every point's k-th distance among the other copies and points, from its own box or some points of all boxes."""
+        bound = np.full(len(self.x), np.inf)
+        for box in range(len(self.starts) - 1):
+            mine = self.order[self.starts[box] : self.starts[box + 1]]
+            for part in range(0, len(mine), 256):
+                asking, own = mine[part : part + 256], mine[: 4 * NEST_ROWS]
+                bound[asking] = _kth(_distances(self.x[asking], self.x[own]), weight[own][None, :] - (asking[:, None] == own[None, :]), k)
+        far = np.flatnonzero(np.isinf(bound))
+        if len(far):
+            some = self.order[:: max(1, len(self.x) // max(ANCHORS, 4 * k))]
+            for part in range(0, len(far), 256):
+                asking = far[part : part + 256]
+                bound[asking] = _kth(_distances(self.x[asking], self.x[some]), weight[some][None, :] - (asking[:, None] == some[None, :]), k)
+        return bound
+
+
+def _kth(d: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """Distance at which each row has seen k copies; infinite if there are not as many."""
+    order = np.argsort(d, axis=1, kind="stable")
+    sorted_d = np.take_along_axis(d, order, axis=1)
+    enough = np.cumsum(np.take_along_axis(copies, order, axis=1), axis=1) >= k
+    return np.where(enough.any(axis=1), sorted_d[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
+
+
+def _nearest_k(query: np.ndarray, point: np.ndarray, distance: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the pairs that a query's k nearest copies can need, all tied at the k-th distance included."""
+    order = np.lexsort((distance, query))
+    q, d, c = query[order], distance[order], copies[order]
+    if not len(q):
+        return order
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    # A pair is needed if the copies at strictly smaller distances are fewer than k.
+    new = np.concatenate(([True], (q[1:] != q[:-1]) | (d[1:] > d[:-1])))
+    before = np.concatenate(([0], np.cumsum(c)[:-1]))
+    ahead = before[np.flatnonzero(new)][np.cumsum(new) - 1]
+    base = np.repeat(before[starts], np.diff(np.append(starts, len(q))))
+    return order[ahead - base < k]
+
+
 def nearest_rows(
     points: DataFrame, queries: DataFrame, names: Sequence[str], leaf_rows: int = 1024,
     within: float = float("inf"), other: bool = False,
@@ -167,29 +258,31 @@ def nearest_rows(
     located = located_points(points.select("carry", *names), names, tree)
     asked = located_points(queries.select("query", *names), names, tree)
 
-    def search(mine: pd.DataFrame, q: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def search(mine: pd.DataFrame, q: pd.DataFrame, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mine = mine.sort_values("carry", kind="stable")
         x, carry = mine[names].to_numpy(), mine["carry"].to_numpy()
         best, label = np.full(len(q), np.inf), np.zeros(len(q), dtype=np.int64)
-        if len(x):
-            at = q[names].to_numpy()
-            for start in range(0, len(q), 256):
-                d = _distances(at[start : start + 256], x)
+        if len(x) and len(q):
+            nest, at = Nest(x), q[names].to_numpy()
+            # Any point bounds the search: some of each part of the leaf.
+            some = x[nest.order[:: max(1, len(x) // ANCHORS)]]
+            radius = np.minimum(bound, np.concatenate([_anchor_bounds(at[i : i + 256], some, 1, other) for i in range(0, len(at), 256)]))
+            for query, point, d in nest.pairs(at, radius):
                 if other:
-                    d[d == 0] = np.inf
-                nearest = d.argmin(axis=1)
-                best[start : start + 256] = d[np.arange(len(d)), nearest]
-                label[start : start + 256] = carry[nearest]
+                    keep = d > 0
+                    query, point, d = query[keep], point[keep], d[keep]
+                order = np.lexsort((point, d, query))[::-1]  # the nearest, then the smallest carry, is written last
+                best[query[order]], label[query[order]] = d[order], carry[point[order]]
         return best, label
 
     def own(mine: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        best, _ = search(mine, q)
+        best, _ = search(mine, q, np.full(len(q), np.inf))
         far = np.flatnonzero(np.isinf(best)) if len(q) else []
         if len(far):  # nothing in the leaf: any point bounds the search
             best[far] = _anchor_bounds(q[names].to_numpy()[far], shared.value.anchors, 1, other)
         return q[["query", *names]].assign(bound=np.minimum(best, within))
 
-    bounded = cut_lineage(_met(located, asked).applyInPandas(own, f"query {query_type}, {coords}, bound double"))
+    bounded = cut_lineage(met(located, asked).applyInPandas(own, f"query {query_type}, {coords}, bound double"))
 
     def visit(batches):
         for pdf in batches:
@@ -199,11 +292,11 @@ def nearest_rows(
     visits = bounded.mapInPandas(visit, f"query {query_type}, {coords}, bound double, leaf long")
 
     def answer(mine: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        best, label = search(mine, q)
+        best, label = search(mine, q, q["bound"].to_numpy())
         keep = (best <= q["bound"].to_numpy()) & np.isfinite(best)
         return pd.DataFrame({"query": q["query"][keep], "distance": best[keep], "carry": label[keep]})
 
-    answers = _met(located, visits).applyInPandas(answer, f"query {query_type}, distance double, carry {carry_type}")
+    answers = met(located, visits).applyInPandas(answer, f"query {query_type}, distance double, carry {carry_type}")
     return answers.groupBy("query").agg(F.min(F.struct("distance", "carry")).alias("m")).select(
         "query", "m.distance", "m.carry"
     )
@@ -225,25 +318,24 @@ def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows:
 
     def own_bound(pdf: pd.DataFrame) -> pd.DataFrame:
         x, w = pdf[names].to_numpy(), pdf["weight"].to_numpy()
-        bound = np.full(len(x), np.inf)
-        for start in range(0, len(x), 256):
-            d = _distances(x[start : start + 256], x)
-            order = np.argsort(d, axis=1, kind="stable")
-            copies = np.take(w, order)
-            sorted_d = np.take_along_axis(d, order, axis=1)
-            # the point itself comes with weight - 1 other copies
-            reach = np.cumsum(copies, axis=1) - 1
-            enough = reach >= k
-            has = enough.any(axis=1)
-            first = enough.argmax(axis=1)
-            rows = np.arange(len(d))
-            bound[start : start + 256] = np.where(has, sorted_d[rows, first], np.inf)
+        nest = Nest(x)
+        bound = nest.first_bounds(w, k)
+        near = np.flatnonzero(np.isfinite(bound))
+        for query, point, d in nest.pairs(x[near], bound[near]):
+            query = near[query]
+            copies = w[point] - (query == point)
+            keep = _nearest_k(query, point, d, copies, k)
+            closest = np.zeros(len(x))
+            np.maximum.at(closest, query[keep], d[keep])
+            bound[np.unique(query)] = closest[np.unique(query)]
         far = np.flatnonzero(np.isinf(bound))
         if len(far):  # fewer than k rows in the leaf; an anchor that is the point itself does not count
             bound[far] = _anchor_bounds(x[far], shared.value.anchors, k, True)
         return pdf.assign(bound=bound)
 
     bounded = located.groupBy("leaf").applyInPandas(own_bound, layout + ", bound double")
+    if tree.rows > QUERIES_PER_TASK:
+        bounded = cut_lineage(bounded)  # read twice
 
     def visit(batches):
         for pdf in batches:
@@ -257,35 +349,16 @@ def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows:
         x, w, ids = mine[names].to_numpy(), mine["weight"].to_numpy(), mine["point"].to_numpy()
         q, bound, who = queries[names].to_numpy(), queries["bound"].to_numpy(), queries["point"].to_numpy()
         out = []
-        for start in range(0, len(q) if len(x) else 0, 256):
-            stop = start + 256
-            d = _distances(q[start:stop], x)
-            itself = who[start:stop, None] == ids[None, :]
-            copies = np.where(itself, w[None, :] - 1, w[None, :])
-            # A bound is itself a distance computed this way, so equality is exact.
-            inside = (d <= bound[start:stop, None]) & (copies > 0)
-            # Only what the k nearest of this leaf can need.
-            d_in = np.where(inside, d, np.inf)
-            order = np.argsort(d_in, axis=1, kind="stable")
-            sorted_d = np.take_along_axis(d_in, order, axis=1)
-            reach = np.cumsum(np.where(np.isinf(sorted_d), 0, np.take_along_axis(copies, order, axis=1)), axis=1)
-            enough = reach >= k
-            rows = np.arange(len(d))
-            last = np.where(enough.any(axis=1), sorted_d[rows, enough.argmax(axis=1)], np.inf)
-            keep = inside & (d <= last[:, None])
-            i, j = np.nonzero(keep)
-            out.append(pd.DataFrame({
-                "point": who[start:stop][i], "neighbour": ids[j], "distance": d[i, j], "weight": copies[i, j],
-            }))
-        if not out:
-            return pd.DataFrame({"point": [], "neighbour": [], "distance": [], "weight": []})
-        return pd.concat(out, ignore_index=True)
-
-    candidates = (
-        located.groupBy("leaf")
-        .cogroup(visits.groupBy("leaf"))
-        .applyInPandas(search, f"point {id_type}, neighbour {id_type}, distance double, weight long")
-    )
+        # A bound is itself a distance computed this way, so equality is exact.
+        for query, point, d in Nest(x).pairs(q, bound) if len(x) else []:
+            copies = w[point] - (who[query] == ids[point])
+            some = copies > 0
+            query, point, d, copies = query[some], point[some], d[some], copies[some]
+            keep = _nearest_k(query, point, d, copies, k)  # only what the k nearest of this leaf can need
+            out.append(pd.DataFrame({"point": who[query[keep]], "neighbour": ids[point[keep]], "distance": d[keep], "weight": copies[keep]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"point": [], "neighbour": [], "distance": [], "weight": []})
+
+    candidates = met(located, visits, "point", tree.rows).applyInPandas(search, f"point {id_type}, neighbour {id_type}, distance double, weight long")
     # A point's candidates are about k per visited leaf; rows strictly nearer than a
     # candidate decide whether it is still among the k nearest.
     tied = Window.partitionBy("point").orderBy("distance").rangeBetween(Window.unboundedPreceding, Window.currentRow)
