@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fenceline.operators import cluster as k
+from fenceline.operators import linkage
 from fenceline.operators import univariate as u
 
 from .registry import check, r, rounded, table
@@ -122,3 +123,28 @@ def dbscan(spark, d):
 def dbscan_events(spark, d):
     events = table(spark, d, "events").select("event_id", F.col("value").alias("x"), (F.col("user_id") * 2.0).alias("y"))
     return k.dbscan(events, ["x", "y"], "event_id", 2.0, 3, leaf_rows=256)
+
+
+# The spanning tree by Prim's rule; the groups are what hangs together without its longest edges.
+LINKAGE_SQL = """WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 200.0 AS y FROM supplier),
+  e AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.id <> b.id),
+  t AS (SELECT [min(id)] AS seen, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::DOUBLE AS d FROM p UNION ALL
+    SELECT list_append(seen, j), i, j, d FROM (SELECT t.seen, e.i, e.j, e.d FROM t JOIN e ON list_contains(t.seen, e.i) AND NOT list_contains(t.seen, e.j) ORDER BY e.d LIMIT 1)),
+  k AS (SELECT i, j FROM t WHERE j IS NOT NULL ORDER BY d DESC OFFSET 3),
+  both_ways AS (SELECT i, j FROM k UNION SELECT j, i FROM k),
+  walk AS (SELECT id, id AS root FROM p UNION SELECT b.j, walk.root FROM walk JOIN both_ways b ON b.i = walk.id),
+  lab AS (SELECT id, min(root) AS root FROM walk GROUP BY 1)"""
+
+
+def suppliers(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_nationkey") * 200.0).alias("place"))
+
+
+@check("single_linkage_heights", f"{LINKAGE_SQL} SELECT round(d, 6) AS height FROM t WHERE d > 0")
+def single_linkage_heights(spark, d):
+    return rounded(linkage.single_linkage(suppliers(spark, d), ["s_acctbal", "place"], "s_suppkey", 4)["merges"], "height")
+
+
+@check("single_linkage_groups", f"{LINKAGE_SQL} SELECT id AS s_suppkey, (dense_rank() OVER (ORDER BY root) - 1)::INT AS cluster FROM lab")
+def single_linkage_groups(spark, d):
+    return linkage.single_linkage(suppliers(spark, d), ["s_acctbal", "place"], "s_suppkey", 4)["labels"]
