@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fenceline.functions.columns import MIX
 from fenceline.operators import cluster as k
 from fenceline.operators import linkage
 from fenceline.operators import univariate as u
@@ -81,9 +82,30 @@ def hierarchical_groups(spark, d):
     return k.hierarchical_groups(data, COLUMNS, "event_id", 4)["clusters"]
 
 
-@check("clustering_tendency")
+def uniform_sql(row, seed, axis):
+    """The library's numbered draws."""
+    start = (seed * 40503 + axis * 2654435761) & ((1 << 32) - 1)
+    h = f"(({row} & 4294967295) + ({row} >> 32) * 97 + {start}) & 4294967295"
+    for _ in range(2):
+        h = f"(xor({h}, ({h}) >> 16) * {MIX}) & 4294967295"
+    return f"(xor({h}, ({h}) >> 16) / 4294967296.0)"
+
+
+HOPKINS_SQL = f"""WITH q AS (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM events),
+  o AS (SELECT event_id, value, user_id::DOUBLE AS u FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)),
+  f AS (SELECT avg(value) vm, stddev_pop(value) vs, avg(u) um, stddev_pop(u) us FROM o),
+  p AS (SELECT event_id, (value - vm) / vs AS x, (u - um) / us AS y FROM o, f),
+  s AS (SELECT min(x) x0, max(x) - min(x) xs, min(y) y0, max(y) - min(y) ys, count(*) n FROM p),
+  w AS (SELECT a.event_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM p a JOIN p b ON a.event_id <> b.event_id GROUP BY 1),
+  r AS (SELECT i, x0 + {uniform_sql('i', 42, 0)} * xs AS x, y0 + {uniform_sql('i', 42, 1)} * ys AS y FROM s, (SELECT unnest(range(0, (SELECT n FROM s))) AS i)),
+  z AS (SELECT i, min(sqrt((r.x - p.x) ** 2 + (r.y - p.y) ** 2)) AS d FROM r, p GROUP BY 1),
+  h AS (SELECT (SELECT n FROM s) AS n, (SELECT sum(d) FROM z) AS drawn, (SELECT sum(d) FROM w) AS own)
+  SELECT n, round(drawn / (drawn + own), 6) AS hopkins, CASE WHEN drawn / (drawn + own) > 0.7 THEN 'strong' WHEN drawn / (drawn + own) > 0.5 THEN 'moderate' ELSE 'weak' END AS tendency FROM h"""
+
+
+@check("clustering_tendency", HOPKINS_SQL)
 def clustering_tendency(spark, d):
-    return k.clustering_tendency(k.prepare(outliers(spark, d), COLUMNS, "event_id"), COLUMNS)
+    return rounded(k.clustering_tendency(k.prepare(outliers(spark, d), COLUMNS, "event_id"), COLUMNS), "hopkins")
 
 
 @check("outlier_subtypes")

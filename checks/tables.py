@@ -32,6 +32,21 @@ def csv_round_trip(spark, d):
     )
 
 
+NAMES_SQL = """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Zoë – € ' WHEN 1 THEN 'Zoë né ' ELSE 'Zoë – 日本 ' END || c_name AS c_name, c_acctbal FROM customer"""
+
+
+@check("csv_encodings", NAMES_SQL)
+def csv_encodings(spark, d):
+    """Files in code page 1252, in ISO 8859-1 and in UTF-8 under one folder."""
+    path = t.scratch_path(spark, "customers-csv")
+    for rest, start, charset in ((0, "Zoë \x96 \x80 ", "ISO-8859-1"), (1, "Zoë né ", "ISO-8859-1"), (2, "Zoë – 日本 ", "UTF-8")):
+        own = table(spark, d, "customer").where(F.col("c_custkey") % 3 == rest)
+        own = own.select("c_custkey", F.concat(F.lit(start), "c_name").alias("c_name"), "c_acctbal")
+        own.write.mode("append").options(header=True, encoding=charset).csv(path)
+    found = t.read_csv(spark, path, encoding="auto")
+    return found.select(F.col("c_custkey").cast("long"), "c_name", F.col("c_acctbal").cast("double"))
+
+
 @check("parquet_read", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
 def parquet_read(spark, d):
     df = t.read_parquet(spark, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice", "o_orderpriority"])

@@ -7,6 +7,9 @@ from collections.abc import Iterable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# Fixed value: an odd multiplier of 27 bits whose products with 32-bit numbers spread over all bits.
+MIX = 0x45D9F3B
+
 
 def number(name: str) -> Column:
     """Column as double with NaN turned into NULL (aggregates skip NULL, not NaN)."""
@@ -64,6 +67,22 @@ def finite(value: Column, default: float = 0.0) -> Column:
     return F.when(bad, F.lit(default)).otherwise(value)
 
 
+def counted_uniform(row: Column, seed: int, axis: int) -> Column:
+    """A number in [0, 1) that depends on the row's number, the seed and the axis alone, not on partitions.
+
+    Two rounds of multiply and shift over 32 bits; rows beyond 2**32 go on with another start.
+    """
+    mask = F.lit((1 << 32) - 1)
+
+    def mixed(h: Column) -> Column:
+        return (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(MIX)).bitwiseAND(mask)
+
+    start = F.lit((seed * 40503 + axis * 2654435761) & ((1 << 32) - 1))
+    h = (row.bitwiseAND(mask) + F.shiftright(row, 32) * F.lit(97) + start).bitwiseAND(mask)
+    h = mixed(mixed(h))
+    return h.bitwiseXOR(F.shiftright(h, 16)) / F.lit(2.0**32)
+
+
 def significance_code(p: Column) -> Column:
     return (
         F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p < 0.1, ".").otherwise("")

@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import add, number
+from ..functions.columns import add, counted_uniform, number
 from ..functions.lineage import BROADCAST_ROWS, broadcast_if_small, cut_lineage, spread
 from ..functions.rank import TASK_ROWS, column_quantiles, ranked_values
 from .correlate import complete_numbers
@@ -263,8 +263,9 @@ def outlier_subtypes(
 def clustering_tendency(data: DataFrame, columns: Sequence[str], seed: int = 42, leaf_rows: int = 1024) -> DataFrame:
     """Hopkins statistic over all rows: near 1 clustered, near one half uniform.
 
-    As many uniform points as rows are drawn on Spark; nearest rows are found
-    exactly by space partitioning.
+    As many uniform points as rows are drawn on Spark, each from its number and the seed,
+    so that they do not depend on partitions; nearest rows are found exactly by space
+    partitioning.
     """
     columns = list(columns)
     names = [f"x{i}" for i in range(len(columns))]
@@ -282,7 +283,7 @@ def clustering_tendency(data: DataFrame, columns: Sequence[str], seed: int = 42,
     real = total(points.where("weight = 1").select(*names), True)
     drawn = total(
         data.sparkSession.range(n).select(*[
-            (F.lit(span[f"low_{x}"]) + F.rand(seed + i) * F.lit(span[f"high_{x}"] - span[f"low_{x}"])).alias(x)
+            (F.lit(span[f"low_{x}"]) + counted_uniform(F.col("id"), seed, i) * F.lit(span[f"high_{x}"] - span[f"low_{x}"])).alias(x)
             for i, x in enumerate(names)
         ]),
         False,

@@ -16,7 +16,27 @@ from ..functions.rank import TASK_ROWS, ranked_values
 PAGE_MERGE_ROWS = 100_000
 
 # Common Python names of the charsets Spark knows under another one.
-CHARSETS = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "cp1252": "windows-1252"}
+CHARSETS = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "windows-1252": "cp1252"}
+
+# Bytes 0x80 to 0x9F in code page 1252. In ISO 8859-1 they are control characters that no text holds;
+# five are free in the code page and stay as they are. All other bytes mean the same in both.
+CODE_PAGE = {
+    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž",
+    0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
+}
+
+
+def detect_encodings(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """file, encoding: utf-8 where every line is valid UTF-8, else cp1252 if a line has a byte from 0x80 to 0x9F, else latin-1.
+
+    One scan over all bytes of the files, line by line; a row per file comes out.
+    """
+    raw = F.hex(F.col("value").cast("binary"))
+    line = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"), F.regexp_like(raw, F.lit("^(..)*[89].")).alias("control"),
+    )
+    found = line.groupBy("file").agg(F.every("valid").alias("valid"), F.some("control").alias("control"))
+    return found.select("file", F.when(F.col("valid"), "utf-8").when(F.col("control"), "cp1252").otherwise("latin-1").alias("encoding"))
 
 
 def read_csv(
@@ -26,25 +46,39 @@ def read_csv(
     """CSV with a header. Lines with too many fields are skipped; short lines are filled with NULL.
 
     Types are inferred in one pass over the file unless a schema is given; give one
-    for large inputs.
+    for large inputs. encoding="auto" finds every file's encoding first (one more
+    scan) and reads the files of one encoding together, with the columns of the first.
     """
-    return read_csv_lines(spark, path, encoding, delimiter, schema)[0]
+    if encoding != "auto":
+        return read_csv_lines(spark, path, encoding, delimiter, schema)[0]
+    files: dict[str, list[str]] = {}
+    for r in detect_encodings(spark, path).collect():  # a row per file
+        files.setdefault(r["encoding"], []).append(r["file"])
+    out = None
+    for charset in ("utf-8", "latin-1", "cp1252"):
+        if charset in files:
+            part = read_csv_lines(spark, sorted(files[charset]), charset, delimiter, schema)[0]
+            schema = schema or part.schema
+            out = part if out is None else out.union(part)
+    return out if out is not None else read_csv_lines(spark, path, "utf-8", delimiter, schema)[0]
 
 
 def read_csv_lines(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",",
+    spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8", delimiter: str = ",",
     schema: T.StructType | None = None, header: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(table as read_csv() gives it, rejected lines as line, fields and the values that fit).
 
     Ask the rejected lines for values too: Spark reads no CSV for a corrupt-line column alone.
     """
-    charset = CHARSETS.get(encoding.lower(), encoding)
-    if charset == "windows-1252":  # outside Spark's default list of charsets
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    options = {"header": header, "encoding": charset, "sep": delimiter}
+    charset = CHARSETS.get(encoding.lower(), encoding.lower())
+    page = charset == "cp1252"  # outside Spark's list of charsets: read as ISO 8859-1, then by the table above
+    options = {"header": header, "encoding": "iso-8859-1" if page else charset, "sep": delimiter}
     if schema is None:
         schema = spark.read.options(**options).csv(path, inferSchema=True).schema
+        if page:
+            table = str.maketrans(CODE_PAGE)
+            schema = T.StructType([T.StructField(f.name.translate(table), f.dataType, f.nullable) for f in schema.fields])
     corrupt = "_fenceline_corrupt"
     # A line is judged by all its fields, so none may be pruned.
     parsed = (
@@ -52,6 +86,9 @@ def read_csv_lines(
         .schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]))
         .csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
     )
+    if page:
+        bytes_, characters = "".join(map(chr, CODE_PAGE)), "".join(CODE_PAGE.values())
+        parsed = parsed.withColumns({f.name: F.translate(F.col(f"`{f.name}`"), bytes_, characters) for f in parsed.schema.fields if f.dataType == T.StringType()})
     # Only lines the parser marked are counted: separators outside quotes.
     fields = F.size(F.split(F.col(corrupt), f"\\Q{delimiter}\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
     kept = parsed.where(F.col(corrupt).isNull() | (fields <= len(schema.fields)))
