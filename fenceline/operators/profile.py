@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import melt, melt_text, number, numbers
@@ -21,55 +22,66 @@ def is_numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
 
-def _distinct(value: Column) -> Column:
-    """Distinct values with missing counted as one of them."""
-    missing = F.max(F.when(value.isNull(), 1).otherwise(0))
-    return F.count_distinct(value) + missing
+def value_fold(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """variable (position in columns), number, text, cnt: every column's distinct values, missing (both null) included.
+
+    Numbers are folded as doubles, other columns as text. Values are counted batch by
+    batch where the rows are, so no copy of a row is made per column, and what is
+    shuffled is what tasks found distinct.
+    """
+    columns = list(columns)
+    numeric = [is_numeric(df, c) for c in columns]
+    work = df.select(*[(number(f"`{c}`") if n else F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, (c, n) in enumerate(zip(columns, numeric))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, n in enumerate(numeric):
+                counted = batch.column(i).value_counts()
+                values, cnt = counted.field("values"), counted.field("counts").cast(pa.int64())
+                none = pa.nulls(len(cnt), pa.string() if n else pa.float64())
+                sides = (values, none) if n else (none, values)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(i, pa.int32()), len(cnt)), *sides, cnt], names=["variable", "number", "text", "cnt"])
+
+    parts = work.mapInArrow(run, "variable int, number double, text string, cnt long")
+    return parts.groupBy("variable", "number", "text").agg(F.sum("cnt").alias("cnt"))
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> list[tuple[int, int, int]]:
+    """(distinct values, missing values, rows) of every column, exact; one fold for all."""
+    if not columns:
+        return []
+    missing = F.col("number").isNull() & F.col("text").isNull()
+    found = value_fold(df, columns).groupBy("variable").agg(F.count_if(~missing).alias("d"), F.coalesce(F.sum(F.when(missing, F.col("cnt"))), F.lit(0)).alias("m"), F.sum("cnt").alias("n"))
+    by_column = {r["variable"]: (r["d"], r["m"], r["n"]) for r in found.collect()}
+    return [by_column.get(i, (0, 0, 0)) for i in range(len(columns))]
 
 
 def infer_kinds(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Kind of every column: variable, kind, distinct_values, rows.
+    """Kind of every column: variable, kind, distinct_values (missing ones count as one), rows.
 
     With exact=False distinct values are sketched first and only columns close to
     a decision (the 10 % ratio, or a handful of values) are counted exactly.
     """
     columns = list(columns or df.columns)
     numeric = {c for c in columns if is_numeric(df, c)}
-    values = {c: number(c) if c in numeric else F.col(c) for c in columns}
-    to_count = columns
-    sketched: dict[str, int] = {}
+    to_count, distinct, rows = columns, {}, 0
     if not exact:
-        row = df.agg(
-            F.count("*").alias("rows"),
-            *[
-                F.struct(
-                    F.approx_count_distinct(values[c], 0.05).alias("d"),
-                    F.max(F.when(values[c].isNull(), 1).otherwise(0)).alias("missing"),
-                ).alias(f"c{i}")
-                for i, c in enumerate(columns)
-            ],
-        ).first()
-        sketched = {c: row[f"c{i}"]["d"] + (row[f"c{i}"]["missing"] or 0) for i, c in enumerate(columns)}
-        limit = DISCRETE_RATIO * row["rows"]
-        to_count = [
-            c for c in columns
-            if (0.75 * limit <= sketched[c] <= 1.25 * limit if c in numeric else sketched[c] <= 20)
-        ]
-    exact_counts = [_distinct(values[c]).alias(f"c{columns.index(c)}") for c in to_count]
-    counted = df.agg(F.count("*").alias("rows"), *exact_counts)
-    entries = []
-    for i, c in enumerate(columns):
-        d = F.col(f"c{i}") if c in to_count else F.lit(sketched[c])
+        values = {c: number(c) if c in numeric else F.col(c) for c in columns}
+        sketches = [F.struct(F.approx_count_distinct(values[c], 0.05).alias("d"), F.max(F.when(values[c].isNull(), 1).otherwise(0)).alias("missing")).alias(f"c{i}") for i, c in enumerate(columns)]
+        row = df.agg(F.count("*").alias("rows"), *sketches).first()
+        rows = row["rows"]
+        distinct = {c: row[f"c{i}"]["d"] + (row[f"c{i}"]["missing"] or 0) for i, c in enumerate(columns)}
+        limit = DISCRETE_RATIO * rows
+        to_count = [c for c in columns if (0.75 * limit <= distinct[c] <= 1.25 * limit if c in numeric else distinct[c] <= 20)]
+    for c, (d, missing, n) in zip(to_count, distinct_values(df, to_count)):
+        distinct[c], rows = d + (missing > 0), n
+
+    def kind(c: str) -> str:
         if c in numeric:
-            kind = F.when(d / F.col("rows") < DISCRETE_RATIO, DISCRETE).otherwise(CONTINUOUS)
-        else:
-            kind = F.when(d == 2, BINARY).otherwise(NOMINAL)
-        entries.append(
-            F.struct(
-                F.lit(c).alias("variable"), kind.alias("kind"), d.cast("long").alias("distinct_values"), F.col("rows")
-            )
-        )
-    return counted.select(F.inline(F.array(*entries)))
+            return DISCRETE if rows and distinct[c] / rows < DISCRETE_RATIO else CONTINUOUS
+        return BINARY if distinct[c] == 2 else NOMINAL
+
+    return df.sparkSession.createDataFrame([(c, kind(c), distinct[c], rows) for c in columns], "variable string, kind string, distinct_values long, rows long")
 
 
 def set_kinds(df: DataFrame, chosen: Mapping[str, str], exact: bool = True) -> DataFrame:
@@ -101,11 +113,11 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], task_rows: int = TASK
     """mean, median, std, min, max, missing and distinct values, one row per variable."""
     data = numbers(df, columns)
     medians = column_quantiles(df, columns, [0.5], task_rows=task_rows)
+    distinct = dict(zip(columns, distinct_values(df, columns)))
     row = data.agg(
         F.count("*").alias("rows"),
         *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (
             ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max),
-            ("distinct", F.count_distinct),
         )],
     )
     entries = [
@@ -117,7 +129,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], task_rows: int = TASK
             F.col(f"{c}_min").alias("min"),
             F.col(f"{c}_max").alias("max"),
             (F.col("rows") - F.col(f"{c}_n")).alias("missing_values"),
-            F.col(f"{c}_distinct").alias("unique_values"),
+            F.lit(distinct[c][0]).cast("long").alias("unique_values"),
         )
         for c in columns
     ]
@@ -138,10 +150,10 @@ def value_counts(df: DataFrame, columns: Sequence[str], top: int | None = None)
 
 def categorical_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """unique_values, missing_values and most_common (ties: smallest value) per variable."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
-        [], list(columns), "variable", "value"
-    )
-    counts = long.groupBy("variable", "value").count()
+    columns = list(columns)
+    as_text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("variable") + 1)
+    counts = value_fold(as_text, columns).select(name.alias("variable"), F.col("text").alias("value"), F.col("cnt").alias("count"))
     present = F.col("value").isNotNull()
     return counts.groupBy("variable").agg(
         F.count_if(present).alias("unique_values"),
