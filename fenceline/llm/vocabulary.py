@@ -21,7 +21,8 @@ REMEMBERED = 200_000
 
 _CROWDED = re.compile(r"\s ")
 #: White space that is too long for the quick encoder, which descends once per character.
-_LONG_GAP = re.compile(r"\s{5000}")
+LONG_GAP = 5000
+_LONG_GAP = re.compile(rf"\s{{{LONG_GAP}}}")
 
 
 def vocabulary_path(name: str) -> str:
@@ -107,7 +108,8 @@ class Encoder:
 
     @staticmethod
     def _slow(text: str) -> bool:
-        return "<|" in text or _LONG_GAP.search(text) is not None
+        # So long a gap covers one of every LONG_GAP-th characters; only then is it looked for.
+        return "<|" in text or any(map(str.isspace, text[LONG_GAP - 1 :: LONG_GAP])) and _LONG_GAP.search(text) is not None
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids if self._slow(text) else self._quick.encode_ordinary(text)
