@@ -71,3 +71,21 @@ def test_rejected_by_score(spark):
     vectors, model = quality.learned(docs, labels)
     good = {r["doc_id"] for r in quality.score(vectors, model, ["doc_id"]).where("score >= 0.3").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.good_documents(spark, docs, SF).collect()} == good
+
+
+def test_texts_without_a_break(spark, tmp_path):
+    """Very long numbers and very long white space through every stage."""
+    prose = "The quick brown fox of the long road met an old friend near the river and they talked about the harvest. " * 20
+    texts = ["0" * 5000 + ".1.1.1 " + prose, prose[::-1] + " 1." + "9" * 5000 + ".1.1", "a" + "\n" * 1_200_000 + "b " + prose.upper(), prose + " " * 1_200_000]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)], clashes=False).selectExpr("*", "cast(length(text) as bigint) AS n_chars")
+    (tmp_path / "in").mkdir()
+    docs = whole = stored(docs, tmp_path / "in")
+    corpus_pipeline.private_documents(spark, docs, SF).write.parquet(f"{tmp_path}/private")
+    private = spark.read.parquet(f"{tmp_path}/private")
+    assert private.count() == len(texts) and private.where("text LIKE '%[IP]%'").count() == 1
+    check_pieces(corpus_pipeline.packed_documents(spark, private, SF).collect(), [(r["doc_id"], r["text"]) for r in private.collect()])
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{tmp_path}/again-{name}"
+        stage(spark, whole, SF).write.parquet(path)
+        whole = spark.read.parquet(path)
+    assert whole.columns
