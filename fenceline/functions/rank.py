@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import melt, numbers
-from .lineage import broadcast_if_small, cut_lineage
+from .lineage import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 # Largest group handed to one window or percentile task.
 TASK_ROWS = 1_000_000
@@ -31,6 +31,100 @@ SKETCH_ACCURACY = 10_000
 # ---------------------------------------------------------------- ranks
 
 
+# Most value pieces of one key; a sketch of four times this accuracy keeps them even.
+PIECES = 100_000
+
+
+def pieces_for(rows: int, task_rows: int) -> int:
+    """Value pieces that hold about task_rows / 2 of so many rows each."""
+    return min(PIECES, max(2, -(-2 * rows // task_rows)))
+
+
+def piece_bounds(value: str, pieces: int) -> Column:
+    """Aggregate: the distinct ascending bounds of about equal pieces of value, by a sketch."""
+    fractions = [i / pieces for i in range(1, pieces)]
+    return F.array_sort(F.array_distinct(F.percentile_approx(value, fractions, max(SKETCH_ACCURACY, 4 * pieces))))
+
+
+def bounds_below(bounds: Column, value: Column, pieces: int) -> Column:
+    """How many entries of an ascending array are less than value, by binary search; 0 for a null array.
+
+    ``pieces`` is at least the length of the array plus one.
+    """
+    steps = [1 << i for i in reversed(range(max(1, (pieces - 1).bit_length())))]
+
+    def step(found: Column, jump: Column) -> Column:
+        return F.when(F.get(bounds, found + jump - 1) < value, found + jump).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
+def rows_with_ranks(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """by and columns, every column replaced by its average rank (within by), with one exchange of values.
+
+    Columns are complete doubles. A sketch gives bounds of value pieces per column; a
+    count per piece, and of rows that equal a bound, gives every piece its offset, a
+    bounded table. A value that fills more than a piece is a bound, so its rows know
+    their rank at once and never meet in a task. The other values are ranked inside
+    their piece by one window over all columns, and rows are put together once by
+    their number, whatever the number of columns. Rows are numbered in a checkpoint, so
+    that a lost executor cannot number them anew.
+    """
+    by, columns = list(by), list(columns)
+    # Names that no column of the caller can clash with.
+    keys = [f"_by{i}" for i in range(len(by))]
+    names = [f"_x{i}" for i in range(len(columns))]
+    rows = cut_lineage(
+        df.select(
+            F.monotonically_increasing_id().alias("_row"),
+            *[F.col(c).alias(k) for c, k in zip(by, keys)], *[F.col(c).alias(n) for c, n in zip(columns, names)],
+        )
+    )
+    pieces = pieces_for(rows.count(), task_rows)
+    long = rows.unpivot(["_row", *keys], names, "_variable", "_x")
+    label = [*keys, "_variable"]
+    bounds = cut_lineage(long.groupBy(*label).agg(piece_bounds("_x", pieces).alias("_bounds")))  # fix one sketch
+
+    def same(on: Sequence[str]) -> Column:
+        tests = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in on]
+        result = tests[0]
+        for t in tests[1:]:
+            result = result & t
+        return result
+
+    lower = bounds_below(F.col("_bounds"), F.col("_x"), pieces)
+    slotted = (
+        long.alias("_l").join(broadcast_if_small(bounds, BROADCAST_ROWS // pieces).alias("_r"), same(label))
+        .select("_row", *[F.col(f"_l.{c}").alias(c) for c in label], "_x", "_bounds", lower.alias("_lower"))
+    )
+    # Odd slots hold the rows that equal a bound, even ones the values between two bounds.
+    at_bound = F.coalesce(F.get("_bounds", F.col("_lower")) == F.col("_x"), F.lit(False))
+    slotted = slotted.select("_row", *label, "_x", (2 * F.col("_lower") + at_bound.cast("int")).alias("_slot"))
+    before = Window.partitionBy(*label).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(
+        slotted.groupBy(*label, "_slot").agg(F.count("*").alias("_cnt"))
+        .withColumn("_under", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    )
+    place = [*label, "_slot"]
+    placed = (
+        slotted.alias("_l").join(broadcast_if_small(offsets).alias("_r"), same(place))
+        .select("_row", *[F.col(f"_l.{c}").alias(c) for c in place], "_x", "_under", "_cnt")
+    )
+    odd = F.col("_slot") % 2 == 1
+    known = placed.where(odd).select("_row", *label, (F.col("_under") + (F.col("_cnt") + 1) / 2.0).alias("_rank"))
+    inside = Window.partitionBy(*place).orderBy("_x")
+    upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = placed.where(~odd).select(
+        "_row", *label,
+        (F.col("_under") + (F.rank().over(inside) + F.count("*").over(upto)) / 2.0).alias("_rank"),
+    )
+    return known.unionByName(found).groupBy("_row", *keys).agg(
+        *[F.max(F.when(F.col("_variable") == n, F.col("_rank"))).alias(n) for n in names]
+    ).select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *[F.col(n).alias(c) for c, n in zip(columns, names)])
+
+
 def ranked_values(long: DataFrame, keys: Sequence[str], value: str = "x", task_rows: int = TASK_ROWS) -> DataFrame:
     """Rank the distinct values of every key.
 
@@ -66,19 +160,17 @@ def ranked_counts(
 
     counts = cut_lineage(counts)  # read three times below, folded once
     # Value ranges for the large keys only, about task_rows / 2 distinct values each.
-    pieces = min(10_000, max(2, -(-2 * biggest // task_rows)))
-    fractions = [i / pieces for i in range(1, pieces)]
+    pieces = pieces_for(biggest, task_rows)
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("distinct_values"))
     large = sizes.where(F.col("distinct_values") > task_rows).select(*keys)
     bounds = (
         counts.join(broadcast_if_small(large), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(value, fractions, SKETCH_ACCURACY).alias("bounds"))
+        .agg(piece_bounds(value, pieces).alias("bounds"))
     )
     bounds = cut_lineage(bounds)  # sketches may differ between runs; fix one
-    located = counts.join(broadcast_if_small(bounds), keys, "left").withColumn(
-        "piece",
-        F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col(value))), F.lit(0)),
+    located = counts.join(broadcast_if_small(bounds, BROADCAST_ROWS // pieces), keys, "left").withColumn(
+        "piece", bounds_below(F.col("bounds"), F.col(value), pieces)
     )
     inside = Window.partitionBy(*keys, "piece")
     running = inside.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import special
 from ..functions.columns import coerced, correlation_strength, finite, number, scalar_function
-from ..functions.lineage import cut_lineage
-from ..functions.rank import TASK_ROWS, average_rank, ranked_values
+from ..functions.lineage import BROADCAST_ROWS, cut_lineage
+from ..functions.rank import TASK_ROWS, average_rank, ranked_values, rows_with_ranks
 
 # Pairs per aggregate; wider matrices are computed in several passes, so that no
 # generated method or row grows with the square of the column count.
 PAIRS_PER_PASS = 500
 
+# Distinct values of all columns up to which their ranks are sent to the rows.
+FOLDED_VALUES = BROADCAST_ROWS
+
 
 def complete_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Numeric columns of rows without a missing value among them."""
@@ -28,20 +31,28 @@ def rank_columns(
 ) -> DataFrame:
     """Replace every column by its average rank (within by). Columns must be complete.
 
-    All columns are ranked in one pass over folded (variable, value, count) rows;
-    the rank table is then joined once per column. AQE broadcasts it where it is
-    small and splits the partitions of a hot value where it is not.
+    Where the distinct values of all columns together are few (estimated first, counted
+    after), they are folded, ranked and sent to the rows, which do not move. Otherwise
+    all columns share one exchange of values by value piece, see ``rows_with_ranks``.
     """
-    by = list(by)
+    by, columns = list(by), list(columns)
     keyed = df.select(F.lit(0).alias("_all"), *by, *columns)
     keys = ["_all", *by]
-    long = keyed.unpivot(keys, list(columns), "variable", "x")
+    few = F.lit(0)
+    for c in columns:
+        few = few + F.approx_count_distinct(c)
+    groups = keyed.groupBy(*keys).agg(few.alias("values"))
+    if (groups.agg(F.sum("values")).first()[0] or 0) > FOLDED_VALUES:
+        return rows_with_ranks(df, columns, by, task_rows)
+    long = keyed.unpivot(keys, columns, "variable", "x")
     ranks = cut_lineage(
         ranked_values(long, [*keys, "variable"], "x", task_rows).select(*keys, "variable", "x", average_rank().alias("_rank"))
     )
+    if ranks.count() > FOLDED_VALUES:  # the estimate was low
+        return rows_with_ranks(df, columns, by, task_rows)
     for c in columns:
         mine = ranks.where(F.col("variable") == c).select(*keys, F.col("x").alias(c), "_rank")
-        keyed = keyed.join(mine, [*keys, c]).drop(c).withColumnRenamed("_rank", c)
+        keyed = keyed.join(F.broadcast(mine), [*keys, c]).drop(c).withColumnRenamed("_rank", c)
     return keyed.select(*by, *columns)
 
 
