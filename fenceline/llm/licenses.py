@@ -4,7 +4,7 @@ A text's words (A to Z lower-cased, cut at ASCII characters that are neither dig
 letter) are joined by single blanks, and one automaton over that line finds the phrases
 of the table below wherever their words stand consecutively. A second look goes to
 identifier tags (``SPDX-License-Identifier:`` and the ``license =``/``license:`` lines
-of manifests): what follows on the line is read as a licence expression. Its operators,
+of manifests), whose places a second automaton gives: what follows on the line is read as a licence expression. Its operators,
 ``with`` before ``and`` before ``or``, and brackets are put in postfix order by the
 shunting-yard algorithm and evaluated to the licences named and to whether the whole can
 be met by permissive licences alone (``or`` needs one side, ``and`` both, ``with`` keeps
@@ -62,6 +62,7 @@ _WORDLESS = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" els
 _TAG = re.compile(r"(?:(spdx-license-identifier)|(?<![\w-])licen[cs]e)[\"']?[ \t]*[:=][ \t]*[\"']?([^\n\"'<>;*]+)")
 _PART = re.compile(r"[()]|(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.+-]*")
 _NAMELESS = {"none", "noassertion"}
+_LISTED = PERMISSIVE | RECIPROCAL
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -80,6 +81,43 @@ def _phrases():
     return automaton
 
 
+@cache
+def _tags():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for tag in ("spdx-license-identifier", "license", "licence"):
+        automaton.add_word(tag, len(tag))
+    automaton.make_automaton()
+    return automaton
+
+
+def tag_values(low: str):
+    """(value, after an SPDX tag) of the identifier tags of a lower-cased text; no tag is read inside another's value."""
+    past = 0
+    for last, length in _tags().iter(low):
+        start = last + 1 - length
+        if start >= past and (m := _TAG.match(low, start)):
+            past = m.end()
+            yield m[2], bool(m[1])
+
+
+def longest_prefix(parts: list[str]) -> int:
+    """Length of the longest prefix that is a whole expression, 0 if none is; one pass."""
+    longest = depth = 0
+    operand = True  # what the next part has to be
+    for i, part in enumerate(parts, 1):
+        if operand != (part == "(" or (part != ")" and part not in _BINDS)):
+            break
+        depth += (part == "(") - (part == ")")
+        if depth < 0:
+            break
+        operand = part == "(" or part in _BINDS
+        if not operand and depth == 0:
+            longest = i
+    return longest
+
+
 def postfix(parts: list[str]) -> list[str] | None:
     """Shunting-yard: operands and operators in postfix order, None if the expression is malformed."""
     out: list[str] = []
@@ -116,31 +154,31 @@ def postfix(parts: list[str]) -> list[str] | None:
 
 
 def evaluate(order: list[str]) -> tuple[frozenset[str], bool, bool]:
-    """(licences, all known, permissive) of an expression in postfix order."""
-    stack: list[tuple[frozenset[str], bool, bool]] = []
+    """(licences, all known, permissive) of an expression in postfix order; smaller sets go into larger ones."""
+    stack: list[tuple[set[str], bool, bool]] = []
     for part in order:
         if part in _BINDS:
             (b, b_known, b_free), (a, a_known, a_free) = stack.pop(), stack.pop()
-            if part == "with":
-                stack.append((a, a_known, a_free))
-            else:
-                stack.append((a | b, a_known and b_known, a_free or b_free if part == "or" else a_free and b_free))
+            if part != "with":
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+                a_known, a_free = a_known and b_known, a_free or b_free if part == "or" else a_free and b_free
+            stack.append((a, a_known, a_free))
         else:
-            stack.append((frozenset([part]), part in PERMISSIVE or part in RECIPROCAL, part in PERMISSIVE))
-    return stack[0]
+            stack.append(({part}, part in _LISTED, part in PERMISSIVE))
+    ids, known, free = stack[0]
+    return frozenset(ids), known, free
 
 
 def expression(text: str, spdx: bool = False) -> tuple[set[str], bool, str | None]:
     """Labels of a licence expression, whether all its licences are known, and its value; spdx after an SPDX tag."""
     parts = [p.rstrip(".-") if p not in "()" else p for p in _PART.findall(text)]
-    order = postfix(parts)
-    while order is None and len(parts) > 1 and not parts[-1] in PERMISSIVE | RECIPROCAL:
-        parts.pop()  # prose after the expression
-        order = postfix(parts)
-    if order is None:
-        return {f"tag:{p}" for p in parts if p in PERMISSIVE or p in RECIPROCAL}, False, None
-    ids, known, free = evaluate(order)
-    if not any(i in PERMISSIVE or i in RECIPROCAL for i in ids):
+    whole = longest_prefix(parts)
+    # Prose after the expression is dropped, but no licence of the table with it.
+    if not whole or any(p in _LISTED for p in parts[whole:]):
+        return {f"tag:{p}" for p in parts if p in _LISTED}, False, None
+    ids, known, free = evaluate(postfix(parts[:whole]))
+    if not ids & _LISTED:
         if spdx:
             return {f"tag:{i}" for i in ids - _NAMELESS}, False, None
         return ({f"tag:{i}" for i in ids} if len(ids) == 1 and re.search(r"\d", *ids) else set()), False, None
@@ -168,8 +206,8 @@ def scan(text: str) -> tuple:
             base.add(label)
             places.append(word - length)
     if tagged:
-        for m in _TAG.finditer(low.decode()):
-            found, known, value = expression(m[2], bool(m[1]))
+        for text_after, spdx in tag_values(low.decode()):
+            found, known, value = expression(text_after, spdx)
             for label in found:
                 labels.add(label)
                 doubt[label] = 0.1 if known else 0.6

@@ -203,6 +203,26 @@ def test_precedence():
     assert licenses.postfix(["a", "b"]) is None and licenses.postfix([]) is None and licenses.postfix([")"]) is None
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "mit", "or", "and", "with", "(", ")"]), max_size=10))
+def test_longest_prefix(parts):
+    assert licenses.longest_prefix(parts) == max((n for n in range(1, len(parts) + 1) if licenses.postfix(parts[:n]) is not None), default=0)
+
+
+def test_long_licence_lines():
+    """An open bracket, a whole expression and mere tags, each of some megabytes, in one pass."""
+    names = [f"a{i}" for i in range(200_000)]
+    assert licenses.scan("license: (" + " or ".join(names))[5] == ""
+    found, known, value = licenses.expression("(" + " or ".join(names) + " or mit) see the file", True)
+    assert len(found) == 200_001 and not known and value == "permissive"
+    assert licenses.scan("SPDX-License-Identifier: " + "(" * 200_000 + "mit" + ")" * 200_000)[5] == "permissive,tag:mit"
+    assert licenses.scan("license: " * 200_000 + "mit")[5] == "tag:mit"
+
+
+def test_tags_by_place():
+    assert list(licenses.tag_values("license: see license: mit\nx-license: isc\nlicence='zlib'")) == [("see license: mit", False), ("zlib", False)]
+
+
 def test_license_rows(spark):
     rows = licenses.licenses(documents(spark)).collect()
     assert [tuple(r)[1:6] for r in rows] == [brute_license(t or "") for _, t, *_ in ROWS]
