@@ -10,8 +10,9 @@ outwards from its own distance and stops where the ceiling falls below what it h
 
 The pivots are fitted on that sample; every vector is indexed. Annuli are described by
 a fixed number of rows (pivots times rings). A heavy annulus is dealt over several tasks,
-equal vectors included. Queries meet vectors by annulus in bounded blocks; what leaves a
-task is at most k rows per query, and the last ranking sees k rows per task and query.
+equal vectors included. Queries are numbered into blocks too, and a group is a block of
+queries with a part of an annulus, so that neither side of it grows with the table; what
+leaves a group is at most k rows per query, and the last ranking sees k rows per group and query.
 
 Components become floor(scale * x), x as double; scores are exact integers (within 2**53).
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.lineage import cut_lineage
 from .rows import column
 
-K, SCALE, PIVOTS, RINGS, SAMPLE, BLOCK = 10, 1024, 16, 4, 4096, 8192
+K, SCALE, PIVOTS, RINGS, SAMPLE, BLOCK, QUERIES = 10, 1024, 16, 4, 4096, 8192, 16384
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -82,12 +83,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def top_k(
     df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE,
-    pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE, block: int = BLOCK,
+    pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERIES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best rows of df; both tables have ``vec_id`` and ``vector``.
 
     ``sample`` bounds the rows used to fit pivots and floors, ``block`` the vectors of an
-    annulus that one task holds.
+    annulus that one group holds and ``query_block`` its queries (both on average of a hash).
     """
     base = quantised(df, vec_id, vector, scale)
     parts = []
@@ -95,7 +96,7 @@ def top_k(
     for size, rows in sorted(tuple(r) for r in base.groupBy(F.size("v").alias("size")).count().collect()):
         own = base.where(F.size("v") == size)
         asked = quantised(queries, vec_id, vector, scale).where(F.size("v") == size).dropDuplicates(["id", "v"])
-        parts.append(_search(own, asked, size, rows, k, pivots, rings, sample, block))
+        parts.append(_search(own, asked, size, rows, k, pivots, rings, sample, block, query_block))
     if not parts:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     out = parts[0]
@@ -104,7 +105,7 @@ def top_k(
     return out
 
 
-def _search(base: DataFrame, asked: DataFrame, size: int, rows: int, k: int, pivots: int, rings: int, sample: int, block: int) -> DataFrame:
+def _search(base: DataFrame, asked: DataFrame, size: int, rows: int, k: int, pivots: int, rings: int, sample: int, block: int, query_block: int) -> DataFrame:
     # A bounded sample by hashed ids, so that it does not depend on the order of rows. The share taken
     # keeps about four times the sample for the final cut, however many rows there are.
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
@@ -136,10 +137,11 @@ def _search(base: DataFrame, asked: DataFrame, size: int, rows: int, k: int, piv
     dealt = ringed.select((number[key] + F.pmod(F.xxhash64("id", "v"), spread[key])).cast("int").alias("task"), "id", "d", "n2", "v")
     middle = centres[table["pivot"].astype(int)]
 
+    blocks = max(1, -(-asked.count() // query_block))
+
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = _matrix(f["v"])
-            out = {c: [] for c in ("task", "id", "d", "floor", "v")}
             for at in range(0, len(f), 512):
                 q, ids = x[at : at + 512], f["id"].to_numpy()[at : at + 512]
                 scores = q @ fitted.T
@@ -148,16 +150,19 @@ def _search(base: DataFrame, asked: DataFrame, size: int, rows: int, k: int, piv
                 d = _distances(q, middle)
                 gap = np.maximum(np.maximum(table["lo"] - d, d - table["hi"]), 0.0)
                 goes = _ceiling((q**2).sum(axis=1)[:, None], table["n2"], gap) >= floor[:, None]
-                for i, a in zip(*np.nonzero(goes)):
-                    for s in range(salts[a]):
-                        out["task"].append(first[a] + s)
-                        out["id"].append(ids[i])
-                        out["d"].append(d[i, a])
-                        out["floor"].append(floor[i])
-                        out["v"].append(q[i].tobytes())
-            yield pd.DataFrame(out)
-
-    routed = asked.mapInPandas(route, "task int, id bigint, d double, floor double, v binary")
+                i, a = np.nonzero(goes)
+                raw = np.array([r.tobytes() for r in q], dtype=object)
+                yield pd.DataFrame({
+                    "first": first[a], "last": first[a] + salts[a] - 1, "part": f["part"].to_numpy()[at : at + 512][i],
+                    "id": ids[i], "d": d[i, a], "floor": floor[i], "v": raw[i],
+                })
+
+    numbered = asked.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    # A row per annulus leaves Python; the parts of a heavy one are listed outside it.
+    routed = numbered.mapInPandas(route, "first int, last int, part int, id bigint, d double, floor double, v binary").select(
+        F.explode(F.sequence("first", "last")).alias("task"), "part", "id", "d", "floor", "v"
+    )
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -196,6 +201,6 @@ def _search(base: DataFrame, asked: DataFrame, size: int, rows: int, k: int, piv
                 out["score"] += got.astype(np.int64).tolist()
         return pd.DataFrame(out)
 
-    found = dealt.groupBy("task").cogroup(routed.groupBy("task")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    found = dealt.groupBy("task", "part").cogroup(routed.groupBy("task", "part")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

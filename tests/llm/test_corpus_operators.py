@@ -294,6 +294,18 @@ def test_top_k_of_a_table(spark, settings):
     assert sorted(map(tuple, found.collect())) == brute_top_k(rows)
 
 
+def test_top_k_in_blocks_of_queries(spark):
+    """Every row is a query; blocks of both sides are far smaller than either."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = topk.top_k(df, df, sample=64, block=50, query_block=40).collect()
+    v = np.floor(1024 * np.array([x for _, x in rows])).astype(np.int64)
+    scores = v @ v.T
+    want = [(q, r + 1, c, int(scores[q, c])) for q in range(600) for r, c in enumerate(sorted(set(range(600)) - {q}, key=lambda c: (-scores[q, c], c))[:10])]
+    assert sorted(map(tuple, found)) == want
+
+
 def test_top_k_edges(spark):
     df = vectors(spark)
     assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 100 = 0"), sample=4).collect())) == brute_top_k(VECTORS)
