@@ -243,6 +243,44 @@ def feature_ranking(spark, d):
     return rounded(rounded(rounded(ranking, "f", digits=4), "f_p_value", digits=5), "mutual_information", "importance")
 
 
+def psi(n):
+    """Digamma of whole numbers from 1, in SQL."""
+    back = " - ".join(f"1.0::DOUBLE / ({n} + {i})" for i in range(8))
+    z = f"({n} + 8)::DOUBLE"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) - {back})"
+
+
+_STEPS = ", ".join(f"x - lag(x, {i}) OVER w, lead(x, {i}) OVER w - x" for i in (1, 2, 3))
+
+
+def _neighbours_sql(v):
+    """Estimate from the third neighbour in the class: every row's radius, then a count of all rows inside it."""
+    return f"""SELECT '{v}' AS variable, greatest(any_value({psi('nn')}) + sum(c * ({psi('k')} - {psi('m')} - {psi('nl')})) / sum(c), 0) AS mi FROM (
+      WITH t AS (SELECT is_outlier AS l, {v}::DOUBLE AS x FROM ft), vals AS (SELECT x AS v, count(*) AS t FROM t GROUP BY 1),
+      rad AS (SELECT l, x, list_sort(list_filter([{_STEPS}], lambda d: d IS NOT NULL))[3] AS r FROM t WINDOW w AS (PARTITION BY l ORDER BY x)),
+      pts AS (SELECT l, x, r, count(*) AS c FROM rad GROUP BY ALL),
+      lim AS (SELECT *, x - r + (abs(x) + r) * 1e-12::DOUBLE AS lo, x + r - (abs(x) + r) * 1e-12::DOUBLE AS hi FROM pts),
+      m AS (SELECT l, x, c, 3 AS k, sum(t)::BIGINT AS m FROM lim JOIN vals ON v > lo AND v < hi WHERE r > 0 GROUP BY l, x, c
+        UNION ALL SELECT l, x, c, c - 1, (t - 1)::BIGINT FROM lim JOIN vals ON v = x WHERE r = 0)
+      SELECT m.*, (SELECT count(*) FROM t) AS nn, (SELECT count(*) FROM t WHERE t.l = m.l) AS nl FROM m)"""
+
+
+_KNN = " UNION ALL ".join(_neighbours_sql(v) for v in FEATURES)
+
+
+@check(
+    "feature_ranking_neighbours",
+    f"""WITH {EVENTS_SQL}, ft AS (SELECT is_outlier, user_id, slot, value * user_id AS load FROM events_flagged), f AS ({_F}), mi AS ({_KNN}),
+    j AS (SELECT variable, f, d2, mi, (f / max(f) OVER () + CASE WHEN max(mi) OVER () > 0 THEN mi / max(mi) OVER () ELSE 0 END) / 2 AS importance
+      FROM f JOIN mi USING (variable))
+    SELECT variable, round(f, 4) AS f, round({f_sf('f', '1', 'd2')}, 5) AS f_p_value, round(mi, 6) AS mutual_information, round(importance, 6) AS importance,
+      row_number() OVER (ORDER BY importance DESC, variable)::INT AS position FROM j""",
+)
+def feature_ranking_neighbours(spark, d):
+    ranking = c.rank_features(loads(spark, d), FEATURES, neighbours=3)
+    return rounded(rounded(rounded(ranking, "f", digits=4), "f_p_value", digits=5), "mutual_information", "importance")
+
+
 def marked_orders(spark, d):
     """Orders on the dear side, told by customer, status and month (noise on purpose)."""
     orders = table(spark, d, "orders")

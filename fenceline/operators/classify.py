@@ -16,6 +16,7 @@ from ..functions import special
 from ..functions.columns import number, scalar_function
 from ..functions.lineage import broadcast_if_small, cut_lineage, spread
 from ..functions.rank import TASK_ROWS, column_quantiles, ranked_counts, ranked_values
+from .information import neighbour_information
 from .profile import is_numeric
 from .reduce import scale_factors, standardise
 
@@ -131,20 +132,7 @@ def classification_metrics(
 # ---------------------------------------------------------------- feature ranking
 
 
-def rank_features(
-    df: DataFrame, columns: Sequence[str], flag: str = "is_outlier", bins: int = 10, task_rows: int = TASK_ROWS
-) -> DataFrame:
-    """Features by the mean of their scaled F statistic and mutual information with the label.
-
-    Mutual information (in nats) is taken over quantile bins of the feature.
-    """
-    columns = list(columns)
-    data = df.select(F.col(flag).alias("label"), *[number(c).alias(c) for c in columns]).dropna("any")
-    n_rows = data.count()
-    row = data.groupBy("label").agg(
-        F.count("*").alias("n"),
-        *[F.struct(F.avg(c).alias("m"), F.var_pop(c).alias("v")).alias(f"c{i}") for i, c in enumerate(columns)],
-    ).collect()  # one row per label
+def _binned_information(data: DataFrame, columns: list[str], bins: int, n_rows: int, task_rows: int) -> DataFrame:
     edges = column_quantiles(data, columns, [i / bins for i in range(1, bins)], n_rows, task_rows)
     binned = data.select("label", *[
         sum(((F.col(c) > F.lit(e)).cast("int") for e in sorted(set(edges[c]))), F.lit(0)).alias(c) for c in columns
@@ -156,9 +144,31 @@ def rank_features(
     term = F.col("count") / total * F.log(
         F.col("count") * total / (F.sum("count").over(by_bin) * F.sum("count").over(by_label))
     )
-    information = cells.withColumn("term", term).groupBy("variable").agg(
+    return cells.withColumn("term", term).groupBy("variable").agg(
         F.greatest(F.sum("term"), F.lit(0.0)).alias("mutual_information")
     )
+
+
+def rank_features(
+    df: DataFrame, columns: Sequence[str], flag: str = "is_outlier", bins: int = 10, task_rows: int = TASK_ROWS,
+    neighbours: int | None = None,
+) -> DataFrame:
+    """Features by the mean of their scaled F statistic and mutual information with the label.
+
+    Mutual information (in nats) is taken over quantile bins of the feature, or, given a
+    number of neighbours, estimated from them (see ``information.neighbour_information``).
+    """
+    columns = list(columns)
+    data = df.select(F.col(flag).alias("label"), *[number(c).alias(c) for c in columns]).dropna("any")
+    n_rows = data.count()
+    row = data.groupBy("label").agg(
+        F.count("*").alias("n"),
+        *[F.struct(F.avg(c).alias("m"), F.var_pop(c).alias("v")).alias(f"c{i}") for i, c in enumerate(columns)],
+    ).collect()  # one row per label
+    if neighbours is None:
+        information = _binned_information(data, columns, bins, n_rows, task_rows)
+    else:
+        information = neighbour_information(data, columns, "label", neighbours, task_rows)
     rows = []
     for i, c in enumerate(columns):
         mean = sum(r["n"] * r[f"c{i}"]["m"] for r in row) / n_rows
