@@ -56,8 +56,10 @@ def test_information_without_rows_or_classes(spark):
     schema = "y string, x double"
     assert neighbour_information(spark.createDataFrame([], schema), ["x"], "y").count() == 0
     assert neighbour_information(spark.createDataFrame([("a", 1.0), ("b", 2.0)], schema), ["x"], "y").count() == 0
-    rows = [("a", 1.0), ("a", 2.5), ("a", None), (None, 3.0), ("a", 4.0)]
-    assert neighbour_information(spark.createDataFrame(rows, schema), ["x"], "y").collect()[0][1] == pytest.approx(0.0, abs=1e-9)
+    # One class tells nothing; a second neighbour as far as the first lies outside, by the definition.
+    for values, expected in (([1.0, 2.5, 5.0], 0.0), ([1.0, 2.5, 4.0], brute(np.array([1.0, 2.5, 4.0]), np.array(["a"] * 3), 3))):
+        rows = [("a", v) for v in values] + [("a", None), (None, 3.0)]
+        assert neighbour_information(spark.createDataFrame(rows, schema), ["x"], "y").collect()[0][1] == pytest.approx(expected, abs=1e-9)
 
 
 def test_digamma(spark):
