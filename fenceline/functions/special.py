@@ -7,7 +7,7 @@ code is enough; Spark SQL has no erf, gamma or normal CDF of its own.
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -217,45 +217,92 @@ def _first_at_most(log_p, bound, start, end, step):
     return start + step * low
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """Royston's W and p for 3 <= n <= 50 sorted or unsorted values."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = x.size
-    if n < 3 or x[0] == x[-1]:
-        return 1.0, 1.0
-    m = np.array([norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+# Ranks at either end whose normal scores are summed one by one; further in, sums are integrals
+# with a correction whose rest is below 1e-12 a score.
+_EDGE_SCORES = 1000
+
+
+@lru_cache(maxsize=64)
+def _edge_scores(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulative sums of the lowest normal scores of n ranks, and of their squares."""
+    m = np.array([0.0] + [norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, min(n // 2, _EDGE_SCORES) + 1)])
+    return np.cumsum(m), np.cumsum(m * m)
+
+
+def _score_integral(n: int, upto: np.ndarray, squares: bool) -> np.ndarray:
+    """Sum of scores (or squares) of the ranks over _EDGE_SCORES up to `upto`, at most n / 2, by Euler and Maclaurin."""
+
+    def parts(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = (rank + 0.5 - 0.375) / (n + 0.25)
+        z = np.fromiter(map(_STANDARD.inv_cdf, p), float, p.size)
+        density = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+        whole = p - z * density if squares else -density
+        slope = (2 * z if squares else 1.0) / density
+        return whole, slope
+
+    (high, high_slope), (low, low_slope) = parts(upto), parts(np.array([float(_EDGE_SCORES)]))
+    return (n + 0.25) * (high - low) - (high_slope - low_slope) / (24 * (n + 0.25))
+
+
+def score_sums(ranks: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the normal scores of ranks 1 to each of `ranks` (0 to n) out of n."""
+    edge, _ = _edge_scores(n)
+    k = np.minimum(ranks, n - ranks).astype(np.int64)  # scores are symmetric and sum to 0
+    out = edge[np.minimum(k, len(edge) - 1)]
+    inner = k > _EDGE_SCORES
+    if inner.any():
+        out[inner] += _score_integral(n, k[inner].astype(float), False)
+    return out
+
+
+def _shapiro_weights(n: int) -> tuple[float, float, float]:
+    """Weights of the highest and second highest value and what other scores are multiplied by, n > 3."""
+    _, squares = _edge_scores(n)
+    mm = 2 * float(squares[-1])
+    if n // 2 > _EDGE_SCORES:
+        mm += 2 * float(_score_integral(n, np.array([float(n // 2)]), True)[0])
+    top, next_top = -norm_ppf(0.625 / (n + 0.25)), -norm_ppf(1.625 / (n + 0.25))
+    u = 1.0 / math.sqrt(n)
+    # Royston's polynomial corrections of the two outer weights.
+    outer = float(np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)) + top / math.sqrt(mm)
+    if n <= 5:
+        rest = 1 / math.sqrt((mm - 2 * top**2) / (1 - 2 * outer**2))
+        return outer, next_top * rest, rest
+    second = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)) + next_top / math.sqrt(mm)
+    return outer, second, 1 / math.sqrt((mm - 2 * top**2 - 2 * next_top**2) / (1 - 2 * outer**2 - 2 * second**2))
+
+
+def shapiro_w(n: float, scored: float, outer_gap: float, second_gap: float, squares: float) -> float:
+    """Royston's W from sums over a sample of n >= 3 values.
+
+    `scored` is the sum of normal score times value in order of rank, the gaps are highest
+    minus lowest and second highest minus second lowest value, `squares` is the sum of
+    squared deviations from the mean. 1 without spread.
+    """
+    n = int(n)
+    if n < 3 or outer_gap == 0 or squares == 0:
+        return 1.0
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        mm = float(m @ m)
-        u = 1.0 / math.sqrt(n)
-        a = np.empty(n)
-        # Royston's polynomial corrections of the two outer weights.
-        outer = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
-        outer += m[-1] / math.sqrt(mm)
-        if n <= 5:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * outer**2)
-            a[1:-1] = m[1:-1] / math.sqrt(phi)
-        else:
-            second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
-            second += m[-2] / math.sqrt(mm)
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * outer**2 - 2 * second**2)
-            a[2:-2] = m[2:-2] / math.sqrt(phi)
-            a[-2], a[1] = second, -second
-        a[-1], a[0] = outer, -outer
-    centred = x - x.mean()
-    w = min(1.0, float(a @ x) ** 2 / float(centred @ centred))
+        return min(1.0, 0.5 * outer_gap**2 / squares)
+    outer, second, rest = _shapiro_weights(n)
+    top, next_top = -norm_ppf(0.625 / (n + 0.25)), -norm_ppf(1.625 / (n + 0.25))
+    total = rest * scored + (outer - rest * top) * outer_gap + (second - rest * next_top) * second_gap
+    return min(1.0, total**2 / squares)
+
+
+def shapiro_p(w: float, n: float) -> float:
+    """Royston's p of W; fitted by its author for n up to 5000, an extrapolation beyond."""
+    if n < 3 or w >= 1.0:
+        return 1.0
     if n == 3:
         p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, min(1.0, max(0.0, p))
-    if w >= 1.0:
-        return w, 1.0
+        return min(1.0, max(0.0, p))
     # Royston's normalising transforms of 1 - W.
     if n <= 11:
         g = -2.273 + 0.459 * n
         y = math.log(1.0 - w)
         if y >= g:
-            return w, 1e-99
+            return 1e-99
         y = -math.log(g - y)
         mu = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
         sigma = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
@@ -263,7 +310,18 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         y, ln = math.log(1.0 - w), math.log(n)
         mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln)
         sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
-    return w, norm_sf((y - mu) / sigma)
+    return norm_sf(float(y - mu) / sigma)
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and p of a sample in memory."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = x.size
+    if n < 3:
+        return 1.0, 1.0
+    scored = float(np.diff(score_sums(np.arange(n + 1), n)) @ (x - x.mean()))
+    w = shapiro_w(n, scored, float(x[-1] - x[0]), float(x[-2] - x[1]), float(((x - x.mean()) ** 2).sum()))
+    return w, shapiro_p(w, n)
 
 
 #: The exact distribution of U is used, whatever the larger sample's size, when no

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fenceline.functions import special
 from fenceline.operators import combine, multivariate, outlier_tests, univariate
 from fenceline.plans.detect import detect_outliers
 
@@ -150,6 +151,25 @@ def test_normality_picks_its_test_by_size(spark):
     assert c["test"] == "shapiro-wilk" and c["is_normal"]
 
 
+@pytest.mark.parametrize("task_rows", [1_000_000, 50])
+def test_shapiro_wilk_from_ranks(spark, task_rows):
+    """Tied, hot, constant and short columns, one with a missing value, against the sorted sample."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    data = {
+        "smooth": rng.normal(size=n), "tied": rng.integers(0, 5, n) * 1.0,
+        "hot": np.where(rng.random(n) < 1 / 3, 5.0, np.round(rng.exponential(9, n), 1)), "flat": np.full(n, 2.0),
+        "three": [1.0, 4.0, 9.0] + [None] * (n - 3), "two": [1.0, 2.0] + [None] * (n - 2), "nine": [*np.arange(9.0) ** 2] + [None] * (n - 9),
+    }
+    df = spark.createDataFrame(pd.DataFrame({c: pd.Series(v, dtype="float64") for c, v in data.items()}))
+    rows = {r["variable"]: r for r in outlier_tests.shapiro_wilk(df, list(data), task_rows).collect()}
+    assert set(rows) == set(data) - {"two"}
+    for c, r in rows.items():
+        x = np.array([v for v in data[c] if v is not None])
+        w, p = special.shapiro_wilk(x)
+        assert r["n"] == len(x) and r["statistic"] == pytest.approx(w, abs=1e-10) and r["p_value"] == pytest.approx(p, abs=1e-8)
+
+
 def test_verdicts_nest(spark):
     rng = np.random.default_rng(6)
     data = pd.DataFrame(rng.normal(0, 1, (300, 2)), columns=["a", "b"])

@@ -28,6 +28,15 @@ def test_shapiro_wilk_textbook_sample():
     assert p == pytest.approx(0.0067, abs=5e-4)
 
 
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 12, 1999, 2002, 5001, 60_000])
+def test_sums_of_normal_scores(n):
+    scores = np.array([s.norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    assert s.score_sums(np.arange(n + 1), n) == pytest.approx(np.concatenate(([0.0], np.cumsum(scores))), abs=1e-9)
+    if n > 5:
+        outer, second, rest = s._shapiro_weights(n)
+        assert 2 * (outer**2 + second**2) + rest**2 * float(scores[2:-2] @ scores[2:-2]) == pytest.approx(1.0, abs=1e-10)
+
+
 def test_fisher_exact():
     assert s.fisher_two_sided(8, 2, 1, 5) == pytest.approx(0.03496503496503495, abs=1e-9)
     assert s.fisher_two_sided(5, 5, 5, 5) == pytest.approx(1.0, abs=1e-9)
