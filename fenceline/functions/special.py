@@ -67,8 +67,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             result *= step
         if abs(step - 1.0) < _EPS:
-            break
-    return result
+            return result
+    raise ArithmeticError(f"incomplete beta function does not converge: a={a}, b={b}, x={x}")
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -112,8 +112,8 @@ def gamma_q(a: float, x: float) -> float:
         step = c * d
         result *= step
         if abs(step - 1.0) < _EPS:
-            break
-    return result * front
+            return result * front
+    raise ArithmeticError(f"incomplete gamma function does not converge: a={a}, x={x}")
 
 
 def t_sf(t: float, df: float) -> float:
