@@ -8,7 +8,7 @@ from fenceline.operators import regress as g
 
 from .comparison import EVENTS_SQL, events_flagged
 from .registry import check, r, rounded, table
-from .sqlmath import f_sf, t_two_sided
+from .sqlmath import f_sf, t_two_sided, norm_two_sided
 
 # Price per line by quantity and discount: two predictors, so least squares has a closed form.
 LINE_SQL = """l AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem),
@@ -54,20 +54,68 @@ def least_squares_summary(spark, d):
     ).drop("model")
 
 
+REWEIGHTINGS = 25
+
+
+def huber_sql():
+    """CTEs of the reweighting rounds, written out: ft (rows), b<i> (coefficients), r<i> (residuals), s<i> (scale)."""
+    size = "(abs(e) / scale)"
+    weight = f"CASE WHEN {size} <= {g.HUBER} THEN 1.0::DOUBLE ELSE {g.HUBER} / {size} END"
+
+    def fit(source):
+        return f"""SELECT my - (cay * vh - chy * cah) / (va * vh - cah * cah) * ma - (chy * va - cay * cah) / (va * vh - cah * cah) * mh AS b0,
+          (cay * vh - chy * cah) / (va * vh - cah * cah) AS b1, (chy * va - cay * cah) / (va * vh - cah * cah) AS b2 FROM (
+          SELECT ma, mh, my, sum(w * (a - ma) ** 2) AS va, sum(w * (h - mh) ** 2) AS vh, sum(w * (a - ma) * (h - mh)) AS cah,
+            sum(w * (a - ma) * (y - my)) AS cay, sum(w * (h - mh) * (y - my)) AS chy
+          FROM {source}, (SELECT sum(w * a) / sum(w) AS ma, sum(w * h) / sum(w) AS mh, sum(w * y) / sum(w) AS my FROM {source}) GROUP BY ma, mh, my)"""
+
+    parts = [
+        "ft AS MATERIALIZED (SELECT value::DOUBLE AS y, user_id::DOUBLE AS a, hour(ts)::DOUBLE AS h FROM events)",
+        "w0 AS (SELECT *, 1.0::DOUBLE AS w FROM ft)", f"b0 AS MATERIALIZED ({fit('w0')})",
+    ]
+    for i in range(REWEIGHTINGS + 1):
+        parts += [
+            f"r{i} AS MATERIALIZED (SELECT y, a, h, y - b0 - b1 * a - b2 * h AS e FROM ft, b{i})",
+            f"s{i} AS MATERIALIZED (SELECT quantile_cont(abs(e), 0.5) / {g.NORMAL_QUARTILE!r}::DOUBLE AS scale FROM r{i})",
+            f"w{i + 1} AS MATERIALIZED (SELECT y, a, h, e, scale, {weight} AS w FROM r{i}, s{i})",
+        ]
+        if i < REWEIGHTINGS:
+            parts.append(f"b{i + 1} AS MATERIALIZED ({fit(f'w{i + 1}')})")
+    return ", ".join(parts)
+
+
+HUBER_SQL = huber_sql()
+
+
 def _huber(spark, d):
     events = table(spark, d, "events").withColumn("hour", F.hour(F.col("ts").cast("timestamp")))
     predictors = ["user_id", "hour"]
-    return g.least_squares(events, "value", predictors), g.huber_regression(events, "value", predictors)
+    return g.least_squares(events, "value", predictors), g.huber_regression(events, "value", predictors, tolerance=1e-11)
 
 
-@check("huber_regression")
+@check(
+    "huber_regression",
+    f"""WITH {HUBER_SQL}, k AS (SELECT count(*)::DOUBLE AS n, avg((w = 1)::INT) AS m, any_value(scale) AS scale,
+      sum(CASE WHEN w = 1 THEN e / scale ELSE {g.HUBER} END ** 2) AS psi2, avg(a) AS ma, avg(h) AS mh, var_pop(a) * count(*) AS va,
+      var_pop(h) * count(*) AS vh, covar_pop(a, h) * count(*) AS cah FROM w{REWEIGHTINGS + 1}),
+    f AS (SELECT *, va * vh - cah * cah AS det, (1 + 3 / n * (m * (1 - m)) / (m * m)) ** 2 * (psi2 / (n - 3)) * scale ** 2 / (m * m) AS factor FROM k),
+    c AS (SELECT 'intercept' AS term, b0 AS b, sqrt(factor * (1 / n + (ma * ma * vh - 2 * ma * mh * cah + mh * mh * va) / det)) AS e FROM f, b{REWEIGHTINGS}
+      UNION ALL SELECT 'user_id', b1, sqrt(factor * vh / det) FROM f, b{REWEIGHTINGS} UNION ALL SELECT 'hour', b2, sqrt(factor * va / det) FROM f, b{REWEIGHTINGS})
+    SELECT 'huber' AS model, term, round(b, 6) AS estimate, round(e, 6) AS std_error, round(b / e, 5) AS statistic, round({norm_two_sided('b / e')}, 6) AS p_value FROM c""",
+)
 def huber_regression(spark, d):
-    return rounded(_huber(spark, d)[1][0], "estimate", "std_error", "statistic", "p_value")
+    return rounded(rounded(_huber(spark, d)[1][0], "estimate", "std_error", "p_value"), "statistic", digits=5)
 
 
-@check("huber_weights")
+@check(
+    "huber_weights",
+    f"""WITH {HUBER_SQL}, k AS (SELECT count(*)::BIGINT AS n, any_value(scale) AS scale, quantile_cont(w, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q, avg(w) AS mean,
+      count(*) FILTER (w < 1)::BIGINT AS reduced, count(*) FILTER (w < {g.IGNORED_WEIGHT})::BIGINT AS ignored FROM w{REWEIGHTINGS + 1})
+    SELECT 'huber' AS model, n, round(scale, 6) AS residual_error, round(q[1], 6) AS weight_min, round(q[2], 6) AS weight_q1, round(q[3], 6) AS weight_median,
+      round(q[4], 6) AS weight_q3, round(q[5], 6) AS weight_max, round(mean, 6) AS weight_mean, reduced AS reduced_rows, ignored AS ignored_rows FROM k""",
+)
 def huber_weights(spark, d):
-    return _huber(spark, d)[1][1]
+    return rounded(_huber(spark, d)[1][1], "residual_error", *[f"weight_{x}" for x in ("min", "q1", "median", "q3", "max", "mean")])
 
 
 @check("regression_changes")
