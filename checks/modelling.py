@@ -118,14 +118,30 @@ def huber_weights(spark, d):
     return rounded(_huber(spark, d)[1][1], "residual_error", *[f"weight_{x}" for x in ("min", "q1", "median", "q3", "max", "mean")])
 
 
-@check("regression_changes")
+CHANGES_SQL = f"""{HUBER_SQL}, both_fits AS (SELECT 'user_id' AS term, l.b1 AS l, h.b1 AS h FROM b0 l, b{REWEIGHTINGS} h
+    UNION ALL SELECT 'hour', l.b2, h.b2 FROM b0 l, b{REWEIGHTINGS} h),
+    ch AS (SELECT *, abs(l - h) AS change, CASE WHEN abs(l) > 1e-10 THEN abs(l - h) / abs(l) * 100 ELSE 0 END AS percent FROM both_fits)"""
+
+
+@check(
+    "regression_changes",
+    f"""WITH {CHANGES_SQL} SELECT term, round(l, 6) AS least_squares, round(h, 6) AS huber, round(change, 6) AS change,
+    round(percent, 4) AS change_percent, change > 0.1 OR percent > 10 AS influenced FROM ch""",
+)
 def regression_changes(spark, d):
-    return g.compare_regressions(*_huber(spark, d))[0]
+    changes = g.compare_regressions(*_huber(spark, d))[0]
+    return rounded(rounded(changes, "least_squares", "huber", "change"), "change_percent", digits=4)
 
 
-@check("regression_verdict")
+@check(
+    "regression_verdict",
+    f"""WITH {CHANGES_SQL}, v AS (SELECT (SELECT bool_or(change > 0.1 OR percent > 10) FROM ch) AS influenced,
+      (SELECT sqrt(sum(e * e) / (count(*) - 3)) FROM r0) AS l, (SELECT scale FROM s{REWEIGHTINGS}) AS h)
+    SELECT influenced, round(l, 6) AS least_squares_error, round(h, 6) AS huber_error, round((l - h) / l * 100, 4) AS error_change_percent FROM v""",
+)
 def regression_verdict(spark, d):
-    return g.compare_regressions(*_huber(spark, d))[1]
+    verdict = g.compare_regressions(*_huber(spark, d))[1]
+    return rounded(rounded(verdict, "least_squares_error", "huber_error"), "error_change_percent", digits=4)
 
 
 # ---------------------------------------------------------------- components
