@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import add, counted_uniform, number
+from ..functions.components import components
 from ..functions.lineage import BROADCAST_ROWS, broadcast_if_small, cut_lineage, spread
 from ..functions.rank import TASK_ROWS, column_quantiles, ranked_values
 from .correlate import complete_numbers
@@ -33,6 +34,9 @@ MICRO_CLUSTERS = 200
 # Independent fits submitted at a time.
 CONCURRENT_FITS = 4
 
+# Rows of either side that one task compares block by block, about.
+COMPARED_ROWS = 100_000
+
 
 def prepare(
     df: DataFrame, columns: Sequence[str], row_id: str, fill: bool = True, task_rows: int = TASK_ROWS
@@ -315,13 +319,14 @@ def dbscan(
         rows.groupBy(*names).agg(F.count("*").alias("weight"), F.min(row_id).alias("point"))
     )
     tree = split_tree(points, names, leaf_rows)
-    located = cut_lineage(located_points(points, names, tree))
+    # A leaf's rows lie together, so that a batch of them walks few branches of the tree.
+    located = cut_lineage(located_points(points, names, tree).repartition("leaf").sortWithinPartitions("leaf"))
     core = cut_lineage(_mark_core(located, names, tree, eps, min_rows))
     if core.where("is_core").isEmpty():
         return rows.select(row_id, F.lit(-1).cast("long").alias("cluster"), F.lit(False).alias("is_core"))
     labels = _join_cells(core.where("is_core"), names, eps)
-    cored = core.where("is_core").select("point", *names).withColumn("cell", _cell(names, eps))
-    core_labels = cut_lineage(cored.join(labels, "cell").select("point", *names, "label"))
+    cored = core.where("is_core").select("point", *names).withColumn("grid", _cell(names, eps))
+    core_labels = cut_lineage(cored.join(labels, "grid").select("point", *names, "label"))
     numbered = _number_labels(core_labels)
     core_labels = cut_lineage(core_labels.join(numbered, "label").select("point", *names, "cluster"))
     border = _border_clusters(core.where("NOT is_core"), core_labels, names, eps, leaf_rows)
@@ -420,36 +425,39 @@ def _cell(names: Sequence[str], eps: float) -> Column:
 
 
 def _core_cells(core: DataFrame, names: list[str], eps: float) -> DataFrame:
-    """Cells of core rows: box centre, tight box and the extreme rows along every axis."""
-    celled = core.withColumn("cell", _cell(names, eps))
-    boxes = celled.groupBy("cell").agg(
+    """Cells of core rows (grid, and cell, a number): box centre, tight box and the extreme rows along every axis."""
+    celled = core.withColumn("grid", _cell(names, eps))
+    boxes = celled.groupBy("grid").agg(
         *[F.min(x).alias(f"low_{x}") for x in names],
         *[F.max(x).alias(f"high_{x}") for x in names],
         F.flatten(F.array(*[p(F.array(*names), F.col(x)) for x in names for p in (F.min_by, F.max_by)])).alias("corners"),
     )
     centres = [((F.col(f"low_{x}") + F.col(f"high_{x}")) / 2).alias(x) for x in names]
-    return cut_lineage(boxes.select("*", *centres))
+    return cut_lineage(boxes.select("*", *centres, F.monotonically_increasing_id().alias("cell")))
 
 
 def _join_cells(core: DataFrame, names: list[str], eps: float) -> DataFrame:
-    """cell, label: cells connect if two of their core rows are within eps.
+    """grid, label: cells connect if two of their core rows are within eps.
 
     Most neighbouring cells are settled by their boxes and extreme rows. Rows are
-    only compared for pairs still open whose cells are not connected anyway.
+    only compared for pairs still open whose cells are not connected anyway; what
+    they add joins the groups found so far.
     """
     cells = _core_cells(core, names, eps)
     pairs = cut_lineage(_near_cells(cells, names, eps))
-    settled = pairs.where("sure").select("a", "b")
-    labels = _connected(cells.select("cell"), settled)
+    labels = cut_lineage(_connected(cells.select("cell"), pairs.where("sure").select("a", "b")))
     of_a = labels.select(F.col("cell").alias("a"), F.col("label").alias("label_a"))
     of_b = labels.select(F.col("cell").alias("b"), F.col("label").alias("label_b"))
-    open_pairs = cut_lineage(
-        pairs.where("NOT sure").join(of_a, "a").join(of_b, "b").where("label_a <> label_b").select("a", "b")
-    )
-    if open_pairs.isEmpty():
-        return labels
-    found = _touching(open_pairs, core.withColumn("cell", _cell(names, eps)), names, eps)
-    return _connected(cells.select("cell"), settled.unionByName(found))
+    open_pairs = cut_lineage(pairs.where("NOT sure").drop("sure").join(of_a, "a").join(of_b, "b").where("label_a <> label_b"))
+    if not open_pairs.isEmpty():
+        open_cells = open_pairs.select(F.col("a").alias("cell")).union(open_pairs.select("b")).distinct()
+        asked = cells.select("grid", "cell").join(open_cells, "cell")
+        rows = cut_lineage(core.withColumn("grid", _cell(names, eps)).join(asked, "grid").select("cell", "leaf", *names))
+        found = _touching(open_pairs.select("a", "b"), rows, names, eps)
+        between = cut_lineage(open_pairs.join(found, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+        groups = _connected(labels.select(F.col("label").alias("cell")).distinct(), between)
+        labels = labels.join(groups.select(F.col("cell").alias("label"), F.col("label").alias("group")), "label").select("cell", F.col("group").alias("label"))
+    return cells.select("grid", "cell").join(labels, "cell").select("grid", "label")
 
 
 def _near_cells(cells: DataFrame, names: list[str], eps: float) -> DataFrame:
@@ -457,7 +465,7 @@ def _near_cells(cells: DataFrame, names: list[str], eps: float) -> DataFrame:
     tree = split_tree(cells, names, 256)
     shared = cells.sparkSession.sparkContext.broadcast(tree)
     box = [f"{side}_{x}" for side in ("low", "high") for x in names]
-    layout = "cell string, corners array<double>, " + ", ".join(f"{c} double" for c in [*box, *names])
+    layout = "cell long, corners array<double>, " + ", ".join(f"{c} double" for c in [*box, *names])
     fields = ["cell", "corners", *box, *names]
 
     def locate(batches):
@@ -476,8 +484,8 @@ def _near_cells(cells: DataFrame, names: list[str], eps: float) -> DataFrame:
 
     def match(mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         p = len(names)
-        m_low, m_high, ids = mine[lows].to_numpy(), mine[highs].to_numpy(), mine["cell"].to_numpy(str)
-        q_low, q_high, who = queries[lows].to_numpy(), queries[highs].to_numpy(), queries["cell"].to_numpy(str)
+        m_low, m_high, ids = mine[lows].to_numpy(), mine[highs].to_numpy(), mine["cell"].to_numpy()
+        q_low, q_high, who = queries[lows].to_numpy(), queries[highs].to_numpy(), queries["cell"].to_numpy()
         if not len(mine) or not len(queries):
             return pd.DataFrame({"a": [], "b": [], "sure": []})
         m_ends, q_ends = (np.stack(f["corners"].to_numpy()).reshape(len(f), 2 * p, p) for f in (mine, queries))
@@ -496,22 +504,23 @@ def _near_cells(cells: DataFrame, names: list[str], eps: float) -> DataFrame:
             out.append(pd.DataFrame({"a": who[at + a], "b": ids[b], "sure": (np.sqrt(d) <= eps).any(axis=(1, 2))}))
         return pd.concat(out, ignore_index=True)
 
-    return met(located, visits, "cell", tree.rows).applyInPandas(match, "a string, b string, sure boolean")
+    return met(located, visits, "cell", tree.rows).applyInPandas(match, "a long, b long, sure boolean")
 
 
-def _touching(pairs: DataFrame, core: DataFrame, names: list[str], eps: float) -> DataFrame:
+def _touching(pairs: DataFrame, core: DataFrame, names: list[str], eps: float, task_rows: int = COMPARED_ROWS) -> DataFrame:
     """The pairs of cells with two core rows within eps.
 
     Rows of a cell are split by tree leaf, so a compared block is at most two
-    leaves large, and blocks too far apart are never built.
+    leaves large, and blocks too far apart are never built. A task compares as many
+    blocks as have about ``task_rows`` rows.
     """
     blocks = core.groupBy("cell", "leaf").agg(
-        *[F.min(x).alias(f"low_{x}") for x in names], *[F.max(x).alias(f"high_{x}") for x in names]
+        F.count("*").alias("rows"), *[F.min(x).alias(f"low_{x}") for x in names], *[F.max(x).alias(f"high_{x}") for x in names]
     )
 
     def side(s: str) -> DataFrame:
         return blocks.select(
-            F.col("cell").alias(s), F.col("leaf").alias(f"leaf_{s}"),
+            F.col("cell").alias(s), F.col("leaf").alias(f"leaf_{s}"), F.col("rows").alias(f"rows_{s}"),
             *[F.col(f"{e}_{x}").alias(f"{e}_{x}_{s}") for e in ("low", "high") for x in names],
         )
 
@@ -519,39 +528,70 @@ def _touching(pairs: DataFrame, core: DataFrame, names: list[str], eps: float) -
         F.greatest(F.col(f"low_{x}_a") - F.col(f"high_{x}_b"), F.col(f"low_{x}_b") - F.col(f"high_{x}_a"), F.lit(0.0))
         for x in names
     ]
-    keys = ["a", "b", "leaf_a", "leaf_b"]
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(add(g * g for g in gap) <= eps * eps * (1 + 1e-12))
-    near = cut_lineage(near.select(*keys))
+    near = cut_lineage(
+        near.select("a", "b", "leaf_a", "leaf_b", (F.col("rows_a") + F.col("rows_b")).alias("rows"), F.monotonically_increasing_id().alias("block"))
+    )
+    tasks = -(-(near.agg(F.sum("rows")).first()[0] or 0) // task_rows) or 1
+    dealt = near.withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks)))
 
     def rows_of(s: str) -> DataFrame:
         # Columns of their own on either side, or the two sides could not be told apart.
         own = core.select(F.col("cell").alias(s), F.col("leaf").alias(f"leaf_{s}"), *[F.col(x).alias(x) for x in names])
-        return near.toDF(*keys).join(own, [s, f"leaf_{s}"]).groupBy(*keys)
+        return dealt.toDF(*dealt.columns).join(own, [s, f"leaf_{s}"]).select("a", "b", "block", "task", *names).groupBy("task")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []})
+        # Every block has rows on both sides.
+        left, right = left.sort_values("block", kind="stable"), right.sort_values("block", kind="stable")
+        known, starts = np.unique(left["block"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(left))
+        others = np.searchsorted(right["block"].to_numpy(), known), np.searchsorted(right["block"].to_numpy(), known, side="right")
         p, q = left[names].to_numpy(), right[names].to_numpy()
-        hit = any(
-            (np.sqrt(((p[i : i + 256, None, :] - q[None, :, :]) ** 2).sum(axis=2)) <= eps).any()
-            for i in range(0, len(p), 256)
-        )
-        return left[["a", "b"]].head(1) if hit else left[["a", "b"]].head(0)
+        hits = []
+        for start, end, first, last in zip(starts.tolist(), ends.tolist(), *(o.tolist() for o in others)):
+            mine = q[None, first:last]
+            for at in range(start, end, 256):
+                if (np.sqrt(((p[at : min(at + 256, end), None] - mine) ** 2).sum(axis=2)) <= eps).any():
+                    hits.append(start)
+                    break
+        return left[["a", "b"]].iloc[hits].drop_duplicates()
+
+    return rows_of("a").cogroup(rows_of("b")).applyInPandas(compare, "a long, b long").distinct()
+
 
-    return rows_of("a").cogroup(rows_of("b")).applyInPandas(compare, "a string, b string").distinct()
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: in every batch a node meets its component's first node at once, so paths get shorter."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def contract(batches):
+        for pdf in batches:
+            codes, nodes = pd.factorize(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
+            parent = list(range(len(nodes)))
+            for a, b in zip(codes[: len(pdf)].tolist(), codes[len(pdf) :].tolist()):
+                while parent[a] != a:
+                    parent[a] = a = parent[parent[a]]
+                while parent[b] != b:
+                    parent[b] = b = parent[parent[b]]
+                parent[max(a, b)] = min(a, b)
+            for k in range(len(parent)):  # a parent comes before its children
+                parent[k] = parent[parent[k]]
+            away = np.flatnonzero(np.array(parent, dtype=np.int64) != np.arange(len(parent)))
+            yield pd.DataFrame({"a": nodes[away], "b": nodes[np.array(parent, dtype=np.int64)[away]]})
+
+    return edges.select("a", "b").mapInPandas(contract, f"a {kind}, b {kind}")
 
 
 def _connected(nodes: DataFrame, edges: DataFrame, driver_rows: int = BROADCAST_ROWS) -> DataFrame:
     """cell, label: the smallest cell of each connected component.
 
     Edge lists counted to be small are joined on the driver, larger ones by
-    passing labels along edges with jumps.
+    ``components``, whose rounds grow with the logarithm of the longest path.
     """
     few = edges.limit(driver_rows + 1).collect()
     if len(few) <= driver_rows:
-        parent: dict[str, str] = {}
+        parent: dict = {}
 
-        def top(c: str) -> str:
+        def top(c):
             while parent.get(c, c) != c:
                 parent[c] = parent.get(parent[c], parent[c])
                 c = parent[c]
@@ -561,29 +601,12 @@ def _connected(nodes: DataFrame, edges: DataFrame, driver_rows: int = BROADCAST_
             a, b = sorted((top(e["a"]), top(e["b"])))
             parent[a] = a
             parent[b] = a
-        found = edges.sparkSession.createDataFrame([(c, top(c)) for c in parent], "cell string, label string")
-        joined = nodes.select("cell").join(broadcast_if_small(found), "cell", "left")
-        return joined.select("cell", F.coalesce("label", "cell").alias("label"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("cell", F.col("cell").alias("label")))
-    while True:
-        heard = (
-            both.join(labels.select(F.col("cell").alias("b"), F.col("label").alias("heard")), "b")
-            .groupBy(F.col("a").alias("cell")).agg(F.min("heard").alias("heard"))
-        )
-        lower = labels.join(heard, "cell", "left").select(
-            "cell", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label")
-        )
-        # Jump to the label's own label, which halves long chains.
-        ahead = lower.select(F.col("cell").alias("label"), F.col("label").alias("further"))
-        moved = cut_lineage(
-            lower.join(ahead, "label").select("cell", "old", F.least("label", "further").alias("label"))
-        )
-        changed = moved.where("label <> old").limit(1).count()
-        labels = moved.select("cell", "label")
-        if not changed:
-            return labels
+        kind = edges.schema["a"].dataType.simpleString()
+        found = edges.sparkSession.createDataFrame([(c, top(c)) for c in parent], f"cell {kind}, label {kind}")
+        found = broadcast_if_small(found)
+    else:
+        found = components(_stars(edges)).select(F.col("node").alias("cell"), F.col("component").alias("label"))
+    return nodes.select("cell").join(found, "cell", "left").select("cell", F.coalesce("label", "cell").alias("label"))
 
 
 def _number_labels(core_labels: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def split_tree(points: DataFrame, names: Sequence[str], leaf_rows: int) -> Split
     chosen = points
     if n > wanted:
         chosen = points.where(F.pmod(F.xxhash64(*names), F.lit(span)) < F.lit(int(span * wanted / n)))
-    sample = np.array([tuple(r) for r in chosen.select(*names).collect()], dtype=float).reshape(-1, len(names))
+    sample = chosen.select(*names).toPandas().to_numpy(float).reshape(-1, len(names))
     tree = SplitTree(sample, leaves)
     tree.rows = n
     return tree
