@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .lineage import cut_lineage
+from .lineage import stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,10 +32,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b); component is its smallest node.
 
-    Each round is written to the checkpoint folder, so a lost executor costs one
-    round. Raises if ``rounds`` are not enough.
+    Each round is written to the shared folder, so a lost executor costs one round. Raises if ``rounds`` are not enough.
     """
-    edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         state = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.count_distinct("a").alias("d")).first()
@@ -43,7 +42,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if state["n"] == 0 or state == before:
             break
         before = state
-        edges = cut_lineage(_star(_star(edges, True), False))
+        edges = stored(_star(_star(edges, True), False))
     else:
         raise RuntimeError(f"no components after {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

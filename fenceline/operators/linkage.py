@@ -8,7 +8,9 @@ A row's nearest rows are found once. As long as one of them is in another compon
 nearest such row is among them. A row that has only its own component around it matters
 only if its k-th distance is below what its component has found already; it asks the
 leaves within that length, skipping every branch of the split tree that its component
-fills alone. What leaves a task is one edge per component and leaf.
+fills alone. A component that has found nothing yet first sends out one row, the nearest
+to a row of another component in a bounded sample. Inside a task the length shrinks with
+every edge found. What leaves a task is one edge per component and leaf.
 
 Cutting the tree's longest edges gives the groups of single linkage exactly; the edges'
 lengths are the heights at which groups merge. Equal rows are one point from the start.
@@ -22,12 +24,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.lineage import broadcast_if_small, cut_lineage
+from ..functions.lineage import broadcast_if_small, cut_lineage, stored
 from .cluster import _connected
-from .neighbours import Nest, SplitTree, located_points, met, neighbour_edges, split_tree
+from .neighbours import Nest, SplitTree, _distances, located_points, met, neighbour_edges, split_tree
 
 NEAR = 8
 
+# Rows of the sample that tells a component which of its rows asks first.
+SCOUTS_SAMPLE = 4096
+
 
 def _other_leaves(tree: SplitTree, x: np.ndarray, radius: np.ndarray, label: np.ndarray, least: np.ndarray, most: np.ndarray):
     """(row, leaf) of the leaves within a row's radius that hold some other label; least and most are of the labels below a node."""
@@ -87,8 +92,9 @@ def _asked(labelled: DataFrame, asks: DataFrame, names: list[str], tree: SplitTr
     def answer(mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         best: dict[int, tuple] = {}
         ids, labels = mine["point"].to_numpy(), mine["label"].to_numpy()
-        who, of = queries["point"].to_numpy(), queries["label"].to_numpy()
-        for query, point, d in Nest(mine[names].to_numpy()).pairs(queries[names].to_numpy(), queries["radius"].to_numpy()) if len(mine) else []:
+        queries = queries.sort_values(["label", "radius", "point"])
+        who, of, radius = queries["point"].to_numpy(), queries["label"].to_numpy(), queries["radius"].to_numpy().copy()
+        for query, point, d in Nest(mine[names].to_numpy()).pairs(queries[names].to_numpy(), radius) if len(mine) else []:
             away = of[query] != labels[point]
             query, point, d = query[away], point[away], d[away]
             a, b = np.minimum(who[query], ids[point]), np.maximum(who[query], ids[point])
@@ -96,12 +102,47 @@ def _asked(labelled: DataFrame, asks: DataFrame, names: list[str], tree: SplitTr
             first = order[np.flatnonzero(np.concatenate(([True], np.diff(of[query][order]) != 0)))] if len(order) else order
             for i in first:
                 found = (d[i], int(a[i]), int(b[i]), int(labels[point[i]]))
-                best[int(of[query[i]])] = min(found, best.get(int(of[query[i]]), found))
+                label = int(of[query[i]])
+                best[label] = min(found, best.get(label, found))
+                # Later queries of the component look no further; they lie side by side.
+                same = slice(np.searchsorted(of, label), np.searchsorted(of, label, side="right"))
+                np.minimum(radius[same], best[label][0], out=radius[same])
         return pd.DataFrame([(label, *found) for label, found in best.items()], columns=["label", "distance", "a", "b", "other"])
 
     return met(labelled, visits, "point", tree.rows).applyInPandas(answer, "label long, distance double, a long, b long, other long")
 
 
+def _scouts(labelled: DataFrame, without: DataFrame, names: list[str], ends: Sequence[tuple], sample: int = SCOUTS_SAMPLE) -> DataFrame:
+    """point, label, coordinates and radius of one row per label of ``without``: the nearest to a row of another label.
+
+    The other rows are a sample of labelled, and ends, two rows (label, coordinates) of
+    different labels, so that every row has one; the radius is the distance to it.
+    """
+    span, n = 1 << 30, labelled.count()
+    chosen = labelled.where(F.pmod(F.xxhash64("point"), F.lit(span)) < F.lit(int(span * min(1.0, sample / max(1, n)))))
+    rows = np.array([tuple(r) for r in chosen.select("label", *names).collect()] + [tuple(r) for r in ends], dtype=object)
+    shared = labelled.sparkSession.sparkContext.broadcast((rows[:, 0].astype(np.int64), rows[:, 1:].astype(float)))
+    coords = ", ".join(f"{x} double" for x in names)
+
+    def reach(batches):
+        labels, places = shared.value
+        for pdf in batches:
+            x, own = pdf[names].to_numpy(), pdf["label"].to_numpy()
+            radius = np.zeros(len(pdf))
+            for at in range(0, len(pdf), 256):
+                here = slice(at, at + 256)
+                d = _distances(x[here], places)
+                d[own[here, None] == labels[None, :]] = np.inf
+                radius[here] = d.min(axis=1)
+            # One row of a label and batch is enough.
+            out = pdf.assign(radius=radius).sort_values(["radius", "point"])
+            yield out.drop_duplicates("label")[["point", "label", *names, "radius"]]
+
+    found = without.select("point", "label", *names).mapInPandas(reach, f"point long, label long, {coords}, radius double")
+    best = found.groupBy("label").agg(F.min(F.struct("radius", "point", *names)).alias("best"))
+    return best.select("best.point", "label", *[f"best.{x}" for x in names], (F.col("best.radius") * (1 + 1e-9)).alias("radius"))
+
+
 def spanning_tree(points: DataFrame, names: Sequence[str], leaf_rows: int = 512, near: int = NEAR) -> DataFrame:
     """Edges (a, b, distance), a < b, of the minimum spanning tree of points (distinct coordinates, column point a number from 0)."""
     names = list(names)
@@ -122,26 +163,24 @@ def spanning_tree(points: DataFrame, names: Sequence[str], leaf_rows: int = 512,
         away = cut_lineage(away.select("point", "label", "distance", F.least("point", "neighbour").alias("a"), F.greatest("point", "neighbour").alias("b"), "other"))
         edge = F.struct("distance", "a", "b", "other")
         known = away.groupBy("label").agg(F.min(edge).alias("edge"))
+        # A component without such an edge gets one of its own from the row that seems to be nearest to another.
+        without = labelled.join(known.select("label"), "label", "left_anti")
+        if not without.isEmpty():
+            scouts = cut_lineage(_scouts(labelled, without, names, [(ends[e]["label"], *(ends[e][x] for x in names)) for e in ("first", "last")]))
+            known = cut_lineage(known.unionByName(_asked(labelled, scouts, names, tree).groupBy("label").agg(F.min(edge).alias("edge"))))
         # Rows that have only their own component around them, as far as their component can still do better.
-        ends_of = {side: [ends[side][x] for x in names] for side in ("first", "last")}
-
-        def to(end: list[float]):
-            return F.sqrt(sum(((F.col(x) - F.lit(v)) ** 2 for x, v in zip(names, end)), F.lit(0.0))) * (1 + 1e-9)
-
         inside = labelled.join(away.select("point").distinct(), "point", "left_anti").join(reach, "point", "left")
-        asks = inside.join(known.select("label", F.col("edge.distance").alias("found")), "label", "left").withColumn(
-            "radius", F.coalesce("found", F.when(F.col("label") == ends["first"]["label"], to(ends_of["last"])).otherwise(to(ends_of["first"])))
-        )
-        asks = cut_lineage(asks.where("found IS NULL OR reach IS NULL OR reach < found").select("point", "label", *names, "radius"))
+        asks = inside.join(known.select("label", F.col("edge.distance").alias("radius")), "label")
+        asks = cut_lineage(asks.where("reach IS NULL OR reach < radius").select("point", "label", *names, "radius"))
         best = known
         if not asks.isEmpty():
             best = best.unionByName(_asked(labelled, asks, names, tree).select("label", edge.alias("edge")))
         best = cut_lineage(best.groupBy("label").agg(F.min("edge").alias("edge")).select("label", "edge.*"))
         parts.append(cut_lineage(best.select("a", "b", "distance").distinct()))
         joined = _connected(
-            best.select(F.col("label").cast("string").alias("cell")), best.select(F.col("label").cast("string").alias("a"), F.col("other").cast("string").alias("b"))
-        ).select(F.col("cell").cast("long").alias("label"), F.col("label").cast("long").alias("into"))
-        labelled = cut_lineage(labelled.join(broadcast_if_small(joined), "label").drop("label").withColumnRenamed("into", "label"))
+            best.select(F.col("label").alias("cell")), best.select(F.col("label").alias("a"), F.col("other").alias("b"))
+        ).select(F.col("cell").alias("label"), F.col("label").alias("into"))
+        labelled = stored(labelled.join(broadcast_if_small(joined), "label").drop("label").withColumnRenamed("into", "label"))
     if not parts:
         return spark.createDataFrame([], "a long, b long, distance double")
     out = parts[0]
@@ -163,10 +202,9 @@ def single_linkage(data: DataFrame, columns: Sequence[str], row_id: str, groups:
     edges = cut_lineage(spanning_tree(points, names, leaf_rows))
     cut = edges.orderBy(F.desc("distance"), F.desc("a"), F.desc("b")).limit(max(0, groups - 1))
     left = edges.join(broadcast_if_small(cut.select("a", "b")), ["a", "b"], "left_anti")
-    nodes = points.select(F.col("point").cast("string").alias("cell"))
-    found = cut_lineage(_connected(nodes, left.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))))
-    of_rows = rows.join(points.select(*names, F.col("point").cast("string").alias("cell")), names).join(found, "cell").select(row_id, "label")
+    found = cut_lineage(_connected(points.select(F.col("point").alias("cell")), left.select("a", "b")))
+    of_rows = rows.join(points.select(*names, F.col("point").alias("cell")), names).join(found, "cell").select(row_id, "label")
     first = of_rows.groupBy("label").agg(F.min(row_id).alias("first")).collect()  # a row per group
     number = {r["label"]: i for i, r in enumerate(sorted(first, key=lambda r: r["first"]))}
-    table = data.sparkSession.createDataFrame(list(number.items()) or [], "label string, cluster int")
+    table = data.sparkSession.createDataFrame(list(number.items()) or [], "label long, cluster int")
     return {"labels": of_rows.join(F.broadcast(table), "label").select(row_id, "cluster"), "merges": edges.select(F.col("distance").alias("height"))}
