@@ -21,6 +21,10 @@ from .profile import is_numeric
 from .reduce import scale_factors, standardise
 
 
+# Training rows of a forest that one task reads. Each carries a weight for every tree, about half a kilobyte for 100 trees.
+FOREST_ROWS = 400_000
+
+
 # ---------------------------------------------------------------- preparation
 
 
@@ -283,6 +287,12 @@ def wald_table(vectors: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _in_parts(data: DataFrame, n: int, rows: int = FOREST_ROWS) -> DataFrame:
+    """data, whose n rows are dealt anew only if its partitions would have more than ``rows`` on average."""
+    parts = -(-n // rows)
+    return data.repartition(parts) if data.rdd.getNumPartitions() < parts else data
+
+
 def random_forest(
     df: DataFrame, columns: Sequence[str], row_id: str, flag: str = "is_outlier", test_share: float = 0.2,
     seed: int = 42, task_rows: int = TASK_ROWS, trees: int = 100, depth: int = 10, leaf: int = 1,
@@ -300,7 +310,7 @@ def random_forest(
     model = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", weightCol="weight",
         seed=seed,
-    ).fit(assembler.transform(train.withColumn("weight", weight)))
+    ).fit(assembler.transform(_in_parts(train.withColumn("weight", weight), n)))
     scored = cut_lineage(
         model.transform(assembler.transform(data.where("is_test"))).select(
             "label", vector_to_array("probability")[1].alias("score")

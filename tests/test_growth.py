@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from fenceline.functions import components
-from fenceline.operators import cluster, linkage
+from fenceline.operators import classify, cluster, linkage
 from tests.test_linkage import spanning_heights
 
 
@@ -52,3 +52,9 @@ def test_a_component_without_an_edge_asks_by_one_row_first(spark, monkeypatch):
     assert first[0] == first[1]
     # The estimated size of the labels must not multiply from round to round, or planning takes over.
     assert max(estimates) < 1 << 30
+
+
+def test_training_rows_are_dealt_into_parts_of_bounded_size(spark):
+    data = spark.range(1000).repartition(2)
+    assert classify._in_parts(data, 1000, rows=100).rdd.getNumPartitions() == 10
+    assert classify._in_parts(data, 1000, rows=600).rdd.getNumPartitions() == 2
