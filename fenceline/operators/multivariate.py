@@ -13,7 +13,7 @@ from ..functions.columns import add, number
 from ..functions.lineage import cut_lineage
 from ..functions.rank import TASK_ROWS, column_quantiles
 from .correlate import PAIRS_PER_PASS, complete_numbers
-from .neighbours import neighbour_edges
+from .neighbours import k_distances, neighbour_means, visits_of
 
 # Neighbours of the local outlier factor unless asked otherwise.
 NEIGHBOURS = 20
@@ -95,28 +95,16 @@ def lof_scores(
     k = min(neighbours, n - 1)
     names = [f"x{i}" for i in range(len(columns))]
     rows = data.select(row_id, *[F.col(c).alias(x) for c, x in zip(columns, names)])
-    points = rows.groupBy(*names).agg(F.count("*").alias("weight"), F.min(row_id).alias("point"))
-    points = cut_lineage(points.select("point", "weight", *names))
-    edges = cut_lineage(neighbour_edges(points, names, k, leaf_rows))
-    reach = edges.groupBy("point").agg(F.max("distance").alias("k_distance"))
-    near = reach.select(F.col("point").alias("neighbour"), F.col("k_distance"))
+    points = rows.groupBy(*names).agg(F.count("*").alias("weight"), F.min(row_id).isNotNull().alias("named"))
+    points = cut_lineage(points.select(F.monotonically_increasing_id().alias("point"), "weight", "named", *names))
+    ranged, tree = k_distances(points, names, k, leaf_rows)
+    ranged = ranged.where("named").drop("named")
+    visits = cut_lineage(visits_of(ranged.where(~F.col("alone")), names, tree))
     # Local reachability density; the small constant keeps piles of copies finite.
-    density = (
-        edges.join(near, "neighbour")
-        .groupBy("point")
-        .agg((F.sum(F.col("weight") * F.greatest("k_distance", "distance")) / F.sum("weight")).alias("reach"))
-        .select("point", (1.0 / (F.col("reach") + 1e-10)).alias("density"))
-    )
-    density = cut_lineage(density)
-    others = density.select(F.col("point").alias("neighbour"), F.col("density").alias("other"))
-    factor = (
-        edges.join(others, "neighbour")
-        .groupBy("point")
-        .agg((F.sum(F.col("weight") * F.col("other")) / F.sum("weight")).alias("around"))
-        .join(density, "point")
-        .select("point", (F.col("around") / F.col("density")).alias("lof_score"))
-    )
-    scored = points.join(factor, "point").select(*names, "lof_score")
+    reached = neighbour_means(ranged, visits, names, tree, "radius", "reach", reach=True)
+    density = reached.withColumn("density", 1.0 / (F.col("reach") + 1e-10)).drop("reach")
+    around = neighbour_means(density, visits, names, tree, "density", "around")
+    scored = around.select(*names, (F.col("around") / F.col("density")).alias("lof_score"))
     return rows.join(scored, names).select(row_id, "lof_score")
 
 
@@ -188,6 +176,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
+def _steps(tree: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """feature and cut of every node, its two children side by side, and depth; an end node leads to itself."""
+    feature, cut, left, right, depth = (tree[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth"))
+    end, node = feature < 0, np.arange(len(feature))
+    child = np.column_stack([np.where(end, node, left), np.where(end, node, right)]).astype(np.int64).ravel()
+    return np.maximum(feature, 0).astype(np.int64), cut, child, depth
+
+
 def isolation_scores(
     df: DataFrame, columns: Sequence[str], row_id: str, trees: int = 100, sample: int = 256, seed: int = 42
 ) -> DataFrame:
@@ -223,9 +219,7 @@ def isolation_scores(
         .toPandas()
         .sort_values(["tree", "node"])
     )
-    parts = [
-        tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")) for _, t in forest.groupby("tree")
-    ]
+    parts = [_steps(t) for _, t in forest.groupby("tree")]
     scale = float(_path_correction(float(forest["size"].max()))) or 1.0
     shared = df.sparkSession.sparkContext.broadcast(parts)
 
@@ -233,15 +227,13 @@ def isolation_scores(
         for pdf in batches:
             x = pdf[names].to_numpy()
             total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feature, cut, left, right, depth in shared.value:
+            flat = x.ravel()  # a row's values from its first one on
+            firsts = np.arange(len(x)) * len(names)
+            for feature, cut, child, depth in shared.value:
                 at = np.zeros(len(x), dtype=np.int64)
                 for _ in range(limit):
-                    f = feature[at]
-                    inner = f >= 0
-                    go_left = x[rows, np.maximum(f, 0)] <= cut[at]
-                    at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-                total += depth[at]
+                    at = child.take(2 * at + (flat.take(firsts + feature.take(at)) > cut.take(at)))
+                total += depth.take(at)
             yield pd.DataFrame({
                 row_id: pdf[row_id],
                 "isolation_forest_score": np.exp2(-total / len(shared.value) / scale),

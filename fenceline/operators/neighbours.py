@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lineage import cut_lineage
@@ -29,8 +30,8 @@ ANCHORS = 256
 # Queries of one leaf that go to one task; further ones meet a copy of the leaf's points in another.
 QUERIES_PER_TASK = 20_000
 
-# Points of a leaf of the tree inside a task, and pairs compared at a time.
-NEST_ROWS, PAIRS = 64, 1 << 20
+# Points of a leaf of the tree inside a task, pairs compared at a time, and queries at most.
+NEST_ROWS, PAIRS, TOGETHER = 64, 1 << 20, 1024
 
 
 class SplitTree:
@@ -147,17 +148,19 @@ def _anchor_bounds(x: np.ndarray, anchors: np.ndarray, k: int, other: bool) -> n
     return np.sort(d, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(x), np.inf)
 
 
-def met(located: DataFrame, asked: DataFrame, query: str = "query", queries: float = float("inf")):
+def met(located: DataFrame, asked: DataFrame, query: str = "query", queries: float = float("inf"), every: bool = False):
     """Points and queries cogrouped by leaf, the queries of a busy leaf in several parts that each get its points.
 
-    No query asks a leaf twice, so with few ``queries`` in all no leaf is busy.
+    No query asks a leaf twice, so with few ``queries`` in all no leaf is busy. every=True
+    keeps leaves that nothing asks, and a first part (0) of every leaf.
     """
     if queries <= QUERIES_PER_TASK:
         return located.groupBy("leaf").cogroup(asked.groupBy("leaf"))
     parts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # one row per leaf, MAX_LEAVES at most
     queries = asked.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64(query), "parts").cast("int")).drop("parts")
-    points = located.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    points = located.join(parts, "leaf", "left" if every else "inner").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    points = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return points.groupBy("leaf", "part").cogroup(queries.groupBy("leaf", "part"))
 
 
@@ -174,7 +177,7 @@ class Nest:
     def pairs(self, q: np.ndarray, radius: np.ndarray):
         """(query, point, distance) of all points within each query's radius, some queries at a time."""
         # So many queries at a time that their pairs stay bounded even where a radius reaches every point.
-        step = max(1, min(256, 4 * PAIRS // max(1, len(self.x))))
+        step = max(1, min(TOGETHER, 4 * PAIRS // max(1, len(self.x))))
         for at in range(0, len(q), step):
             rows, boxes = self.tree.reached(q[at : at + step], radius[at : at + step])
             order = np.argsort(boxes, kind="stable")
@@ -239,6 +242,24 @@ def _nearest_k(query: np.ndarray, point: np.ndarray, distance: np.ndarray, copie
     return order[ahead - base < k]
 
 
+def _kth_of_pairs(query: np.ndarray, distance: np.ndarray, copies: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every query and the distance at which it has seen k copies; infinite if there are not as many.
+
+    Queries are numbered from 0 and few at a time, so that short integers sort by digits.
+    """
+    order = np.argsort(distance)
+    short = query.astype(np.uint16) if len(query) and query.max() < 1 << 16 else query
+    order = order[np.argsort(short[order], kind="stable")]
+    q, seen = query[order], np.cumsum(copies[order])
+    if not len(q):
+        return q, np.empty(0)
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    before = seen[starts] - copies[order[starts]]
+    at = np.searchsorted(seen, before + k)
+    enough = at < np.append(starts[1:], len(q))
+    return q[starts], np.where(enough, distance[order[np.minimum(at, len(q) - 1)]], np.inf)
+
+
 def nearest_rows(
     points: DataFrame, queries: DataFrame, names: Sequence[str], leaf_rows: int = 1024,
     within: float = float("inf"), other: bool = False,
@@ -317,21 +338,7 @@ def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows:
     located = located_points(points.select("point", "weight", *names), names, tree)
 
     def own_bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = pdf[names].to_numpy(), pdf["weight"].to_numpy()
-        nest = Nest(x)
-        bound = nest.first_bounds(w, k)
-        near = np.flatnonzero(np.isfinite(bound))
-        for query, point, d in nest.pairs(x[near], bound[near]):
-            query = near[query]
-            copies = w[point] - (query == point)
-            keep = _nearest_k(query, point, d, copies, k)
-            closest = np.zeros(len(x))
-            np.maximum.at(closest, query[keep], d[keep])
-            bound[np.unique(query)] = closest[np.unique(query)]
-        far = np.flatnonzero(np.isinf(bound))
-        if len(far):  # fewer than k rows in the leaf; an anchor that is the point itself does not count
-            bound[far] = _anchor_bounds(x[far], shared.value.anchors, k, True)
-        return pdf.assign(bound=bound)
+        return pdf.assign(bound=_own_bounds(pdf[names].to_numpy(), pdf["weight"].to_numpy(), k, shared.value)[0])
 
     bounded = located.groupBy("leaf").applyInPandas(own_bound, layout + ", bound double")
     if tree.rows > QUERIES_PER_TASK:
@@ -344,6 +351,29 @@ def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows:
             yield visits.assign(leaf=leaves)
 
     visits = bounded.mapInPandas(visit, f"point {id_type}, {coords}, bound double, leaf long")
+    return _nearest_of(located, visits, names, k, tree)
+
+
+def _own_bounds(x: np.ndarray, weight: np.ndarray, k: int, tree: SplitTree) -> tuple[np.ndarray, np.ndarray]:
+    """How far the k-th neighbour of every point of a leaf can be, and whether that is the k-th distance inside the leaf."""
+    nest = Nest(x)
+    bound = nest.first_bounds(weight, k)
+    inside = np.isfinite(bound)
+    near = np.flatnonzero(inside)
+    for query, point, d in nest.pairs(x[near], bound[near]):
+        query = near[query]
+        who, closest = _kth_of_pairs(query, d, weight[point] - (query == point), k)
+        bound[who] = closest
+    far = np.flatnonzero(np.isinf(bound))
+    if len(far):  # fewer than k rows in the leaf; an anchor that is the point itself does not count
+        bound[far] = _anchor_bounds(x[far], tree.anchors, k, True)
+    inside[far] = False
+    return bound, inside
+
+
+def _nearest_of(located: DataFrame, visits: DataFrame, names: list[str], k: int, tree: SplitTree) -> DataFrame:
+    """point, neighbour, distance, weight of the k nearest rows that visiting points find, with all tied at the k-th distance."""
+    id_type = located.schema["point"].dataType.simpleString()
 
     def search(mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         x, w, ids = mine[names].to_numpy(), mine["weight"].to_numpy(), mine["point"].to_numpy()
@@ -365,3 +395,99 @@ def neighbour_edges(points: DataFrame, names: Sequence[str], k: int, leaf_rows:
     same = Window.partitionBy("point", "distance")
     nearer = F.sum("weight").over(tied) - F.sum("weight").over(same)
     return candidates.withColumn("_nearer", nearer).where(F.col("_nearer") < k).drop("_nearer")
+
+
+def k_distances(points: DataFrame, names: Sequence[str], k: int, leaf_rows: int = 1024) -> tuple[DataFrame, SplitTree]:
+    """points with leaf, radius (exact distance of the k-th nearest row) and alone, and the tree that the leaves are of.
+
+    points has point (unique), weight (copies) and distinct coordinates; a point's other
+    copies are at distance 0. ``alone`` says that no other leaf lies within the radius: such
+    a point is settled where it is, and only the others, at the edges of a leaf, visit.
+    """
+    names = list(names)
+    tree = split_tree(points, names, leaf_rows)
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+    located = located_points(points, names, tree)
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.schema.fields)
+
+    def own(t: pa.Table) -> pa.Table:
+        x = _matrix(t, names)
+        bound, inside = _own_bounds(x, t["weight"].to_numpy(), k, shared.value)
+        rows, leaves = shared.value.reached(x, bound)
+        inside[rows[leaves != t["leaf"][0].as_py()]] = False
+        return t.append_column("radius", pa.array(bound)).append_column("alone", pa.array(inside))
+
+    bounded = cut_lineage(located.groupBy("leaf").applyInArrow(own, layout + ", radius double, alone boolean"))
+    edge = bounded.where(~F.col("alone"))
+    asked = visits_of(edge, names, tree, own=True).withColumnRenamed("radius", "bound")
+    found = _nearest_of(bounded.select("point", "weight", *names, "leaf"), asked, names, k, tree)
+    exact = cut_lineage(found.groupBy("point").agg(F.max("distance").alias("radius")))
+    settled = edge.drop("radius").join(exact, "point").select(bounded.columns)
+    return bounded.where("alone").unionByName(settled), tree
+
+
+def visits_of(ranged: DataFrame, names: Sequence[str], tree: SplitTree, own: bool = False) -> DataFrame:
+    """point, coordinates, radius and leaf for every leaf within a point's radius, its own only if asked for."""
+    names = list(names)
+    shared = ranged.sparkSession.sparkContext.broadcast(tree)
+
+    def visit(batches):
+        for pdf in batches:
+            rows, leaves = shared.value.reached(pdf[names].to_numpy(), pdf["radius"].to_numpy())
+            if not own:
+                other = leaves != pdf["leaf"].to_numpy()[rows]
+                rows, leaves = rows[other], leaves[other]
+            yield pdf.iloc[rows][["point", *names, "radius"]].assign(leaf=leaves)
+
+    coords = ", ".join(f"{x} double" for x in names)
+    data = ranged.select("point", *names, "radius", "leaf")
+    return data.mapInPandas(visit, f"point {data.schema['point'].dataType.simpleString()}, {coords}, radius double, leaf long")
+
+
+def neighbour_means(
+    ranged: DataFrame, visits: DataFrame, names: Sequence[str], tree: SplitTree, value: str, name: str, reach: bool = False,
+) -> DataFrame:
+    """ranged with the mean of ``value`` over the rows within every point's radius; points with none are left out.
+
+    reach=True takes the distance where it is greater. ranged and tree are those of
+    ``k_distances``, visits those of its points that are not alone to other leaves. Pairs
+    are met inside the leaves and only their sums leave a task, one row per point and leaf.
+    """
+    names = list(names)
+    fields = ranged.columns
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema.fields)
+
+    def sums(mine: pa.Table, q: pa.Table) -> pa.Table:
+        x, who = _matrix(mine, names), q["point"].to_numpy()
+        order = np.lexsort(x.T)  # sums must not depend on the order of rows
+        x = x[order]
+        w, ids, v = (mine[c].to_numpy()[order] for c in ("weight", "point", value))
+        total, copies = np.zeros(len(who)), np.zeros(len(who))
+        for query, point, d in Nest(x).pairs(_matrix(q, names), q["radius"].to_numpy()) if len(x) else []:
+            c = w[point] - (who[query] == ids[point])
+            total += np.bincount(query, c * (np.maximum(v[point], d) if reach else v[point]), len(who))
+            copies += np.bincount(query, c, len(who))
+        return q.append_column("total", pa.array(total)).append_column("copies", pa.array(copies.astype(np.int64)))
+
+    def answer(mine: pa.Table, q: pa.Table) -> pa.Table:
+        # The leaf's own points ask in its first part. Visitors have no weight.
+        asking = q.select(["point", *names, "radius"])
+        if "part" in mine.column_names and len(mine) and mine["part"][0].as_py():
+            mine, own = mine.select(fields), mine.select(fields).slice(0, 0)
+        else:
+            mine = own = mine.select(fields)
+        return sums(mine, pa.concat_tables([own, asking], promote_options="default"))
+
+    summed = cut_lineage(met(ranged, visits, "point", tree.rows, every=True).applyInArrow(answer, f"{layout}, total double, copies long"))
+    guests = summed.where("weight IS NULL").groupBy("point").agg(F.sum("total").alias("more"), F.sum("copies").alias("others"))
+    inside = summed.where("weight IS NOT NULL")
+    edge = inside.where(~F.col("alone")).join(cut_lineage(guests), "point", "left").select(
+        *fields, (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+        (F.col("copies") + F.coalesce("others", F.lit(0))).alias("copies"),
+    )
+    both = inside.where("alone").unionByName(edge).where("copies > 0")
+    return both.select(*fields, (F.col("total") / F.col("copies")).alias(name))
+
+
+def _matrix(t: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([t[c].to_numpy() for c in names])

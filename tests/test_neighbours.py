@@ -68,3 +68,31 @@ def test_queries_of_a_leaf_in_parts(spark, monkeypatch, busy):
     labels = cluster.dbscan(df, ["a", "b"], "row_id", 0.05, 6, leaf_rows=64).toPandas().set_index("row_id")
     assert (labels.sort_index()["is_core"].to_numpy() == ((d <= 0.05).sum(axis=1) >= 6)).all()
     assert multivariate.lof_scores(df, ["a", "b"], "row_id", 8, 128).count() == len(x)
+
+
+@pytest.mark.parametrize("busy", [20_000, 60])
+def test_outlier_factors_hand_on_rows_not_pairs(spark, monkeypatch, busy):
+    """Exact factors of every row, also of rows that share an id, and nothing kept between steps that has a row per pair."""
+    monkeypatch.setattr(neighbours, "QUERIES_PER_TASK", busy)
+    kept = []
+
+    def counted(df, cut=neighbours.cut_lineage):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    for module in (neighbours, multivariate):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.lognormal(0, 1.5, (600, 2)), rng.normal(0, 0.01, (200, 2)), np.full((40, 2), 3.0)]), 4)
+    df = spark.createDataFrame([(i // 2, i, float(a), float(b)) for i, (a, b) in enumerate(x)], "row_id long, i long, a double, b double")
+    d = neighbours._distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    reach = np.sort(d, axis=1)[:, 11]
+    near = [np.flatnonzero(row <= r) for row, r in zip(d, reach)]
+    density = np.array([1 / (np.maximum(reach[j], d[i, j]).mean() + 1e-10) for i, j in enumerate(near)])
+    want = np.array([density[j].mean() / density[i] for i, j in enumerate(near)])
+    got = multivariate.lof_scores(df, ["a", "b"], "row_id", 12, 128).toPandas()
+    assert np.bincount(got["row_id"]).tolist() == [2] * (len(x) // 2)
+    assert got.sort_values(["row_id", "lof_score"])["lof_score"].to_numpy() == pytest.approx(np.sort(want.reshape(-1, 2), axis=1).ravel(), rel=1e-9)
+    assert max(kept) < 2 * len(x)
