@@ -27,6 +27,16 @@ def test_column_quantiles_are_exact_on_both_paths(spark, task_rows):
     assert got == pytest.approx(list(np.quantile(x, probs)), abs=1e-9)
 
 
+def test_quantiles_of_many_tasks_of_rows_take_two_scans(spark, monkeypatch):
+    """No rounds of narrowing, each with its own scans, until brackets hold too many rows."""
+    from fenceline.functions import rank
+
+    monkeypatch.setattr(rank, "_select_quantiles", lambda *_: pytest.fail("narrowed in rounds"))
+    df, _, x = skewed_frame(spark)
+    got = column_quantiles(df, ["x"], [0.25, 0.95], task_rows=len(x) // 40)["x"]
+    assert got == pytest.approx(list(np.quantile(x, [0.25, 0.95])), abs=1e-9)
+
+
 @pytest.mark.parametrize("task_rows", [1_000_000, 50])
 def test_group_quantiles(spark, task_rows):
     df, g, x = skewed_frame(spark)
