@@ -174,11 +174,15 @@ class Mix:
     def taken(self) -> DataFrame:
         """row and ``taken``: how many words of the document the mix holds, repeats counted."""
         times = self.slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-        return self.pieces.join(times, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        return self.pieces.join(times.hint("merge"), ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
     def drawn_pieces(self) -> DataFrame:
-        """The mix itself: shard, number, pass, block, row, first, words."""
-        return self.pieces.join(self.slots, ["number", "block"])
+        """The mix itself: shard, number, pass, block, row, first, words.
+
+        Slots are listed from few rows, whose size is all that Spark goes by when it
+        broadcasts a side. They are as many as the mix has blocks, so both sides are dealt out.
+        """
+        return self.pieces.join(self.slots.hint("merge"), ["number", "block"])
 
 
 def mix(df: DataFrame, **settings) -> DataFrame:

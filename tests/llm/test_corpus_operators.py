@@ -382,6 +382,16 @@ def test_mix_edges(spark, tmp_path):
     assert mixing.mix(documents(spark, [(1, None, "en", "a"), (2, "", "en", None)])).select("target", "taken").distinct().collect() == [(0.0, 0)]
 
 
+def test_slots_are_not_broadcast(spark, tmp_path):
+    # 8 blocks of 16 words in one slot each, listed from one row; their number grows with the corpus, that row's size does not.
+    docs = stored(documents(spark, [(i, "word " * 32, "en", "a") for i in range(4)]), tmp_path)
+    m = mixing.Mix(docs, block=16)
+    for rows in (m.drawn_pieces(), m.taken()):
+        assert rows.count()
+        rows.collect()
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixed_documents(spark, tmp_path):
     docs = stored(table(spark, "documents").withColumn("row", F.lit(1)), tmp_path)
     rows = mixing.mixed_documents(docs)
