@@ -90,6 +90,24 @@ def test_many_rows_in_few_stretches(spark):
     assert rosner.rosner_steps(df, fit).agg(F.count_distinct("step"), F.max("step")).first() == (900, 900)
 
 
+@pytest.mark.parametrize("stop, k, copies", [("first", None, 1), ("esd", None, 3), ("first", 1000, 3), ("esd", 6001, 1)])
+def test_dense_tails_on_both_sides(spark, monkeypatch, stop, k, copies):
+    """No state between bins of two dense tails is certain; the driver still holds a piece of either end at a time."""
+    p = (np.arange(6000) + 0.5) / 6000
+    values = np.repeat(np.tan(np.pi * (p - 0.5)) * np.where(p < 0.5, 1.0, 1.0 + 0.1 * p), copies)
+    ids = np.random.default_rng(2).permutation(len(values))
+    df = spark.createDataFrame([(int(i), float(v)) for i, v in zip(ids, values)], "row_id long, x double").repartition(3)
+    whole = rosner.fit_rosner(df, "x", "row_id", k=k, stop=stop, page=10**9)
+    want = sorted(tuple(r) for r in rosner.rosner_steps(df, whole).select("step", "row_id").collect())
+    held, walk = [], rosner.walk
+    monkeypatch.setattr(rosner, "walk", lambda state, runs, *a, **b: held.append(len(runs)) or walk(state, runs, *a, **b))
+    fit = rosner.fit_rosner(df, "x", "row_id", k=k, stop=stop, page=5, bins=16)
+    monkeypatch.undo()
+    assert max(held, default=0) <= 200 and len(fit.stretches) > 5
+    assert (fit.removed, fit.low, fit.high) == (whole.removed, whole.low, whole.high) and fit.removed > 300
+    assert sorted(tuple(r) for r in rosner.rosner_steps(df, fit).select("step", "row_id").collect()) == want
+
+
 def test_small_and_constant_columns(spark):
     few = spark.createDataFrame([(i, float(i)) for i in range(20)], "row_id long, x double")
     assert rosner.fit_rosner(few, "x", "row_id").status == "too few rows"
